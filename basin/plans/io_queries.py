@@ -1 +1,204 @@
-"""Registered queries for sources and sinks (file landing, catalog, topics, config files)."""
+"""Registered queries for sources and sinks: file landing, catalog tables, topics, config files,
+incremental import and streaming jobs.
+
+Each writes under a fresh folder in the shared checkpoint folder (``spark.checkpoint.dir``),
+reads the result back, and is checked against the SQL of the table it started from.
+"""
+
+from __future__ import annotations
+
+import time
+import uuid
+
+from pyspark.sql import functions as F
+
+from basin.operators import dispositions as B
+from basin.plans import fixtures as X
+from basin.plans.queries import query
+from basin.session import scratch_path
+from basin.sources import catalog as A
+from basin.sources.config import read_property_xml, write_property_xml
+from basin.sources.files import land_files
+from basin.sources.jdbc import import_incremental
+from basin.sources.topic import JSON_OPTIONS, decode_records, encode_records
+from basin.streaming.dedup import dedup_stream
+from basin.streaming.upsert import read_upserted, upsert_stream
+from basin.streaming.windows import window_metrics
+
+
+def _uid() -> str:
+    return uuid.uuid4().hex[:10]
+
+
+@query("land_files_csv_gzip", "SELECT * FROM orders")
+def q_land_files_csv_gzip(spark, sf_dir):
+    opts = {"header": "true", **JSON_OPTIONS}
+    return land_files(spark, f"{sf_dir}/orders.parquet", scratch_path(spark, "land-csv"), "csv", "gzip",
+                      src_fmt="parquet", write_options=opts)
+
+
+@query("land_files_json_bzip2", "SELECT * FROM events")
+def q_land_files_json_bzip2(spark, sf_dir):
+    return land_files(spark, f"{sf_dir}/events.parquet", scratch_path(spark, "land-json"), "json", "bzip2",
+                      src_fmt="parquet", write_options=dict(JSON_OPTIONS))
+
+
+@query("land_files_parquet_zstd", "SELECT * FROM lineitem")
+def q_land_files_parquet_zstd(spark, sf_dir):
+    return land_files(spark, f"{sf_dir}/lineitem.parquet", scratch_path(spark, "land-parquet"), "parquet", "zstd")
+
+
+def _database(spark, prefix: str) -> str:
+    db = f"basin_{prefix}_{_uid()}"
+    A.ensure_database(spark, db, comment="checks — vérification", location=scratch_path(spark, db))
+    return db
+
+
+@query("publish_table", "SELECT * FROM orders")
+def q_publish_table(spark, sf_dir):
+    db = _database(spark, "pub")
+    return A.publish_table(
+        X.table(spark, sf_dir, "orders"), f"{db}.orders", partition_by=["o_orderstatus"],
+        comments={"o_orderkey": "order key — 订单编号", "o_orderstatus": "status partition"},
+        properties={"data.owner": "platform", "retention.seconds": "604800"}, table_comment="orders, published")
+
+
+@query("write_table", "SELECT * FROM orders UNION ALL SELECT * FROM orders")
+def q_write_table(spark, sf_dir):
+    db = _database(spark, "wt")
+    name = f"{db}.orders"
+    o = X.table(spark, sf_dir, "orders")
+    steps = [B.write_table(o, name, "skip_if_exists"),        # created
+             B.write_table(o, name, "skip_if_exists"),        # skipped
+             B.write_table(o, name, "append"),                # appended: two copies
+             B.write_table(spark.table(name), name, "replace")]  # replaced with itself
+    if steps != ["created", "skipped", "appended", "replaced"]:
+        raise AssertionError(f"unexpected write statuses {steps}")
+    return spark.table(name)
+
+
+@query("topic_roundtrip", "SELECT * FROM events")
+def q_topic_roundtrip(spark, sf_dir):
+    e = X.table(spark, sf_dir, "events")
+    path = scratch_path(spark, "topic")
+    # the file source stands in for a topic: (key, value) records written as JSON lines
+    encode_records(e, "event_id").write.json(path)
+    return decode_records(spark.read.schema("key STRING, value STRING").json(path), e.schema).drop("key")
+
+
+@query("read_property_xml", """
+SELECT CAST(n_regionkey AS BIGINT) AS regionkey, n_name AS name, CAST(n_nationkey AS VARCHAR) AS value FROM nation""")
+def q_read_property_xml(spark, sf_dir):
+    n = X.table(spark, sf_dir, "nation")
+    path = scratch_path(spark, "xml")
+    write_property_xml(n.withColumnRenamed("n_regionkey", "regionkey"), path, name="n_name", value="n_nationkey",
+                       partition_by=["regionkey"])
+    x = read_property_xml(spark, path)
+    region = F.regexp_extract("file", "regionkey=([0-9]+)", 1).cast("long")
+    return x.select(region.alias("regionkey"), "name", "value")
+
+
+@query("import_incremental_append", "SELECT * FROM orders")
+def q_import_incremental_append(spark, sf_dir):
+    o = X.table(spark, sf_dir, "orders")
+    half = o.select((F.max("o_orderkey") / 2).cast("long")).scalar()
+    loaded = o.where(F.col("o_orderkey") <= half)  # what an earlier run already imported
+    return import_incremental(o, loaded, "append", "o_orderkey", last=half).table
+
+
+@query("import_incremental_watermark", "SELECT max(o_orderkey) AS watermark FROM orders")
+def q_import_incremental_watermark(spark, sf_dir):
+    o = X.table(spark, sf_dir, "orders")
+    half = o.select((F.max("o_orderkey") / 2).cast("long")).scalar()
+    loaded = o.where(F.col("o_orderkey") <= half)
+    return import_incremental(o, loaded, "append", "o_orderkey", last=half).watermark
+
+
+@query("import_incremental_lastmodified", """
+SELECT o_orderkey, o_orderdate,
+       CASE WHEN o_orderdate > TIMESTAMP '1997-01-01 00:00:00' THEN o_totalprice + 1 ELSE o_totalprice END AS v
+FROM orders""")
+def q_import_incremental_lastmodified(spark, sf_dir):
+    o = X.table(spark, sf_dir, "orders")
+    old = o.select("o_orderkey", "o_orderdate", F.col("o_totalprice").alias("v"))
+    src = o.select("o_orderkey", "o_orderdate",  # the source after later edits: newer rows changed
+                   F.when(F.col("o_orderdate") > F.lit("1997-01-01 00:00:00").cast("timestamp_ntz"),
+                          F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("v"))
+    last = F.lit("1997-01-01 00:00:00").cast("timestamp_ntz")
+    return import_incremental(src, old, "lastmodified", "o_orderdate", key="o_orderkey", last=last).table
+
+
+def _stage_files(df, path, n_files: int, order_col: str):
+    """Write ``df`` as ``n_files`` parquet files in ``order_col`` order, one write per file so that
+    modification times follow the order (the file source replays them in that order)."""
+    buckets = df.withColumn("__b", F.ntile(n_files).over(
+        __import__("pyspark.sql").sql.Window.orderBy(order_col)))
+    for b in range(1, n_files + 1):
+        buckets.where(F.col("__b") == b).drop("__b").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.01)
+
+
+def _run_available(q):
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
+@query("upsert_stream", """
+SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN -1.0 ELSE o_totalprice END AS v FROM orders""")
+def q_upsert_stream(spark, sf_dir):
+    o = X.table(spark, sf_dir, "orders")
+    base = scratch_path(spark, "upsert")
+    src = f"{base}/in"
+    k, v = F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v")
+    for status in ("F", "O", "P"):
+        o.where(F.col("o_orderstatus") == status).select(k, v, F.lit(1).alias("ver")).write.mode("append").parquet(src)
+        time.sleep(0.01)
+    # a later file repeats the F keys twice; within it the higher version wins
+    upd = o.where(F.col("o_orderstatus") == "F")
+    (upd.select(k, F.lit(-2.0).alias("v"), F.lit(2).alias("ver"))
+     .unionByName(upd.select(k, F.lit(-1.0).alias("v"), F.lit(3).alias("ver")))
+     .coalesce(1).write.mode("append").parquet(src))
+    stream = spark.readStream.schema("k BIGINT, v DOUBLE, ver INT").option("maxFilesPerTrigger", 1).parquet(src)
+    q = upsert_stream(stream, "k", "ver", f"{base}/table", f"{base}/ckpt", trigger={"availableNow": True})
+    _run_available(q)
+    return read_upserted(spark, f"{base}/table").select("k", "v")
+
+
+@query("window_tumbling_stream", """
+SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
+       time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
+       count(*) AS n, round(sum(value), 2) AS total
+FROM events GROUP BY 1, 2, 3""")
+def q_window_tumbling_stream(spark, sf_dir):
+    e = X.table(spark, sf_dir, "events")
+    base = scratch_path(spark, "winstream")
+    _stage_files(e, f"{base}/in", 4, "ts")
+    # a closing sentinel far past the data moves the watermark beyond every real window
+    closing = e.limit(1).select(F.lit(-1).cast("long").alias("event_id"),
+                                F.lit("2100-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
+                                F.lit(-1).cast("long").alias("user_id"), F.lit("__close__").alias("event_type"),
+                                F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
+    closing.write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    agg = window_metrics(stream, "ts", "event_type", "tumbling", size="1 hour", lateness="2 hours", value="value")
+    q = (agg.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/ckpt")
+         .trigger(availableNow=True).start(f"{base}/out"))
+    _run_available(q)
+    out = spark.read.parquet(f"{base}/out")
+    return out.where(F.col("event_type") != "__close__").withColumn("total", F.round("total", 2))
+
+
+@query("dedup_stream_files", "SELECT * FROM events")
+def q_dedup_stream_files(spark, sf_dir):
+    e = X.table(spark, sf_dir, "events")
+    base = scratch_path(spark, "dedup")
+    _stage_files(e, f"{base}/in", 4, "event_id")
+    # repeated deliveries of the error events, arriving after everything else
+    e.where(F.col("event_type") == "error").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    d = dedup_stream(stream, "ts", "event_id", "365 days")
+    q = (d.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/ckpt")
+         .trigger(availableNow=True).start(f"{base}/out"))
+    _run_available(q)
+    return spark.read.parquet(f"{base}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))

@@ -40,21 +40,33 @@ def ensure_database(spark: SparkSession, name: str, comment: str | None = None,
     return True
 
 
+def _plain_type(dt) -> str:
+    """DDL type of a column, with collations dropped (a collation would travel into the files)."""
+    from pyspark.sql import types as T
+    if isinstance(dt, T.StringType):
+        return "string"
+    return dt.simpleString()
+
+
 def publish_table(df: DataFrame, name: str, partition_by=None, comments: dict | None = None,
                   properties: dict | None = None, table_comment: str | None = None,
                   path: str | None = None, fmt: str = "parquet", mode: str = "overwrite") -> DataFrame:
     """A2: write ``df`` as catalog table ``name`` with partitions, comments and properties.
 
-    Length rules of the metastore are enforced: column comments <= 256 characters (4000 for a
-    partition key), property values <= 4000, partition values <= 256 -- the last one is checked by
-    the write itself (``raise_error`` in the projection), so no separate pass over the data runs.
-    Non-ASCII comments are stored as they are. With ``partition_by`` and ``mode='overwrite'`` on an
-    existing table only the partitions present in ``df`` are replaced. Returns the table.
+    The table is declared once (``CREATE TABLE ... COMMENT ... PARTITIONED BY ... TBLPROPERTIES``)
+    and filled with ``insertInto``. Length rules of the metastore are enforced: column comments
+    <= 256 characters (4000 for a partition key), property values <= 4000, partition values <= 256
+    -- the last one by the write itself (``raise_error`` in the projection), so no separate pass
+    over the data runs. Non-ASCII comments are stored as they are. ``mode='overwrite'`` on a
+    partitioned table replaces only the partitions present in ``df``; ``append`` adds rows.
+    Returns the table.
     """
     spark = df.sparkSession
     parts = as_list(partition_by)
     comments = comments or {}
-    properties = properties or {}
+    properties = dict(properties or {})
+    if mode not in ("overwrite", "append"):
+        raise ValueError("mode must be overwrite or append")
     for c, text in comments.items():
         if c not in df.columns:
             raise ValueError(f"comment for unknown column {c!r}")
@@ -64,31 +76,45 @@ def publish_table(df: DataFrame, name: str, partition_by=None, comments: dict |
     for k, v in properties.items():
         if len(str(v)) > PROPERTY_VALUE_MAX:
             raise ValueError(f"property {k!r} longer than {PROPERTY_VALUE_MAX} characters")
-    out = df
+    if table_comment is not None and len(table_comment) > PROPERTY_VALUE_MAX:
+        raise ValueError(f"table comment longer than {PROPERTY_VALUE_MAX} characters")
+    data_cols = [c for c in df.columns if c not in parts]
+    ordered = data_cols + parts  # insertInto is positional: partition columns last
+    out = df.select(*[F.col(c).cast(_plain_type(df.schema[c].dataType)).alias(c) for c in ordered])
     for p in parts:
         too_long = F.char_length(F.col(p).cast("string")) > PARTITION_VALUE_MAX
         out = out.withColumn(p, F.when(too_long, F.raise_error(
             F.lit(f"partition value of {p} longer than {PARTITION_VALUE_MAX} characters"))).otherwise(F.col(p)))
-    exists = spark.catalog.tableExists(name)
-    w = out.write.format(fmt)
-    if parts:
-        w = w.partitionBy(*parts)
-    if path:
-        w = w.option("path", path)
-    if exists and parts and mode == "overwrite":
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        out.select(*spark.table(name).columns).write.mode("overwrite").insertInto(name)
-    else:
-        w.mode(mode).saveAsTable(name)
     ident = quote_ident(name)
-    for c, text in comments.items():
-        spark.sql(f"ALTER TABLE {ident} ALTER COLUMN {quote_ident(c)} COMMENT {sql_string(text)}")
-    props = dict(properties)
-    if table_comment is not None:
-        if len(table_comment) > PROPERTY_VALUE_MAX:
-            raise ValueError("table comment too long")
-        props["comment"] = table_comment
-    if props:
-        kv = ", ".join(f"{sql_string(str(k))} = {sql_string(str(v))}" for k, v in props.items())
-        spark.sql(f"ALTER TABLE {ident} SET TBLPROPERTIES ({kv})")
+    if not spark.catalog.tableExists(name):
+        cols = []
+        for c in ordered:
+            col = f"{quote_ident(c)} {_plain_type(df.schema[c].dataType)}"
+            if c in comments:
+                col += f" COMMENT {sql_string(comments[c])}"
+            cols.append(col)
+        ddl = f"CREATE TABLE {ident} ({', '.join(cols)}) USING {fmt}"
+        if parts:
+            ddl += f" PARTITIONED BY ({', '.join(quote_ident(p) for p in parts)})"
+        if table_comment is not None:
+            ddl += f" COMMENT {sql_string(table_comment)}"
+        if path:
+            ddl += f" LOCATION {sql_string(path)}"
+        if properties:
+            ddl += " TBLPROPERTIES (" + ", ".join(
+                f"{sql_string(str(k))} = {sql_string(str(v))}" for k, v in properties.items()) + ")"
+        spark.sql(ddl)
+    else:
+        for c, text in comments.items():
+            if c not in parts:
+                spark.sql(f"ALTER TABLE {ident} ALTER COLUMN {quote_ident(c)} COMMENT {sql_string(text)}")
+        if table_comment is not None:
+            properties["comment"] = table_comment
+        if properties:
+            kv = ", ".join(f"{sql_string(str(k))} = {sql_string(str(v))}" for k, v in properties.items())
+            spark.sql(f"ALTER TABLE {ident} SET TBLPROPERTIES ({kv})")
+    w = out.write
+    if parts:
+        w = w.option("partitionOverwriteMode", "dynamic")
+    w.insertInto(name, overwrite=(mode == "overwrite"))
     return spark.table(name)

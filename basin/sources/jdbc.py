@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basin.operators._common import as_list
@@ -57,13 +57,15 @@ def import_incremental(src: DataFrame, target: DataFrame, kind: str, check_col:
 
     ``append``: rows with ``check_col > last`` are appended (check_col grows, e.g. an id).
     ``lastmodified``: rows with ``check_col > last`` (a modification time) replace target rows with
-    the same ``key``; other target rows stay. ``last=None`` takes everything. The comparison is a
+    the same ``key``; other target rows stay. ``last=None`` takes everything; ``last`` may also be a
+    Column (e.g. a scalar subquery over the target). The comparison is a
     plain filter, so a JDBC source runs it inside the database. The new watermark is the largest
     ``check_col`` seen (or ``last`` when nothing is new), as a one-row DataFrame.
     """
     if kind not in INCREMENTAL_KINDS:
         raise ValueError(f"kind must be one of {INCREMENTAL_KINDS}")
-    rows = src if last is None else src.where(F.col(check_col) > F.lit(last))
+    bound = last if isinstance(last, Column) else F.lit(last)
+    rows = src if last is None else src.where(F.col(check_col) > bound)
     if kind == "append":
         table = target.unionByName(rows.select(*target.columns))
     else:
@@ -71,6 +73,6 @@ def import_incremental(src: DataFrame, target: DataFrame, kind: str, check_col:
             raise ValueError("lastmodified needs a key")
         table = sync_apply(rows.select(*target.columns), target, as_list(key))
     dtype = src.schema[check_col].dataType
-    prev = F.lit(last).cast(dtype) if last is not None else F.lit(None).cast(dtype)
+    prev = bound.cast(dtype) if last is not None else F.lit(None).cast(dtype)
     wm = rows.agg(F.max(check_col).alias("m")).select(F.coalesce(F.col("m"), prev).alias("watermark"))
     return Increment(rows=rows, table=table, watermark=wm)
