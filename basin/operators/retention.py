@@ -13,7 +13,7 @@ DEFAULT_RETAIN_COUNT = 30
 
 
 def retain_by_age(df: DataFrame, ts: str, seconds: int = DEFAULT_RETAIN_SECONDS, as_of=None) -> DataFrame:
-    """rows whose ``ts`` is at most ``seconds`` before ``as_of`` (inclusive).
+    """drop rows more than ``seconds`` older than ``as_of``; newer rows (even after ``as_of``) stay.
 
     ``as_of`` defaults to the newest ``ts`` in the data, computed once as a scalar subquery (a
     one-value aggregate that Spark evaluates before the filter runs) -- never collected by hand.

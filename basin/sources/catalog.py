@@ -113,8 +113,16 @@ def publish_table(df: DataFrame, name: str, partition_by=None, comments: dict |
         if properties:
             kv = ", ".join(f"{sql_string(str(k))} = {sql_string(str(v))}" for k, v in properties.items())
             spark.sql(f"ALTER TABLE {ident} SET TBLPROPERTIES ({kv})")
-    w = out.write
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key, None)
     if parts:
-        w = w.option("partitionOverwriteMode", "dynamic")
-    w.insertInto(name, overwrite=(mode == "overwrite"))
+        spark.conf.set(key, "dynamic")
+    try:
+        out.write.insertInto(name, overwrite=(mode == "overwrite"))
+    finally:
+        if parts:
+            if before is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, before)
     return spark.table(name)

@@ -33,8 +33,8 @@ def read_properties(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def read_properties_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """A10 over files: ``(file, line_no, key, value)``. Each settings file is read whole (one row per
     file), which suits many small files; files are spread over tasks."""
-    df = (spark.read.option("wholetext", "true").option("recursiveFileLookup", str(recursive).lower())
-          .text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value")))
+    df = (spark.read.option("recursiveFileLookup", str(recursive).lower())
+          .text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value")))
     return read_properties(df, "file", "value")
 
 

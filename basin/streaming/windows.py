@@ -24,7 +24,9 @@ def window_metrics(df: DataFrame, ts: str, keys, kind: str, size: str | None = N
     """``count`` (and ``sum(value)``) per key and window.
 
     ``tumbling`` uses ``size``; ``sliding`` uses ``size`` and ``slide``; ``session`` uses ``gap``
-    (a new session starts when the next event is ``gap`` or more after the previous one).
+    (a new session starts when the next event is MORE than ``gap`` after the previous one; an
+    event exactly ``gap`` later still extends the session, as session windows touching at an
+    end are merged).
     On a stream, ``lateness`` sets the watermark: rows later than that behind the newest event
     may be dropped, and in append mode a window is emitted once the watermark passes its end.
     Output: keys, ``window_start``, ``window_end``, ``n`` [, ``total``]; window bounds keep the
