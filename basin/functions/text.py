@@ -42,36 +42,36 @@ def unlines(arr: Column, like_text=None) -> Column:
     return F.when(_ends_with_newline(t) & (F.size(arr) > 0), F.concat(joined, F.lit("\n"))).otherwise(joined)
 
 
-_BLANK = "[ \\t]+"
-
-
 def field(col, n: int, sep: str | None = None) -> Column:
     """The n-th field (1-based) of a line; ``n=-1`` is the last field.
 
     Whitespace mode (``sep=None``, like awk's default): leading and trailing blanks are ignored,
-    runs of blanks separate fields, a missing field is ''.
+    runs of blanks (spaces, tabs) separate fields, a missing field is ''.
     Delimiter mode (like ``cut -d``): empty fields are kept; a line without the delimiter is
     returned whole; a missing field is ''.
+    No array of fields is built: whitespace mode is one anchored regex that stops after the n-th
+    word, delimiter mode uses ``substring_index`` and a delimiter count.
     """
     if n == 0 or n < -1:
         raise ValueError("n is 1-based; use -1 for the last field")
     c = to_col(col)
     if sep is None:
-        trimmed = F.regexp_replace(c, "^[ \\t]+|[ \\t]+$", "")
-        parts = F.when(trimmed == F.lit(""), F.array().cast("array<string>")).otherwise(F.split(trimmed, _BLANK, -1))
-    else:
-        if sep == "":
-            raise ValueError("sep must not be empty")
-        parts = F.split(c, quote_regex(sep), -1)
+        if n == -1:
+            # the last field is the first field of the reversed line: a start-anchored match
+            out = F.reverse(F.regexp_extract(F.reverse(c), "^[ \\t]*([^ \\t]+)", 1))
+        else:
+            out = F.regexp_extract(c, "^[ \\t]*(?:[^ \\t]+[ \\t]+){%d}([^ \\t]+)" % (n - 1), 1)
+        return out
+    if sep == "":
+        raise ValueError("sep must not be empty")
     if n == -1:
-        picked = F.try_element_at(parts, F.lit(-1))
+        picked = F.substring_index(c, sep, -1)
     else:
-        picked = F.get(parts, n - 1)
-    out = F.coalesce(picked, F.lit(""))
-    if sep is not None:
-        # cut prints a line that has no delimiter whole, whatever field was asked for
-        out = F.when(F.instr(c, sep) == 0, c).otherwise(out)
-    return F.when(c.isNull(), F.lit(None).cast("string")).otherwise(out)
+        n_delims = F.floor((F.length(c) - F.length(F.replace(c, F.lit(sep), F.lit("")))) / len(sep))
+        picked = F.when(n_delims < n - 1, F.lit("")).otherwise(
+            F.substring_index(F.substring_index(c, sep, n), sep, -1))
+    # cut prints a line that has no delimiter whole, whatever field was asked for
+    return F.when(F.instr(c, sep) == 0, c).otherwise(picked)
 
 
 def strip_quotes(col) -> Column:
