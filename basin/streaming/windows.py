@@ -30,11 +30,15 @@ def window_metrics(df: DataFrame, ts: str, keys, kind: str, size: str | None = N
     On a stream, ``lateness`` sets the watermark: rows later than that behind the newest event
     may be dropped, and in append mode a window is emitted once the watermark passes its end.
     Output: keys, ``window_start``, ``window_end``, ``n`` [, ``total``]; window bounds keep the
-    type of ``ts`` on batch input.
+    type of ``ts`` on batch input. Batch session windows use ``basin.streaming.sessions`` so a key
+    with a huge share of the events is still spread over many tasks.
     """
     if kind not in WINDOW_KINDS:
         raise ValueError(f"kind must be one of {WINDOW_KINDS}")
     keys = as_list(keys)
+    if kind == "session" and not df.isStreaming:
+        from basin.streaming.sessions import session_windows
+        return session_windows(df, ts, keys, gap, value)
     src_type = df.schema[ts].dataType
     x = df
     if df.isStreaming:
