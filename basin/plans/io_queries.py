@@ -202,3 +202,28 @@ def q_dedup_stream_files(spark, sf_dir):
          .trigger(availableNow=True).start(f"{base}/out"))
     _run_available(q)
     return spark.read.parquet(f"{base}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+_EVENT_LOGS: dict[tuple[str, str], str] = {}
+
+
+def _event_log_dir(spark, sf_dir):
+    """Event logs of two short runs over the tables (produced once per checkpoint folder and scale)."""
+    from basin.plans.eventlog_run import produce
+    from basin.session import checkpoint_dir, local_path
+    key = (checkpoint_dir(spark), sf_dir)
+    if key not in _EVENT_LOGS:
+        _EVENT_LOGS[key] = produce(sf_dir, local_path(scratch_path(spark, "eventlog")))
+    return _EVENT_LOGS[key]
+
+
+@query("read_event_log")
+def q_read_event_log(spark, sf_dir):
+    from basin.sources.eventlog import read_event_log
+    return read_event_log(spark, _event_log_dir(spark, sf_dir))
+
+
+@query("run_summary")
+def q_run_summary(spark, sf_dir):
+    from basin.sources.eventlog import read_event_log, run_summary
+    return run_summary(read_event_log(spark, _event_log_dir(spark, sf_dir)))

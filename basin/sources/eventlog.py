@@ -16,18 +16,66 @@ EVENT_SCHEMA = (
 )
 
 
-def read_event_log(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """One row per event from an event-log directory (single files and rolled ``eventlog_v2_*``
-    folders, searched recursively). The application id comes from the file path because only the
-    start event carries it. Uncompressed logs are read by the text source (splittable)."""
-    r = spark.read.option("recursiveFileLookup", "true")
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    raw = r.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
-    app = F.regexp_extract(F.col("file"), "(?:eventlog_v2_([^/]+)/[^/]+|/([^/]+?)(?:\\.inprogress)?)$", 1)
-    app = F.when(app == "", F.regexp_extract(F.col("file"), "/([^/]+?)(?:\\.inprogress)?$", 1)).otherwise(app)
+# fixed values: compressed event-log suffixes we can decode (Spark's default event-log codec is zstd)
+ZSTD_SUFFIXES = (".zstd", ".zst")
+_NOT_EVENTS = ("appstatus",)
+
+
+def _unzstd(batches):
+    import io
+
+    import pandas as pd
+    try:
+        import zstandard
+    except ImportError as e:  # pragma: no cover
+        raise RuntimeError("reading zstd event logs needs the zstandard module") from e
+    for pdf in batches:
+        for path, content in zip(pdf["path"], pdf["content"]):
+            with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content)) as r:
+                text = io.TextIOWrapper(r, encoding="utf-8")
+                chunk = []
+                for line in text:
+                    chunk.append(line.rstrip("\n"))
+                    if len(chunk) >= 10000:
+                        yield pd.DataFrame({"value": chunk, "file": path})
+                        chunk = []
+                if chunk:
+                    yield pd.DataFrame({"value": chunk, "file": path})
+
+
+def event_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(value, file)``: every line of every event log under ``path``.
+
+    Plain files go through the text source (splittable); zstd files through ``binaryFile`` and a
+    streaming decompressor, one task per file (a compressed stream cannot be split).
+    """
+    file = F.col("_metadata.file_path")
+    zstd = F.lit(False)
+    for suf in ZSTD_SUFFIXES:
+        zstd = zstd | file.endswith(suf)
+    plain = (spark.read.option("recursiveFileLookup", "true").text(path)
+             .where(~zstd & ~file.contains("appstatus"))
+             .select(F.col("value"), file.alias("file")))
+    bpath = F.col("path")
+    bz = F.lit(False)
+    for suf in ZSTD_SUFFIXES:
+        bz = bz | bpath.endswith(suf)
+    packed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+              .where(bz).select("path", "content"))
+    unpacked = packed.mapInPandas(_unzstd, "value string, file string")
+    return plain.unionByName(unpacked)
+
+
+def read_event_log(spark: SparkSession, path: str) -> DataFrame:
+    """One row per listener event from an event-log directory: single files and rolled
+    ``eventlog_v2_<app>/events_<n>_<app>[.zstd]`` folders, searched recursively, plain or zstd.
+    The application id comes from the path because only the start event carries it."""
+    raw = event_lines(spark, path)
+    rolled = F.regexp_extract(F.col("file"), "/eventlog_v2_([^/]+)/[^/]+$", 1)
+    single = F.regexp_extract(F.col("file"), "/([^/]+?)(?:\\.inprogress)?(?:\\.(?:zstd|zst|lz4|lzf|snappy))?(?:\\.inprogress)?$", 1)
+    app = F.when(rolled != "", rolled).otherwise(single)
     e = F.from_json(F.col("value"), EVENT_SCHEMA).alias("e")
-    p = raw.select(app.alias("app"), e)
+    p = raw.select(app.alias("app"), e).where(F.col("e.Event").isNotNull())
     return p.select(
         "app", F.col("e.Event").alias("event"),
         F.coalesce(F.col("e.`Completion Time`"), F.col("e.`Submission Time`"), F.col("e.Timestamp"),

@@ -35,11 +35,17 @@ def decode_records(df: DataFrame, schema, keep=("key",)) -> DataFrame:
 
 
 def read_topic(spark: SparkSession, servers: str, topic: str, schema, source: str = "kafka",
-               stream: bool = True, options: dict | None = None) -> DataFrame:
-    """Subscribe to ``topic`` and decode values by ``schema``; ``key`` is kept."""
+               stream: bool = True, options: dict | None = None, source_schema=None) -> DataFrame:
+    """Subscribe to ``topic`` and decode values by ``schema``; ``key`` is kept.
+
+    ``source_schema`` is for sources that need one (a file source standing in for a topic reads
+    ``key string, value string`` records from ``options['path']``).
+    """
     r = spark.readStream if stream else spark.read
-    df = (r.format(source).option("kafka.bootstrap.servers", servers).option("subscribe", topic)
-          .options(**(options or {})).load())
+    r = r.format(source).option("kafka.bootstrap.servers", servers).option("subscribe", topic)
+    if source_schema is not None:
+        r = r.schema(source_schema)
+    df = r.options(**(options or {})).load()
     return decode_records(df, schema)
 
 
