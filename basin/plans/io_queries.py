@@ -160,7 +160,8 @@ def q_upsert_stream(spark, sf_dir):
      .unionByName(upd.select(k, F.lit(-1.0).alias("v"), F.lit(3).alias("ver")))
      .coalesce(1).write.mode("append").parquet(src))
     stream = spark.readStream.schema("k BIGINT, v DOUBLE, ver INT").option("maxFilesPerTrigger", 1).parquet(src)
-    q = upsert_stream(stream, "k", "ver", f"{base}/table", f"{base}/ckpt", trigger={"availableNow": True})
+    # buckets sized to the data: about one bucket per few GB; a 15k-row table needs few
+    q = upsert_stream(stream, "k", "ver", f"{base}/table", f"{base}/ckpt", trigger={"availableNow": True}, buckets=8)
     _run_available(q)
     return read_upserted(spark, f"{base}/table").select("k", "v")
 

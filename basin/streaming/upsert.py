@@ -1,10 +1,17 @@
-"""Keyed upserts from a stream into a versioned table.
+"""Keyed upserts from a stream into a versioned, bucketed table -- without MERGE.
 
-Each micro-batch is collapsed to the last row per key, applied onto the current version with
-source-wins semantics, and written as a new version folder ``version=<batch_id>``. A commit row
-``(batch_id)`` is appended to ``_commits`` only after the version is fully written; readers take
-the newest committed version. A replayed batch (same id after a restart) is skipped, and a
-version left half-written by a crash is overwritten on the replay.
+Layout under ``target``:
+  ``data/basin_version=<batch_id>/basin_bucket=<b>/``  rows of bucket ``b`` as written by batch ``batch_id``
+  ``_commits/``                       one row ``(batch_id, basin_bucket)`` per bucket a batch rewrote
+
+A row's bucket is ``pmod(xxhash64(keys), buckets)``. Each micro-batch is collapsed to the last row
+per key, and only the buckets it touches are rewritten: their current rows are read, the batch is
+applied with source-wins semantics, and the result is written as a new version of those buckets.
+The commit rows are appended only after the data is written, so a crash leaves the previous
+version current. The current table is every bucket at its newest committed version: a semi join
+with the commit table (at most ``buckets`` rows, so it is broadcast safely) lets dynamic partition
+pruning skip older versions. A replayed batch id is skipped.
+Old versions stay on disk until removed by a retention job.
 """
 
 from __future__ import annotations
@@ -15,53 +22,91 @@ from pyspark.sql import functions as F
 from basin.operators._common import as_list
 from basin.operators.dispositions import last_wins, sync_apply
 
+DEFAULT_BUCKETS = 64
+VERSION, BUCKET = "basin_version", "basin_bucket"
 
-def _commits(target: str) -> str:
-    return f"{target.rstrip('/')}/_commits"
 
+def _root(target: str) -> str:
+    return target.rstrip("/")
 
-def latest_version(spark: SparkSession, target: str):
-    """The newest committed batch id, or None. Reads a tiny commit table (one row per batch)."""
+
+def _missing(e: Exception) -> bool:
+    m = str(e)
+    return "PATH_NOT_FOUND" in m or "UNABLE_TO_INFER_SCHEMA" in m or "does not exist" in m
+
+
+def _commits(spark: SparkSession, target: str) -> DataFrame | None:
     try:
-        row = spark.read.parquet(_commits(target)).agg(F.max("batch_id").alias("m")).first()
-    except Exception as e:  # no commit yet
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e) or "does not exist" in str(e):
+        return spark.read.parquet(f"{_root(target)}/_commits")
+    except Exception as e:
+        if _missing(e):
             return None
         raise
-    return None if row is None else row["m"]
 
 
-def read_upserted(spark: SparkSession, target: str, schema=None) -> DataFrame | None:
-    """The table as of the newest committed version."""
-    v = latest_version(spark, target)
-    if v is None:
-        return None if schema is None else spark.createDataFrame([], schema)
-    return spark.read.parquet(f"{target.rstrip('/')}/version={v}")
+def bucket_of(keys, buckets: int):
+    return F.pmod(F.xxhash64(*[F.col(k) for k in as_list(keys)]), F.lit(buckets)).cast("int")
+
+
+def current_versions(spark: SparkSession, target: str) -> DataFrame | None:
+    """``(basin_bucket, basin_version)``: the newest committed version of every bucket (at most ``buckets`` rows)."""
+    c = _commits(spark, target)
+    if c is None:
+        return None
+    return c.groupBy(BUCKET).agg(F.max("batch_id").alias(VERSION))
+
+
+def latest_version(spark: SparkSession, target: str):
+    """The newest committed batch id, or None (one aggregate over the small commit table)."""
+    c = _commits(spark, target)
+    if c is None:
+        return None
+    return c.agg(F.max("batch_id").alias("m")).first()["m"]
+
+
+def read_upserted(spark: SparkSession, target: str, buckets: DataFrame | None = None) -> DataFrame | None:
+    """The table as of the newest committed versions (optionally only some ``buckets``)."""
+    cur = current_versions(spark, target)
+    if cur is None:
+        return None
+    if buckets is not None:
+        cur = cur.join(buckets, BUCKET, "left_semi")
+    data = spark.read.parquet(f"{_root(target)}/data")
+    # the version list has at most one row per bucket: a proven bound, so broadcasting it is safe
+    return data.join(F.broadcast(cur), [VERSION, BUCKET], "left_semi").drop(VERSION, BUCKET)
 
 
-def apply_batch(batch: DataFrame, batch_id: int, keys, order, target: str) -> bool:
-    """Apply one micro-batch; returns False when the batch was already committed."""
+def apply_batch(batch: DataFrame, batch_id: int, keys, order, target: str, buckets: int = DEFAULT_BUCKETS) -> bool:
+    """Apply one micro-batch; returns False when this batch id was already committed."""
     spark = batch.sparkSession
-    current = latest_version(spark, target)
-    if current is not None and batch_id <= current:
+    keys = as_list(keys)
+    last = latest_version(spark, target)
+    if last is not None and batch_id <= last:
         return False
-    latest = last_wins(batch, as_list(keys), as_list(order))
-    if current is None:
+    latest = last_wins(batch, keys, as_list(order)).withColumn(BUCKET, bucket_of(keys, buckets))
+    touched = latest.select(BUCKET).distinct()
+    prev = read_upserted(spark, target, buckets=touched)
+    if prev is None:
         new = latest
     else:
-        prev = spark.read.parquet(f"{target.rstrip('/')}/version={current}")
-        new = sync_apply(latest.select(*prev.columns), prev, as_list(keys))
-    new.write.mode("overwrite").parquet(f"{target.rstrip('/')}/version={batch_id}")
-    spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id")).write.mode("append").parquet(_commits(target))
+        prev = prev.withColumn(BUCKET, bucket_of(keys, buckets))
+        new = sync_apply(latest.select(*prev.columns), prev, keys)
+    root = _root(target)
+    (new.sortWithinPartitions(BUCKET).write.mode("overwrite").partitionBy(BUCKET)
+     .parquet(f"{root}/data/{VERSION}={batch_id}"))
+    (touched.select(F.lit(batch_id).cast("long").alias("batch_id"), BUCKET)
+     .coalesce(1).write.mode("append").parquet(f"{root}/_commits"))
     return True
 
 
-def upsert_stream(df: DataFrame, keys, order, target: str, checkpoint: str, trigger: dict | None = None):
-    """Start a query that upserts every micro-batch of ``df`` into the versioned table at ``target``.
+def upsert_stream(df: DataFrame, keys, order, target: str, checkpoint: str, trigger: dict | None = None,
+                  buckets: int = DEFAULT_BUCKETS):
+    """Start a query that upserts every micro-batch of ``df`` into the table at ``target``.
 
-    Returns the StreamingQuery; ``read_upserted(spark, target)`` reads the result.
+    ``buckets`` should grow with the table (about one bucket per few GB) so that a batch touching
+    few keys rewrites little. Returns the StreamingQuery; ``read_upserted(spark, target)`` reads it.
     """
-    w = (df.writeStream.foreachBatch(lambda b, i: apply_batch(b, i, keys, order, target))
+    w = (df.writeStream.foreachBatch(lambda b, i: apply_batch(b, i, keys, order, target, buckets))
          .option("checkpointLocation", checkpoint))
     if trigger:
         w = w.trigger(**trigger)
