@@ -60,6 +60,23 @@ def norm(v):
     return v
 
 
+# Spark type name -> DuckDB type name the oracle should produce
+TYPE_MAP = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+            "timestamp_ntz": "TIMESTAMP", "date": "DATE", "float": "FLOAT", "smallint": "SMALLINT"}
+
+
+def type_mismatches(sdf_schema, con, sql):
+    rel = con.sql(sql)
+    duck_types = {n: str(t) for n, t in zip(rel.columns, rel.types)}
+    out = []
+    for f in sdf_schema.fields:
+        want = TYPE_MAP.get(f.dataType.simpleString(), f.dataType.simpleString())
+        got = duck_types.get(f.name)
+        if got is not None and got != want:
+            out.append(f"{f.name}: spark {f.dataType.simpleString()} vs sql {got}")
+    return out
+
+
 def rows_of(pdf):
     cols = sorted(pdf.columns)
     out = []
@@ -76,7 +93,8 @@ def compare(spark, sf_dir, names=None, con=None, verbose=True):
     for name in (names or list(QUERIES)):
         t0 = time.time()
         try:
-            sdf = QUERIES[name](spark, sf_dir).toPandas()
+            sframe = QUERIES[name](spark, sf_dir)
+            sdf = sframe.toPandas()
         except Exception as e:  # report and go on
             results[name] = ("spark-error", str(e)[:400])
             if verbose:
@@ -97,6 +115,7 @@ def compare(spark, sf_dir, names=None, con=None, verbose=True):
             continue
         sc, sr = rows_of(sdf)
         dc, dr = rows_of(ddf)
+        types = type_mismatches(sframe.schema, con, ORACLE[name])
         if sc != dc:
             status = ("names", f"spark {sc} vs sql {dc}")
         elif len(sr) != len(dr):
@@ -104,6 +123,8 @@ def compare(spark, sf_dir, names=None, con=None, verbose=True):
         elif sr != dr:
             diff = [(a, b) for a, b in zip(sr, dr) if a != b][:3]
             status = ("values", f"first diffs {diff}")
+        elif types:
+            status = ("types", "; ".join(types))
         else:
             status = ("ok", len(sr))
         results[name] = status
