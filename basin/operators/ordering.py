@@ -3,8 +3,9 @@
 ``row_number()`` over ``partitionBy(group)`` sends every row of a group to one task; a group that
 holds a third of the data would then be sorted by one task. Instead the rows are range-sorted
 globally (a large group spans many partitions), each row's position inside its partition comes
-from ``monotonically_increasing_id``, and per ``(group, partition)`` counts give each partition's
-offset. The only window runs over those counts (at most one row per group and partition).
+from ``monotonically_increasing_id`` (stored by a checkpoint), and per ``(group, partition)`` counts
+give each partition's offset. The only window runs over those counts (at most one row per group and
+partition), and they are joined back on ``(group, partition)``, which splits a hot group too.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basin.operators._common import all_of, as_list
+from basin.session import checkpoint_dir
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -26,8 +28,13 @@ def dense_index(df: DataFrame, order, group=None, base: int = 0, name: str = "id
     group = as_list(group)
     order = as_list(order)
     cols = df.columns
-    tagged = (df.orderBy(*[F.col(g) if isinstance(g, str) else g for g in group + order])
-              .withColumn("__m", F.monotonically_increasing_id()))
+    sort_cols = [F.col(c) if isinstance(c, str) else c for c in group + order]
+    # Positions are stored once with a reliable checkpoint (shared checkpoint folder): the counts and
+    # the rows below must see the very same positions, and two evaluations of a range shuffle may
+    # draw different range bounds. It also cuts the lineage, so a lost executor cannot renumber.
+    checkpoint_dir(df.sparkSession)
+    tagged = (df.orderBy(*sort_cols).withColumn("__m", F.monotonically_increasing_id())
+              .checkpoint(eager=True))
     tagged = (tagged.withColumn("__p", F.shiftright(F.col("__m"), 33))
               .withColumn("__local", F.col("__m").bitwiseAND(F.lit(_LOW_BITS))))
     gcols = [F.col(g).alias(f"__g{i}") for i, g in enumerate(group)]

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basin.operators._common import as_list
+from basin.session import checkpoint_dir
 
 # fixed values: interval units accepted in gap strings, in microseconds
 _UNITS_US = {"microsecond": 1, "millisecond": 1000, "second": 1_000_000, "minute": 60_000_000,
@@ -119,6 +120,10 @@ def session_windows(df: DataFrame, ts: str, keys, gap: str, value: str | None =
         T.StructField("total", T.DoubleType()), T.StructField("pid", T.IntegerType()),
         T.StructField("head", T.BooleanType()), T.StructField("tail", T.BooleanType())]
     partial = ordered.mapInPandas(_partial_sessions(keys, value is not None, gap_us), T.StructType(fields))
+    # the interior and edge sessions below must come from one evaluation (two evaluations of a range
+    # shuffle may draw different bounds): store the partial sessions once in the checkpoint folder
+    checkpoint_dir(df.sparkSession)
+    partial = partial.checkpoint(eager=True)
     gap_expr = F.expr(f"INTERVAL '{gap_us}' MICROSECOND")
     edge = partial.where(F.col("head") | F.col("tail"))
     inner = partial.where(~F.col("head") & ~F.col("tail"))
