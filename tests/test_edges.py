@@ -234,3 +234,18 @@ def test_local_date_shanghai(spark):
     from basin.functions import local_date
     assert str(one(spark, local_date(F.col("s").cast("timestamp_ntz"), "Asia/Shanghai"),
                    value="2024-01-01 16:30:00")) == "2024-01-02"
+
+
+@pytest.mark.parametrize("fmt", ["text", "csv", "json", "parquet", "orc"])
+def test_every_accepted_codec_round_trips(spark, tmp, sf_dir, fmt):
+    from basin.sources.files import CODECS
+    src = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    if fmt == "text":
+        src = src.select(F.concat_ws("|", "n_nationkey", "n_name").alias("value"))
+    for codec in CODECS[fmt]:
+        out = os.path.join(tmp, f"{fmt}-{codec}")
+        from basin.sources.files import write_df
+        write_df(src, out, fmt, codec)
+        reader = spark.read.format(fmt)
+        back = reader.schema(src.schema).load(out) if fmt in ("csv", "json", "text") else reader.load(out)
+        assert back.count() == src.count(), (fmt, codec)
