@@ -249,3 +249,30 @@ def test_every_accepted_codec_round_trips(spark, tmp, sf_dir, fmt):
         reader = spark.read.format(fmt)
         back = reader.schema(src.schema).load(out) if fmt in ("csv", "json", "text") else reader.load(out)
         assert back.count() == src.count(), (fmt, codec)
+
+
+def test_sql_job_binds_parameters_and_publishes(spark, tmp, sf_dir):
+    from basin.plans.jobs import sql_job
+    db = "basin_sqljob_db"
+    A.ensure_database(spark, db, location=os.path.join(tmp, "db"))
+    views = {"nation": spark.read.parquet(f"{sf_dir}/nation.parquet")}
+    t = sql_job(spark, "SELECT n_regionkey, count(*) AS n FROM nation WHERE n_name <> :skip GROUP BY n_regionkey",
+                args={"skip": "NATION_0' OR '1'='1"}, target=f"{db}.per_region", views=views,
+                partition_by=["n_regionkey"], comments={"n": "nations per region"})
+    assert sorted((r["n_regionkey"], r["n"]) for r in t.collect()) == [(i, 5) for i in range(5)]
+
+
+def test_jdbc_argument_checks(spark):
+    from basin.sources.jdbc import export_jdbc, import_incremental, import_jdbc
+    with pytest.raises(ValueError):
+        import_jdbc(spark, "jdbc:none://x", "t", column="id", parts=4)  # bounds missing
+    with pytest.raises(ValueError):
+        export_jdbc(spark.range(1), "jdbc:none://x", "t", mode="upsert")
+    df = spark.range(5).withColumnRenamed("id", "k")
+    with pytest.raises(ValueError):
+        import_incremental(df, df, "lastmodified", "k")  # key missing
+    inc = import_incremental(df, df.where("k <= 2"), "append", "k", last=2)
+    assert sorted(r["k"] for r in inc.table.collect()) == [0, 1, 2, 3, 4]
+    assert inc.watermark.first()["watermark"] == 4
+    none_new = import_incremental(df, df, "append", "k", last=10)
+    assert none_new.rows.count() == 0 and none_new.watermark.first()["watermark"] == 10
