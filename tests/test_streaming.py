@@ -86,3 +86,24 @@ def test_topic_through_file_stand_in(spark, tmp):
     got = spark.read.parquet(f"{tmp}/out").drop("key")
     assert got.exceptAll(e).count() == 0 and e.exceptAll(got).count() == 0
     assert encode_records(e, ["event_id", "user_id"]).first()["key"].startswith("{")
+
+
+def test_stream_session_windows_equal_batch(spark, tmp):
+    e = spark.read.parquet(f"{SMALL}/events.parquet")
+    path = f"{tmp}/in"
+    for lo, hi in ((0, 500), (500, 1000)):
+        e.where(f"event_id >= {lo} AND event_id < {hi}").coalesce(1).write.mode("append").parquet(path)
+    closing = e.limit(1).select(F.lit(-1).cast("long").alias("event_id"),
+                                F.lit("2100-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
+                                F.lit(-1).cast("long").alias("user_id"), F.lit("x").alias("event_type"),
+                                F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
+    closing.coalesce(1).write.mode("append").parquet(path)
+    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    agg = window_metrics(s, "ts", "user_id", "session", gap="30 minutes", lateness="1 day", value="value")
+    q = (agg.writeStream.format("parquet").option("checkpointLocation", f"{tmp}/ck").trigger(availableNow=True)
+         .start(f"{tmp}/out"))
+    q.awaitTermination()
+    got = spark.read.parquet(f"{tmp}/out").where("user_id >= 0")
+    batch = window_metrics(e, "ts", "user_id", "session", gap="30 minutes", value="value")
+    key = ["user_id", "window_start", "window_end", "n"]
+    assert sorted(map(tuple, got.select(*key).collect())) == sorted(map(tuple, batch.select(*key).collect()))
