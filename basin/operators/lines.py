@@ -129,8 +129,49 @@ def _with_span(x: DataFrame, span):
     raise TypeError("span must be LineSpan, MarkerSpan or None")
 
 
+def _shift_backrefs(repl: str, n_groups: int) -> str | None:
+    """``repl`` with every ``$n`` turned into ``$(n+1)``; None when the result could be misread."""
+    out, i = [], 0
+    while i < len(repl):
+        ch = repl[i]
+        if ch == "\\" and i + 1 < len(repl):
+            out.append(repl[i:i + 2])
+            i += 2
+            continue
+        if ch == "$" and i + 1 < len(repl) and repl[i + 1].isdigit():
+            j = i + 1
+            num = int(repl[j])
+            j += 1
+            # as Java does: more digits belong to the reference while they name an existing group
+            while j < len(repl) and repl[j].isdigit() and num * 10 + int(repl[j]) <= n_groups:
+                num = num * 10 + int(repl[j])
+                j += 1
+            if j < len(repl) and repl[j].isdigit() and (num + 1) * 10 + int(repl[j]) <= n_groups + 1:
+                return None
+            out.append(f"${num + 1}")
+            i = j
+            continue
+        out.append(ch)
+        i += 1
+    return "".join(out)
+
+
 def replace_first(line: Column, pattern: str, repl: str) -> Column:
-    """Replace only the first match of ``pattern`` in ``line`` (sed ``s///`` without ``g``)."""
+    """Replace only the first match of ``pattern`` in ``line`` (sed ``s///`` without ``g``).
+
+    One regex pass: a lazy prefix group anchored at the start (``^((?s:.*?))(?:pattern)``) finds the
+    first match, and the back-references of ``repl`` are shifted by one. When that rewrite is not
+    safe (a pattern Python cannot parse to count groups, or an ambiguous ``$nn``), the match is
+    located, extracted and replaced separately (three regex passes).
+    """
+    shifted = None
+    try:
+        import re as _re
+        shifted = _shift_backrefs(repl, _re.compile(pattern).groups)
+    except Exception:
+        shifted = None
+    if shifted is not None:
+        return F.regexp_replace(line, F.lit(f"^((?s:.*?))(?:{pattern})"), F.lit("$1" + shifted))
     pos = F.regexp_instr(line, F.lit(pattern))
     m = F.regexp_extract(line, pattern, 0)
     head = line.substr(F.lit(1), pos - 1)

@@ -276,3 +276,12 @@ def test_jdbc_argument_checks(spark):
     assert inc.watermark.first()["watermark"] == 4
     none_new = import_incremental(df, df, "append", "k", last=10)
     assert none_new.rows.count() == 0 and none_new.watermark.first()["watermark"] == 10
+
+
+@pytest.mark.parametrize("line,pattern,repl,expected", [
+    ("aXbXc", "X", "-", "a-bXc"), ("abc", "z", "-", "abc"), ("key=1 key=2", "(\\w+)=(\\d)", "$2:$1", "1:key key=2"),
+    ("#x #y", "^#", "", "x #y"), ("bbb", "a*", "<>", "<>bbb"), ("a$b", "\\$", "\\$\\$", "a$$b"),
+    ("tab\there", "\\s", "_", "tab_here"), ("xay", "(?<=x)a", "A", "xAy"),
+])
+def test_replace_first(spark, line, pattern, repl, expected):
+    assert one(spark, C.replace_first(F.col("s"), pattern, repl), value=line) == expected
