@@ -176,7 +176,7 @@ def q_window_tumbling_stream(spark, sf_dir):
     base = scratch_path(spark, "winstream")
     _stage_files(e, f"{base}/in", 4, "ts")
     # a closing sentinel far past the data moves the watermark beyond every real window
-    closing = e.limit(1).select(F.lit(-1).cast("long").alias("event_id"),
+    closing = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"),
                                 F.lit("2100-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
                                 F.lit(-1).cast("long").alias("user_id"), F.lit("__close__").alias("event_type"),
                                 F.lit(0.0).alias("value"), F.lit("{}").alias("props"))

@@ -27,7 +27,7 @@ def dropped(q):
 
 def test_stream_windows_equal_batch_and_drop_late_rows(spark, tmp):
     e = stage(spark, f"{tmp}/in")
-    closing = e.limit(1).select(F.lit(-1).cast("long").alias("event_id"),
+    closing = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"),
                                 F.lit("2100-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
                                 F.lit(-1).cast("long").alias("user_id"), F.lit("__close__").alias("event_type"),
                                 F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
@@ -93,7 +93,7 @@ def test_stream_session_windows_equal_batch(spark, tmp):
     path = f"{tmp}/in"
     for lo, hi in ((0, 500), (500, 1000)):
         e.where(f"event_id >= {lo} AND event_id < {hi}").coalesce(1).write.mode("append").parquet(path)
-    closing = e.limit(1).select(F.lit(-1).cast("long").alias("event_id"),
+    closing = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"),
                                 F.lit("2100-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
                                 F.lit(-1).cast("long").alias("user_id"), F.lit("x").alias("event_type"),
                                 F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
