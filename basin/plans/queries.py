@@ -432,8 +432,11 @@ def q_local_date(spark, sf_dir):
 
 # ---------------------------------------------------------------- H: SQL jobs
 
+# revenue is summed in exact decimals (prices and discounts have 2 decimals), so the result does not
+# depend on the order in which tasks add up partial sums
 ROLLUP_SQL = """
-SELECT c_mktsegment, o_orderstatus, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue,
+SELECT c_mktsegment, o_orderstatus,
+       CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2)) * (1 - CAST(l_discount AS DECIMAL(18, 2)))) AS DOUBLE) AS revenue,
        count(*) AS n_lines
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 WHERE l_quantity >= {min_qty}
