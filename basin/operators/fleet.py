@@ -24,23 +24,31 @@ def service_health(procs: DataFrame, sockets: DataFrame, services, hosts: DataFr
     ``no_listener`` (a matching process, no such listener), ``absent`` (no matching process).
 
     A process matches a service when its name contains the service's pattern, ignoring case.
-    ``services`` is a short list ``[(service, pattern, port)]``; it is a literal array, so matching is
-    a filter inside each process row (no join, no cross product). Hosts default to those in ``procs``.
+    ``services`` is a short list ``[(service, pattern, port)]`` held as a literal array: matching is a
+    filter inside each process row, the listener check is one equi join on ``(host, pid, port)``,
+    and one aggregation per host (combined map-side) keeps two flags per service. Hosts default
+    to those in ``procs``; pass ``hosts`` to also list hosts without processes.
     """
+    services = list(services)
     svc = _services_array(services)
-    matched = procs.select("host", "pid", F.inline(F.filter(
-        svc, lambda s: F.lower(F.col("name")).contains(s["pattern"]))))
+    matched = procs.select("host", "pid", F.explode_outer(F.filter(
+        svc, lambda s: F.lower(F.col("name")).contains(s["pattern"]))).alias("s"))
+    matched = matched.select("host", "pid", F.col("s.service").alias("service"), F.col("s.port").alias("port"))
     listening = sockets.select("host", "pid", "port").distinct().withColumn("__listen", F.lit(True))
     probe = matched.join(listening, on=["host", "pid", "port"], how="left")
-    per = probe.groupBy("host", "service").agg(
-        F.max(F.col("__listen").isNotNull()).alias("__running"))
-    host_list = (hosts if hosts is not None else procs).select("host").distinct()
-    grid = host_list.select("host", F.inline(svc)).select("host", "service")
-    out = grid.join(per, on=["host", "service"], how="left")
-    state = (F.when(F.col("__running"), F.lit("running"))
-             .when(F.col("__running").isNull(), F.lit("absent"))
-             .otherwise(F.lit("no_listener")))
-    return out.select("host", "service", state.alias("state"))
+    aggs = []
+    for i, (name, _, _) in enumerate(services):
+        hit = F.col("service") == F.lit(name)
+        aggs += [F.max(hit).alias(f"__has{i}"), F.max(hit & F.col("__listen").isNotNull()).alias(f"__run{i}")]
+    per = probe.groupBy("host").agg(*aggs)
+    if hosts is not None:
+        per = hosts.select("host").distinct().join(per, on="host", how="left")
+    states = [F.struct(F.lit(name).alias("service"),
+                       F.when(F.col(f"__run{i}"), F.lit("running"))
+                       .when(F.col(f"__has{i}"), F.lit("no_listener"))
+                       .otherwise(F.lit("absent")).alias("state"))
+              for i, (name, _, _) in enumerate(services)]
+    return per.select("host", F.inline(F.array(*states)))
 
 
 def process_inventory(hosts: DataFrame, procs: DataFrame) -> DataFrame:

@@ -285,3 +285,12 @@ def test_jdbc_argument_checks(spark):
 ])
 def test_replace_first(spark, line, pattern, repl, expected):
     assert one(spark, C.replace_first(F.col("s"), pattern, repl), value=line) == expected
+
+
+def test_service_health_lists_given_hosts(spark):
+    procs = spark.createDataFrame([(1, 7, "kafka.Kafka")], "host long, pid long, name string")
+    sockets = spark.createDataFrame([(1, 7, 9092)], "host long, pid long, port int")
+    hosts = spark.createDataFrame([(1,), (2,)], "host long")
+    out = {(r["host"], r["service"]): r["state"] for r in
+           E.service_health(procs, sockets, [("kafka", "kafka", 9092), ("zk", "QuorumPeer", 2181)], hosts).collect()}
+    assert out == {(1, "kafka"): "running", (1, "zk"): "absent", (2, "kafka"): "absent", (2, "zk"): "absent"}
