@@ -70,3 +70,26 @@ def test_last_wins_one_row_per_key(spark, sf_dir):
     o = X.table(spark, sf_dir, "orders")
     lw = B.last_wins(o, "o_custkey", ["o_orderdate", "o_orderkey"])
     assert lw.count() == o.select("o_custkey").distinct().count()
+
+
+def test_sync_diff_compares_nulls_safely(spark):
+    src = spark.createDataFrame([(1, None), (2, 1.0), (3, None)], "k long, v double")
+    dst = spark.createDataFrame([(1, None), (2, None), (4, 4.0)], "k long, v double")
+    out = {r["k"]: r["status"] for r in B.sync_diff(src, dst, "k", ["v"]).collect()}
+    assert out == {1: "same", 2: "changed", 3: "new", 4: "kept"}
+
+
+def test_last_wins_nulls_sort_lowest_and_ties_are_deterministic(spark):
+    df = spark.createDataFrame([(1, None, "a"), (1, 1, "b"), (2, 5, "x"), (2, 5, "y"), (3, None, "z")],
+                               "k long, o int, v string")
+    out = {r["k"]: r["v"] for r in B.last_wins(df, "k", "o").collect()}
+    assert out == {1: "b", 2: "y", 3: "z"}
+    first = {r["k"]: r["v"] for r in B.first_wins(df, "k", "o").collect()}
+    assert first == {1: "a", 2: "x", 3: "z"}
+
+
+def test_insert_if_absent_null_keys_never_match(spark):
+    target = spark.createDataFrame([(None, "t")], "k long, v string")
+    batch = spark.createDataFrame([(None, "b", 1)], "k long, v string, o int")
+    out = sorted((r["k"], r["v"]) for r in B.insert_if_absent(target, batch, "k", "o").collect())
+    assert out == [(None, "b"), (None, "t")]
