@@ -128,14 +128,17 @@ def q_import_incremental_lastmodified(spark, sf_dir):
     return import_incremental(src, old, "lastmodified", "o_orderdate", key="o_orderkey", last=last).table
 
 
-def _stage_files(df, path, n_files: int, order_col: str):
-    """Write ``df`` as ``n_files`` parquet files in ``order_col`` order, one write per file so that
-    modification times follow the order (the file source replays them in that order)."""
-    buckets = df.withColumn("__b", F.ntile(n_files).over(
-        __import__("pyspark.sql").sql.Window.orderBy(order_col)))
-    for b in range(1, n_files + 1):
-        buckets.where(F.col("__b") == b).drop("__b").coalesce(1).write.mode("append").parquet(path)
+def _stage_files(df, path, n_writes: int, key: str) -> int:
+    """Write ``df`` in ``n_writes`` consecutive ranges of the numeric ``key``, one write per range so
+    file modification times follow the key (the file source replays files in that order). The
+    ranges come from the key's maximum (a scalar subquery), not from a global sort. Returns how many
+    files one write makes at most, to be used as ``maxFilesPerTrigger`` (about one range per batch)."""
+    top = df.select(F.max(key).alias("m")).scalar()
+    part = F.floor(F.col(key) * F.lit(n_writes) / (top + F.lit(1)))
+    for b in range(n_writes):
+        df.where(part == b).write.mode("append").parquet(path)
         time.sleep(0.01)
+    return max(1, df.rdd.getNumPartitions())
 
 
 def _run_available(q):
@@ -174,14 +177,14 @@ FROM events GROUP BY 1, 2, 3""")
 def q_window_tumbling_stream(spark, sf_dir):
     e = X.table(spark, sf_dir, "events")
     base = scratch_path(spark, "winstream")
-    _stage_files(e, f"{base}/in", 4, "ts")
+    per_batch = _stage_files(e, f"{base}/in", 4, "event_id")  # ts never decreases with event_id
     # a closing sentinel far past the data moves the watermark beyond every real window
     closing = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"),
                                 F.lit("2100-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
                                 F.lit(-1).cast("long").alias("user_id"), F.lit("__close__").alias("event_type"),
                                 F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
-    closing.write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    closing.write.mode("append").parquet(f"{base}/in")  # one row: one file
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", per_batch).parquet(f"{base}/in")
     agg = window_metrics(stream, "ts", "event_type", "tumbling", size="1 hour", lateness="2 hours", value="value")
     q = (agg.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/ckpt")
          .trigger(availableNow=True).start(f"{base}/out"))
@@ -194,10 +197,10 @@ def q_window_tumbling_stream(spark, sf_dir):
 def q_dedup_stream_files(spark, sf_dir):
     e = X.table(spark, sf_dir, "events")
     base = scratch_path(spark, "dedup")
-    _stage_files(e, f"{base}/in", 4, "event_id")
+    per_batch = _stage_files(e, f"{base}/in", 4, "event_id")
     # repeated deliveries of the error events, arriving after everything else
-    e.where(F.col("event_type") == "error").coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    e.where(F.col("event_type") == "error").write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", per_batch).parquet(f"{base}/in")
     d = dedup_stream(stream, "ts", "event_id", "365 days")
     q = (d.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/ckpt")
          .trigger(availableNow=True).start(f"{base}/out"))
