@@ -54,17 +54,19 @@ def length_guard(df: DataFrame, limits: dict, truncate: bool = False) -> DataFra
     """Check character lengths against ``limits`` (e.g. ``{"comment": 256, "params": 4000}``).
 
     Adds ``accepted`` and ``reason`` (the first failing rule, e.g. ``comment>256``, else NULL).
-    With ``truncate`` over-long values are cut to the limit and the row is accepted.
+    With ``truncate`` over-long values are cut to the limit, the row is accepted and ``reason``
+    names the first rule that cut it (``comment>256 truncated``).
     Use ``df.where('accepted')`` / ``df.where('not accepted')`` for the two sides.
     """
-    out = df
     reason = F.lit(None).cast("string")
     for col, limit in reversed(list(limits.items())):
         too_long = F.char_length(F.col(col)) > F.lit(int(limit))
         reason = F.when(too_long, F.lit(f"{col}>{limit}")).otherwise(reason)
-    if truncate:
-        for col, limit in limits.items():
-            out = out.withColumn(col, F.when(F.char_length(F.col(col)) > int(limit),
-                                             F.substring(F.col(col), 1, int(limit))).otherwise(F.col(col)))
-        return out.withColumn("accepted", F.lit(True)).withColumn("reason", F.lit(None).cast("string"))
-    return out.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
+    out = df.withColumn("reason", reason)
+    if not truncate:
+        return out.withColumn("accepted", F.col("reason").isNull())
+    for col, limit in limits.items():
+        out = out.withColumn(col, F.when(F.char_length(F.col(col)) > int(limit),
+                                         F.substring(F.col(col), 1, int(limit))).otherwise(F.col(col)))
+    return (out.withColumn("reason", F.when(F.col("reason").isNotNull(), F.concat(F.col("reason"), F.lit(" truncated"))))
+            .withColumn("accepted", F.lit(True)))

@@ -112,8 +112,9 @@ def test_length_guard(spark):
     df = spark.createDataFrame([("x" * 256, "ok"), ("y" * 257, "ok"), ("z", "w" * 4001)], "c string, p string")
     out = [(r["accepted"], r["reason"]) for r in G.length_guard(df, {"c": 256, "p": 4000}).collect()]
     assert out == [(True, None), (False, "c>256"), (False, "p>4000")]
-    cut = G.length_guard(df, {"c": 256}, truncate=True)
-    assert max(len(r["c"]) for r in cut.collect()) == 256
+    cut = G.length_guard(df, {"c": 256}, truncate=True).collect()
+    assert max(len(r["c"]) for r in cut) == 256
+    assert [r["reason"] for r in cut] == [None, "c>256 truncated", None] and all(r["accepted"] for r in cut)
 
 
 def test_session_gap_tie_extends_session(spark):
@@ -294,3 +295,15 @@ def test_service_health_lists_given_hosts(spark):
     out = {(r["host"], r["service"]): r["state"] for r in
            E.service_health(procs, sockets, [("kafka", "kafka", 9092), ("zk", "QuorumPeer", 2181)], hosts).collect()}
     assert out == {(1, "kafka"): "running", (1, "zk"): "absent", (2, "kafka"): "absent", (2, "zk"): "absent"}
+
+
+def test_event_log_summaries_cover_plain_and_zstd_logs(spark, sf_dir):
+    import glob
+
+    from basin.plans.io_queries import _event_log_dir
+    from basin.sources.eventlog import read_event_log, run_summary
+    path = _event_log_dir(spark, sf_dir)
+    assert glob.glob(f"{path}/eventlog_v2_*/events_*.zstd") and glob.glob(f"{path}/local-*")
+    rows = run_summary(read_event_log(spark, path)).collect()
+    assert len(rows) == 2
+    assert all(r["n_jobs"] >= 1 and r["n_tasks"] >= 1 and r["wall_ms"] > 0 and r["n_failed_jobs"] == 0 for r in rows)
