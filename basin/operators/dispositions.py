@@ -87,16 +87,14 @@ def update_matching(target: DataFrame, batch: DataFrame, keys, cols=None, order=
 
     A batch row with a NULL new value writes NULL (a marker column tells "matched" apart from
     "no batch row"). If the batch repeats a key, the last row by ``order`` wins (without ``order``
-    the largest row wins, so the result is still deterministic). Row count never changes.
+    the largest row wins, so the result is still deterministic). ``cols`` defaults to the batch's
+    columns other than keys and order columns. Row count never changes.
     """
     keys = as_list(keys)
-    cols = as_list(cols) or [c for c in batch.columns if c not in keys]
-    b = batch.select(*keys, *cols)
-    if order is not None:
-        b = pick_one(batch.select(*keys, *cols, *[o for o in as_list(order) if isinstance(o, str) and o not in keys + cols]),
-                     keys, order, last=True).select(*keys, *cols)
-    else:
-        b = pick_one(b, keys, [], last=True)
+    order = as_list(order)
+    order_names = [o for o in order if isinstance(o, str)]
+    cols = as_list(cols) or [c for c in batch.columns if c not in keys and c not in order_names]
+    b = pick_one(batch, keys, order, last=True).select(*keys, *cols)
     b = b.select(*keys, *[F.col(c).alias(f"__new_{c}") for c in cols], F.lit(True).alias("__matched"))
     j = target.join(b, on=keys, how="left")
     out = [F.when(F.col("__matched"), F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
