@@ -16,12 +16,6 @@ def as_list(x) -> list:
     return [x]
 
 
-def col_name(c) -> str:
-    if isinstance(c, str):
-        return c
-    raise TypeError("expected a column name")
-
-
 def all_of(conds: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conds) if conds else F.lit(True)
 

@@ -63,7 +63,9 @@ def insert_if_absent(target: DataFrame, batch: DataFrame, keys, order) -> DataFr
     """
     keys = as_list(keys)
     first = pick_one(batch, keys, order, last=False).select(*target.columns)
-    new = first.join(target.select(*keys), on=keys, how="left_anti")
+    # distinct keys: a key repeated many times in the target is collapsed in each task before the
+    # shuffle, and the join reuses the distinct's partitioning
+    new = first.join(target.select(*keys).distinct(), on=keys, how="left_anti")
     return target.unionByName(new)
 
 
@@ -139,5 +141,5 @@ def sync_diff(src: DataFrame, dst: DataFrame, keys, compare_cols) -> DataFrame:
 def sync_apply(src: DataFrame, dst: DataFrame, keys) -> DataFrame:
     """The target after a sync: source rows win, target-only rows stay. Idempotent."""
     keys = as_list(keys)
-    kept = dst.select(*src.columns).join(src.select(*keys), on=keys, how="left_anti")
+    kept = dst.select(*src.columns).join(src.select(*keys).distinct(), on=keys, how="left_anti")
     return src.unionByName(kept)

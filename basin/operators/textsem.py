@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basin.functions.collation import binary, collated
-from basin.operators._common import as_list
 from basin.operators.ordering import dense_index
 
 
