@@ -118,7 +118,7 @@ SYNC_STATES = ("new", "changed", "same", "kept")
 
 
 def sync_diff(src: DataFrame, dst: DataFrame, keys, compare_cols) -> DataFrame:
-    """Compare two snapshots by key.
+    """Compare two snapshots by key (keys are unique within each snapshot).
 
     ``new`` = only in source, ``kept`` = only in target (nothing is deleted), ``same`` / ``changed``
     = in both, compared NULL-safely on ``compare_cols`` (callers choose content, or size and

@@ -33,12 +33,15 @@ def import_jdbc(spark: SparkSession, url: str, table: str, column: str | None =
 
 
 def export_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", props: dict | None = None,
-                batchsize: int = 10000, parts: int | None = None) -> None:
-    """A5: write ``df`` to an RDBMS table; ``mode`` append or overwrite (``truncate`` keeps the table
-    definition). ``parts`` caps concurrent connections."""
+                batchsize: int = 10000, parts: int | None = None, truncate: bool = True) -> None:
+    """A5: write ``df`` to an RDBMS table; ``mode`` append or overwrite. An overwrite truncates the
+    table (keeping its definition, grants and indexes) unless ``truncate=False``, which drops and
+    recreates it. ``parts`` caps concurrent connections (the data is coalesced to that many tasks)."""
     if mode not in ("append", "overwrite"):
         raise ValueError("mode must be append or overwrite")
     w = df.write.format("jdbc").option("url", url).option("dbtable", table).option("batchsize", batchsize)
+    if mode == "overwrite":
+        w = w.option("truncate", str(truncate).lower())
     if parts:
         w = w.option("numPartitions", int(parts))
     w.options(**(props or {})).mode(mode).save()
