@@ -50,7 +50,7 @@ def read_topic(spark: SparkSession, servers: str, topic: str, schema, source: st
 
 
 def write_topic(df: DataFrame, key, servers: str, topic: str, sink: str = "kafka",
-                checkpoint: str | None = None, options: dict | None = None):
+                checkpoint: str | None = None, options: dict | None = None, trigger: dict | None = None):
     """Publish rows as key/value JSON records. Returns the StreamingQuery for a stream, else None."""
     out = encode_records(df, key)
     if df.isStreaming:
@@ -58,6 +58,8 @@ def write_topic(df: DataFrame, key, servers: str, topic: str, sink: str = "kafka
              .options(**(options or {})))
         if checkpoint:
             w = w.option("checkpointLocation", checkpoint)
+        if trigger:
+            w = w.trigger(**trigger)
         return w.start()
     (out.write.format(sink).option("kafka.bootstrap.servers", servers).option("topic", topic)
      .options(**(options or {})).save())

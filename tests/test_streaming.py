@@ -107,3 +107,16 @@ def test_stream_session_windows_equal_batch(spark, tmp):
     batch = window_metrics(e, "ts", "user_id", "session", gap="30 minutes", value="value")
     key = ["user_id", "window_start", "window_end", "n"]
     assert sorted(map(tuple, got.select(*key).collect())) == sorted(map(tuple, batch.select(*key).collect()))
+
+
+def test_write_topic_from_a_stream(spark, tmp):
+    from basin.sources.topic import decode_records, write_topic
+    e = spark.read.parquet(f"{SMALL}/events.parquet")
+    e.write.parquet(f"{tmp}/in")
+    s = spark.readStream.schema(e.schema).parquet(f"{tmp}/in")
+    q = write_topic(s, "event_id", "unused:9092", "events", sink="json", checkpoint=f"{tmp}/ck",
+                    options={"path": f"{tmp}/topic"}, trigger={"availableNow": True})
+    q.awaitTermination()
+    got = decode_records(spark.read.schema("key string, value string").json(f"{tmp}/topic"), e.schema)
+    assert got.drop("key").exceptAll(e).count() == 0 and got.count() == e.count()
+    assert got.where(F.col("key") != F.col("event_id").cast("string")).count() == 0
