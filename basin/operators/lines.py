@@ -56,6 +56,12 @@ def _marker_positions(ls: Column, pattern: str) -> Column:
 
 
 def _pairs(ls: Column, begin: str, end: str | None) -> Column:
+    """``array<struct<begin:int, end:int>>``: the i-th begin marker paired with the i-th end marker.
+
+    An unpaired begin has ``end`` NULL; an unpaired end has ``begin`` NULL. With ``end=None`` each
+    section runs from its begin marker to the last line. ``ls`` must be a column reference (it is
+    used inside lambdas).
+    """
     begins = _marker_positions(ls, begin)
     if end is None:
         return F.transform(begins, lambda b: F.struct(b.alias("begin"), F.size(ls).alias("end")))
@@ -63,15 +69,6 @@ def _pairs(ls: Column, begin: str, end: str | None) -> Column:
     return F.zip_with(begins, ends, lambda b, e: F.struct(b.alias("begin"), e.alias("end")))
 
 
-def section_array(text, begin: str, end: str | None) -> Column:
-    """``array<struct<begin:int, end:int>>``: i-th begin marker paired with the i-th end marker.
-
-    An unpaired begin has ``end`` NULL; an unpaired end has ``begin`` NULL. With ``end=None`` each
-    section runs from its begin marker to the end of the text (``end`` = last line).
-    """
-    return _pairs(lines(text), begin, end)
-
-
 # Helper columns. Anything a per-line lambda needs (the line array, the line count, the section
 # list) is computed once per row as a column first: an expression written inside the lambda would
 # be evaluated again for every line -- quadratic in the number of lines.
