@@ -382,6 +382,21 @@ def q_ci_group(spark, sf_dir):
     return G.ci_group(_mixed_source(spark, sf_dir), "src", "lcase")
 
 
+@query("ci_group_accents", """
+WITH c AS (SELECT CASE c_custkey % 4 WHEN 0 THEN 'Nation_' WHEN 1 THEN 'NATIÓN_' WHEN 2 THEN 'nátion_'
+                  ELSE 'nation_' END || CAST(c_nationkey AS VARCHAR) || CASE WHEN c_custkey % 5 = 0 THEN '  ' ELSE '' END
+                  AS name FROM customer)
+SELECT min(name) AS value, count(*) AS n FROM c GROUP BY lower(strip_accents(rtrim(name)))""")
+def q_ci_group_accents(spark, sf_dir):
+    # accent, case and trailing-blank variants of one name fall into one group under utf8_general_ci
+    c = X.table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    stem = (F.when(k % 4 == 0, F.lit("Nation_")).when(k % 4 == 1, F.lit("NATIÓN_"))
+            .when(k % 4 == 2, F.lit("nátion_")).otherwise(F.lit("nation_")))
+    name = F.concat(stem, F.col("c_nationkey").cast("string"), F.when(k % 5 == 0, F.lit("  ")).otherwise(F.lit("")))
+    return G.ci_group(c.select(name.alias("name")), "name", "utf8_general_ci")
+
+
 @query("ci_join", """
 WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN lower('NATION_' || c_nationkey)
                                   ELSE 'Nation_' || c_nationkey END AS nation_name FROM customer)
@@ -395,6 +410,23 @@ def q_ci_join(spark, sf_dir):
     return G.ci_join(c, n, "nation_name", "lcase", b_on="n_name").select("c_custkey", "n_nationkey", "n_name")
 
 
+@query("ci_join_accents", """
+WITH c AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Nation_' WHEN 1 THEN 'NATIÓN_' WHEN 2 THEN 'nátion_'
+                  ELSE 'nation_' END || CAST(c_nationkey AS VARCHAR) || CASE WHEN c_custkey % 5 = 0 THEN '  ' ELSE '' END
+                  AS name FROM customer)
+SELECT c.c_custkey, n.n_nationkey, n.n_name
+FROM c JOIN nation n ON lower(strip_accents(rtrim(c.name))) = lower(strip_accents(rtrim(n.n_name)))""")
+def q_ci_join_accents(spark, sf_dir):
+    c = X.table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    stem = (F.when(k % 4 == 0, F.lit("Nation_")).when(k % 4 == 1, F.lit("NATIÓN_"))
+            .when(k % 4 == 2, F.lit("nátion_")).otherwise(F.lit("nation_")))
+    name = F.concat(stem, F.col("c_nationkey").cast("string"), F.when(k % 5 == 0, F.lit("  ")).otherwise(F.lit("")))
+    n = X.table(spark, sf_dir, "nation")
+    j = G.ci_join(c.select("c_custkey", name.alias("name")), n, "name", "utf8_general_ci", b_on="n_name")
+    return j.select("c_custkey", "n_nationkey", "n_name")
+
+
 @query("collated_sort", """
 WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS name FROM customer)
 SELECT c_custkey, name, CAST(row_number() OVER (ORDER BY lower(name), name) AS BIGINT) AS pos FROM c""")
