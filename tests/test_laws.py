@@ -93,3 +93,12 @@ def test_insert_if_absent_null_keys_never_match(spark):
     batch = spark.createDataFrame([(None, "b", 1)], "k long, v string, o int")
     out = sorted((r["k"], r["v"]) for r in B.insert_if_absent(target, batch, "k", "o").collect())
     assert out == [(None, "b"), (None, "t")]
+
+
+def test_grep_and_inverted_grep_partition_the_lines(spark, sf_dir):
+    d = X.table(spark, sf_dir, "documents").where("doc_id < 200")
+    hit = C.grep_lines(d, "doc_id", "text", "the", ignore_case=True)
+    miss = C.grep_lines(d, "doc_id", "text", "the", ignore_case=True, invert=True)
+    every = d.select("doc_id", F.inline(C.numbered_lines("text")))
+    assert hit.join(miss, ["doc_id", "line_no"], "inner").count() == 0
+    assert same_rows(hit.unionByName(miss), every)
