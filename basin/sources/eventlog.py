@@ -21,26 +21,32 @@ ZSTD_SUFFIXES = (".zstd", ".zst")
 _NOT_EVENTS = ("appstatus",)
 
 
-def _unzstd(batches):
-    import io
-
-    import pandas as pd
-    try:
-        import zstandard
-    except ImportError as e:  # pragma: no cover
-        raise RuntimeError("reading zstd event logs needs the zstandard module") from e
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content)) as r:
-                text = io.TextIOWrapper(r, encoding="utf-8")
-                chunk = []
-                for line in text:
-                    chunk.append(line.rstrip("\n"))
-                    if len(chunk) >= 10000:
+def _unzstd_fn():
+    """The decompression step, built as a closure so it is shipped to Python workers by value
+    (no basin installation needed there)."""
+
+    def unzstd(batches):
+        import io
+
+        import pandas as pd
+        try:
+            import zstandard
+        except ImportError as e:  # pragma: no cover
+            raise RuntimeError("reading zstd event logs needs the zstandard module") from e
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content)) as r:
+                    text = io.TextIOWrapper(r, encoding="utf-8")
+                    chunk = []
+                    for line in text:
+                        chunk.append(line.rstrip("\n"))
+                        if len(chunk) >= 10000:
+                            yield pd.DataFrame({"value": chunk, "file": path})
+                            chunk = []
+                    if chunk:
                         yield pd.DataFrame({"value": chunk, "file": path})
-                        chunk = []
-                if chunk:
-                    yield pd.DataFrame({"value": chunk, "file": path})
+
+    return unzstd
 
 
 def event_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -62,7 +68,7 @@ def event_lines(spark: SparkSession, path: str) -> DataFrame:
         bz = bz | bpath.endswith(suf)
     packed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
               .where(bz).select("path", "content"))
-    unpacked = packed.mapInPandas(_unzstd, "value string, file string")
+    unpacked = packed.mapInPandas(_unzstd_fn(), "value string, file string")
     return plain.unionByName(unpacked)
 
 

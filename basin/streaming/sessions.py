@@ -43,16 +43,20 @@ def interval_micros(text: str) -> int:
     return total
 
 
-def _same(a: pd.Series, b: pd.Series) -> pd.Series:
-    return (a == b) | (a.isna() & b.isna())
-
-
 def _partial_sessions(keys, has_value, gap_us):
-    gap = pd.Timedelta(microseconds=gap_us)
+    """The per-partition step. Everything it uses is defined or imported inside, so the function is
+    shipped to Python workers by value and needs no basin installation there."""
+    gap_micros = gap_us
     out_cols = keys + ["start", "last", "n", "total"]
 
     def run(batches):
+        import pandas as pd
         from pyspark import TaskContext
+
+        def _same(a, b):
+            return (a == b) | (a.isna() & b.isna())
+
+        gap = pd.Timedelta(microseconds=gap_micros)
         pid = TaskContext.get().partitionId()
         carry = None   # the open session (a one-row frame): it may continue in the next batch
         emitted = 0
