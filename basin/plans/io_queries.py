@@ -7,6 +7,7 @@ reads the result back, and is checked against the SQL of the table it started fr
 
 from __future__ import annotations
 
+import contextlib
 import time
 import uuid
 
@@ -141,6 +142,20 @@ def _stage_files(df, path, n_writes: int, key: str) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
+@contextlib.contextmanager
+def _state_partitions(spark, n: int):
+    """A stream fixes its state partition count (``spark.sql.shuffle.partitions``) when it first
+    starts; size it to the input (the scan's partition count grows with the data) while the
+    fixture's stream starts, then restore the session's value."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(2, n)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _run_available(q):
     q.awaitTermination()
     if q.exception() is not None:
@@ -164,8 +179,10 @@ def q_upsert_stream(spark, sf_dir):
      .coalesce(1).write.mode("append").parquet(src))
     stream = spark.readStream.schema("k BIGINT, v DOUBLE, ver INT").option("maxFilesPerTrigger", 1).parquet(src)
     # buckets sized to the data: about one bucket per few GB; a 15k-row table needs few
-    q = upsert_stream(stream, "k", "ver", f"{base}/table", f"{base}/ckpt", trigger={"availableNow": True}, buckets=8)
-    _run_available(q)
+    with _state_partitions(spark, o.rdd.getNumPartitions()):
+        q = upsert_stream(stream, "k", "ver", f"{base}/table", f"{base}/ckpt", trigger={"availableNow": True},
+                          buckets=8)
+        _run_available(q)
     return read_upserted(spark, f"{base}/table").select("k", "v")
 
 
@@ -186,9 +203,10 @@ def q_window_tumbling_stream(spark, sf_dir):
     closing.write.mode("append").parquet(f"{base}/in")  # one row: one file
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", per_batch).parquet(f"{base}/in")
     agg = window_metrics(stream, "ts", "event_type", "tumbling", size="1 hour", lateness="2 hours", value="value")
-    q = (agg.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/ckpt")
-         .trigger(availableNow=True).start(f"{base}/out"))
-    _run_available(q)
+    with _state_partitions(spark, per_batch):
+        q = (agg.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/ckpt")
+             .trigger(availableNow=True).start(f"{base}/out"))
+        _run_available(q)
     out = spark.read.parquet(f"{base}/out")
     return out.where(F.col("event_type") != "__close__").withColumn("total", F.round("total", 2))
 
@@ -202,9 +220,10 @@ def q_dedup_stream_files(spark, sf_dir):
     e.where(F.col("event_type") == "error").write.mode("append").parquet(f"{base}/in")
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", per_batch).parquet(f"{base}/in")
     d = dedup_stream(stream, "ts", "event_id", "365 days")
-    q = (d.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/ckpt")
-         .trigger(availableNow=True).start(f"{base}/out"))
-    _run_available(q)
+    with _state_partitions(spark, per_batch):
+        q = (d.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/ckpt")
+             .trigger(availableNow=True).start(f"{base}/out"))
+        _run_available(q)
     return spark.read.parquet(f"{base}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
