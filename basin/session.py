@@ -59,7 +59,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.rstrip("/")
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir (or SparkContext.setCheckpointDir) to a folder all "
                                "executors share; basin writes checkpoints and intermediates there")
         configured = tempfile.mkdtemp(prefix="basin-ckpt-")
