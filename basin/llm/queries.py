@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from basin.llm import bpe
+from basin.llm import bpe, simhash, toxicity
 from basin.llm import token_counts as tc
 from basin.llm._common import table
 
@@ -47,3 +47,14 @@ def op8_token_counts(spark, sf_dir):
     counts = tc.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), budget=512)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"),
                          "within_budget_chars")
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_simhash")
+def op10_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
