@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from basin.llm import bpe, simhash, toxicity
+from basin.llm import bpe, mixing, pii, simhash, toxicity
 from basin.llm import token_counts as tc
 from basin.llm._common import table
 
@@ -58,3 +58,27 @@ def op7_toxicity(spark, sf_dir):
 def op10_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Labelled domains and the token shares wanted of them.
+TARGETS = {"clean": 0.93, "low": 0.05, "toxic": 0.02}
+
+
+def labelled_domains(labels):
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
+    return labels.select("doc_id", domain.alias("domain")).filter("domain IS NOT NULL")
+
+
+@query("op5_mixing")
+def op5_mixing(spark, sf_dir):
+    return mixing.document_rates(table(spark, sf_dir, "documents"),
+                                 labelled_domains(table(spark, sf_dir, "labels")), TARGETS)
+
+
+#: The key of the surrogates; a deployment passes its own secret.
+PII_KEY = "basin-surrogates"
+
+
+@query("op6_pii")
+def op6_pii(spark, sf_dir):
+    return pii.replace_pii(table(spark, sf_dir, "documents"), PII_KEY)
