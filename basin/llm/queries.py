@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from basin.llm import bpe, mixing, pii, simhash, toxicity
+from basin.llm import ann, bpe, embedding_dedup, mixing, pii, simhash, toxicity
 from basin.llm import token_counts as tc
 from basin.llm._common import table
 
@@ -82,3 +82,13 @@ PII_KEY = "basin-surrogates"
 @query("op6_pii")
 def op6_pii(spark, sf_dir):
     return pii.replace_pii(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+@query("op9_embedding_dedup")
+def op9_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+@query("op3_ann")
+def op3_ann(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
