@@ -36,7 +36,7 @@ from basin.llm.embedding_dedup import usable
 
 TREES = 64
 BITS = 32
-REACH = 0.95
+REACH = 1.1
 BLOCK_ROWS = 8192
 CHUNK_QUERIES = 1024
 SEED = 41

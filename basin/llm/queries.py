@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from basin.llm import ann, bpe, embedding_dedup, mixing, pii, simhash, toxicity
+from basin.llm import ann, bpe, embedding_dedup, mixing, pii, quality, simhash, toxicity, url_filter
 from basin.llm import token_counts as tc
 from basin.llm._common import table
 
@@ -92,3 +92,53 @@ def op9_embedding_dedup(spark, sf_dir):
 @query("op3_ann")
 def op3_ann(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op4_quality")
+def op4_quality(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Fixed values of the query: (verdict, host, path).
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+         ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+@query("op2_url_filter", r"""
+WITH RECURSIVE rules(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
+  ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+parts AS (SELECT page_id, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)', 1), '') AS query FROM pages),
+tags AS (SELECT host, path, host || path || query AS a,
+    unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag
+  FROM parts WHERE host <> '' AND regexp_matches(html, '(?i)canonical|http-equiv')),
+targets AS (SELECT host, path, a, CASE
+    WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b')
+      THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+    WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b')
+      THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END AS t FROM tags),
+whole AS (SELECT a, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'x:' || t
+    WHEN starts_with(t, '/') THEN 'x://' || host || t
+    ELSE 'x://' || host || regexp_replace(path, '[^/]*$', '') || t END AS u FROM targets WHERE t <> ''),
+ends AS (SELECT a, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS bh,
+  regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*(?:\?[^#]*)?)', 1) AS bp FROM whole),
+links AS (SELECT DISTINCT a, bh || bp AS b FROM ends WHERE bh <> ''),
+pairs AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+nodes AS (SELECT DISTINCT a AS node FROM pairs),
+bad AS (SELECT node FROM (SELECT node, (SELECT r.verdict FROM rules r
+    WHERE (regexp_extract(node, '^[^/?]*') = r.h OR ends_with(regexp_extract(node, '^[^/?]*'), '.' || r.h))
+      AND starts_with(regexp_extract(node, '^[^/?]*([^?]*)', 1), r.p)
+    ORDER BY length(r.h || r.p) DESC, length(r.h) DESC LIMIT 1) AS v FROM nodes) WHERE v = 'block'),
+tainted(node) AS (SELECT node FROM bad UNION SELECT pairs.b FROM tainted JOIN pairs ON pairs.a = tainted.node),
+ruled AS (SELECT page_id, host, path, host || path || query AS node, (SELECT {'rule': r.h || r.p, 'verdict': r.verdict}
+    FROM rules r WHERE (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p)
+    ORDER BY length(r.h || r.p) DESC, length(r.h) DESC LIMIT 1) AS r FROM parts)
+SELECT page_id, host, path, r.rule AS rule,
+  CASE WHEN r.verdict IS NOT NULL THEN r.verdict WHEN host <> '' AND node IN (SELECT node FROM tainted) THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM ruled""")
+def op2_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
