@@ -12,13 +12,15 @@ Only slots whose share of documents differs between the labels by at least ``SCR
 in the training rows (counted by Spark) have weights, so the many other words of a long text add no
 noise.
 
+A round's state is the intercept and the screened slots' weights, whatever the number of tasks.
+
 Training rows: at most ``max_rows`` of the labelled rows outside the held-out fold for each label
 (``MAX_ROWS``), picked by a hash of the id, weighted back to the label's share. Scoring covers every
 text whole, in the task that scans it, without a shuffle.
 
 Edge cases: null and empty texts have no terms and get the score of the intercept; labels that are
 null are ignored; a document labelled twice counts with its larger label; without labelled rows all
-scores are 0.5; other columns are ignored, and id, language and source are never inputs.
+scores are 0.5, with rows of one label only all lean to it; other columns are ignored, and id, language and source are never inputs.
 """
 
 from __future__ import annotations
@@ -31,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basin.llm._common import held_out, stored, worker_cache
+from basin.llm._common import hash_bucket, held_out, stored, worker_cache
 
-BITS = 16
+BITS = 18
 FACTORS = 6
 MAX_ROWS = 12_000
 ROUNDS = 8
@@ -44,7 +46,6 @@ RATE, L1, L1_PAIRS = 0.3, 2e-4, 1e-3
 SCREEN = 4.0
 PREFIX = 5
 CACHE_WORDS = 200_000
-CHARS_PER_SLICE = 2_000_000
 
 
 class _Slots(dict):
@@ -69,63 +70,68 @@ def _terms(text, slots, words=re.compile(r"\w+")) -> np.ndarray:
 
 
 class Weights:
-    """Intercept, linear weights and factors as float32 arrays."""
+    """Intercept, and linear weight and factors of the screened slots."""
+
+    def __init__(self, slots, b=0.0, w=None, v=None):
+        n = len(slots)
+        self.slots, self.b = np.asarray(slots, np.int32), float(b)
+        self.w = np.zeros(n) if w is None else w
+        self.v = np.random.default_rng(7).normal(0, 1e-2, (n, FACTORS)) if v is None else v
+        self.place = np.full(1 << BITS, -1, np.int32)
+        self.place[self.slots] = np.arange(n)
 
-    def __init__(self, raw: bytes | None = None):
-        n = 1 << BITS
-        if raw is None:
-            self.w, self.b = np.zeros(n, np.float32), np.zeros(1, np.float32)
-            self.v = np.zeros((n, FACTORS), np.float32)
-        else:
-            flat = np.frombuffer(raw, np.float32)
-            self.b, self.w, self.v = flat[:1].copy(), flat[1:n + 1].copy(), flat[n + 1:].reshape(n, FACTORS).copy()
+    def numbers(self) -> np.ndarray:
+        return np.concatenate([[self.b], self.w, self.v.ravel()])
 
     @classmethod
-    def on(cls, slots):
-        """Starting weights: small random factors for the given slots, zero elsewhere."""
-        weights = cls()
-        weights.v[slots] = np.random.default_rng(7).normal(0, 1e-2, (len(slots), FACTORS))
-        return weights
+    def of(cls, slots, numbers: np.ndarray) -> Weights:
+        n = len(slots)
+        return cls(slots, numbers[0], numbers[1:n + 1].copy(), numbers[n + 1:].reshape(n, FACTORS).copy())
 
-    def tobytes(self) -> bytes:
-        return np.concatenate([self.b, self.w, self.v.ravel()]).astype(np.float32).tobytes()
+    def places(self, slots: np.ndarray) -> np.ndarray:
+        """Places of a row's screened slots."""
+        found = self.place[slots]
+        return found[found >= 0]
 
     def margins(self, rows: list[np.ndarray]):
-        """b + linear + pairwise part of each row; with the rows laid end to end for the gradient."""
-        lens = np.array([len(r) for r in rows])
+        """b + linear + pairwise part of each row of places, and what the gradient needs."""
+        lens = np.array([len(r) for r in rows], np.int64)
         at = np.concatenate([[0], np.cumsum(lens)])
-        slots = np.concatenate(rows) if len(rows) else np.zeros(0, np.int32)
-        add = lambda x: np.diff(np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, 0, np.float64)])[at], axis=0)
-        v = self.v[slots]
+        places = np.concatenate([np.zeros(0, np.int32), *rows])
+        add = lambda x: np.diff(np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, 0)])[at], axis=0)
+        v = self.v[places]
         sums = add(v)
-        return self.b[0] + add(self.w[slots]) + 0.5 * ((sums ** 2).sum(1) - add((v ** 2).sum(1))), lens, slots, sums, v
+        return self.b + add(self.w[places]) + 0.5 * ((sums ** 2).sum(1) - add((v ** 2).sum(1))), lens, places, sums, v
+
 
+def _sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-def _train_pass(weights: Weights, rows, labels, importance, seed):
-    """Passes of proximal AdaGrad over the rows of a partition."""
-    n = 1 << BITS
-    gw, gv, gb = np.full(n, 1e-2, np.float32), np.full((n, FACTORS), 1e-2, np.float32), 1e-2
+
+def _train(weights: Weights, rows, labels, importance, seed) -> Weights:
+    """Passes of proximal AdaGrad over one part of the training rows."""
+    gw, gv, gb = np.full(len(weights.w), 1e-2), np.full(weights.v.shape, 1e-2), 1e-2
     shuffled = np.random.default_rng(seed)
     order = np.concatenate([shuffled.permutation(len(rows)) for _ in range(PASSES)])
     for at in range(0, len(order), BATCH):
         k = order[at:at + BATCH]
-        margin, lens, slots, sums, v = weights.margins([rows[i] for i in k])
-        err = importance[k] * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[k]) / importance.mean()
-        e = np.repeat(err, lens).astype(np.float32)
-        touched, inverse = np.unique(slots, return_inverse=True)
-        grad = np.bincount(inverse, e, len(touched)).astype(np.float32) / len(k)
+        margin, lens, places, sums, v = weights.margins([rows[i] for i in k])
+        err = importance[k] * (_sigmoid(margin) - labels[k]) / importance.mean()
+        e = np.repeat(err, lens)
+        touched, inverse = np.unique(places, return_inverse=True)
+        grad = np.bincount(inverse, e, len(touched)) / len(k)
         pair = e[:, None] * (np.repeat(sums, lens, axis=0) - v) / len(k)
-        pairs = np.stack([np.bincount(inverse, pair[:, f], len(touched)) for f in range(FACTORS)], 1).astype(np.float32)
+        pairs = np.stack([np.bincount(inverse, pair[:, f], len(touched)) for f in range(FACTORS)], 1)
         gw[touched] += grad ** 2
         gv[touched] += pairs ** 2
         step, steps = RATE / np.sqrt(gw[touched]), RATE / np.sqrt(gv[touched])
         w = weights.w[touched] - step * grad
         weights.w[touched] = np.sign(w) * np.maximum(0, np.abs(w) - step * L1)
         x = weights.v[touched] - steps * np.clip(pairs, -1, 1)
-        weights.v[touched] = np.sign(x) * np.maximum(1e-9, np.abs(x) - steps * L1_PAIRS)
+        weights.v[touched] = np.sign(x) * np.maximum(0, np.abs(x) - steps * L1_PAIRS)
         g = err.mean()
         gb += g * g
-        weights.b -= np.float32(RATE / np.sqrt(gb) * g)
+        weights.b -= RATE / np.sqrt(gb) * g
     return weights
 
 
@@ -145,44 +151,54 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS,
-        rounds: int = ROUNDS) -> bytes:
-    """The fitted weights as bytes."""
-    def slots(batches):
+        rounds: int = ROUNDS) -> Weights:
+    """The fitted weights."""
+    def hashed(batches):
         cache = _Slots()
         for b in batches:
             terms = pa.array([_terms(t.as_py(), cache) for t in b.column(1)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), terms, b.column(2), b.column(3)],
                                              ["doc_id", "slots", "label", "importance"])
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = stored(training_rows(docs, labels, label, max_rows).mapInArrow(
-        slots, "doc_id bigint, slots array<int>, label int, importance double")
-        .repartition(PARTS, "doc_id").sortWithinPartitions("doc_id"), "toxicity-rows")
-    rows = rows.repartition(PARTS, "doc_id").sortWithinPartitions("doc_id")
+        hashed, f"doc_id {kind}, slots array<int>, label int, importance double"), "toxicity-rows")
     sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    if not sizes:
+        return Weights([])
     if len(sizes) < 2:
-        return Weights().tobytes()
-    weights = Weights.on(_screened(rows, sizes))
+        return Weights([], b=10.0 if 1 in sizes else -10.0)
+    weights = Weights(_screened(rows, sizes))
+    sc = rows.sparkSession.sparkContext
+    slots = weights.slots
+
+    def screened(batches):
+        model = Weights(slots)
+        for b in batches:
+            places = pa.array([model.places(x.values.to_numpy(zero_copy_only=False)) for x in b.column(1)],
+                              pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), places, b.column(2), b.column(3)],
+                                             ["doc_id", "places", "label", "importance"])
+
+    rows = stored(rows.mapInArrow(screened, f"doc_id {kind}, places array<int>, label int, importance double")
+                  .withColumn("part", hash_bucket(F.col("doc_id"), PARTS)), "toxicity-places")
     for r in range(rounds):
-        start = rows.sparkSession.sparkContext.broadcast(weights.tobytes())
-
-        def one_pass(batches, start=start, r=r):
-            batches = [b for b in batches if b.num_rows]
-            if not batches:
-                return
-            t = pa.Table.from_batches(batches)
-            terms = [x.values.to_numpy(zero_copy_only=False) for x in t["slots"]]
-            weights = Weights(start.value)
-            used = weights.v.any(1)
-            fitted = _train_pass(weights, [x[used[x]] for x in terms], t["label"].to_numpy(), t["importance"].to_numpy(), r)
-            yield pa.RecordBatch.from_arrays([pa.array([len(terms)]), pa.array([fitted.tobytes()], pa.large_binary())],
-                                             ["n", "weights"])
-
-        passes = rows.mapInArrow(one_pass, "n bigint, weights binary").collect()  # PARTS rows of a fixed size
-        total = sum(p.n for p in passes)
-        mean = sum(np.frombuffer(p.weights, np.float32).astype(np.float64) * (p.n / total) for p in
-                   sorted(passes, key=lambda p: (p.n, p.weights[:64])))
-        weights = Weights(mean.astype(np.float32).tobytes())
-    return weights.tobytes()
+        fitted = rows.groupBy("part").applyInArrow(_round(sc.broadcast((slots, weights.numbers())), r),
+                                                   "part int, n bigint, numbers binary")
+        parts = sorted(fitted.collect())  # PARTS rows, each the size of the weights
+        total = sum(p.n for p in parts)
+        weights = Weights.of(slots, sum(np.frombuffer(p.numbers) * (p.n / total) for p in parts))
+    return weights
+
+
+def _round(start, seed):
+    def one_round(part: pa.Table) -> pa.Table:
+        part = part.sort_by("doc_id")
+        places = [x.values.to_numpy(zero_copy_only=False) for x in part["places"]]
+        fitted = _train(Weights.of(*start.value), places, part["label"].to_numpy(), part["importance"].to_numpy(), seed)
+        return pa.table({"part": part["part"][:1], "n": pa.array([len(places)], pa.int64()),
+                         "numbers": pa.array([fitted.numbers().tobytes()], pa.binary())})
+    return one_round
 
 
 def _screened(rows, sizes) -> list[int]:
@@ -196,23 +212,16 @@ def _screened(rows, sizes) -> list[int]:
     return sorted(r.slot for r in found)
 
 
-def score(docs: DataFrame, weights: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
+    sent = docs.sparkSession.sparkContext.broadcast((weights.slots, weights.numbers()))
 
     def run(batches):
-        model, slots = Weights(sent.value), worker_cache("toxicity").setdefault("slots", _Slots())
+        model, slots = Weights.of(*sent.value), worker_cache("toxicity").setdefault("slots", _Slots())
         for b in batches:
-            at = 0
-            while at < b.num_rows:
-                start, size, rows = at, 0, []
-                while at < b.num_rows and size < CHARS_PER_SLICE:
-                    text = b.column(1)[at].as_py() or ""
-                    size += len(text) + 1
-                    rows.append(_terms(text, slots))
-                    at += 1
-                p = 1 / (1 + np.exp(-np.clip(model.margins(rows)[0], -30, 30)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, at - start), pa.array(p)], [id_col, "score"])
+            rows = [model.places(_terms(t.as_py(), slots)) for t in b.column(1)]
+            scores = _sigmoid(model.margins(rows)[0])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], [id_col, "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
