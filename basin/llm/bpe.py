@@ -27,10 +27,12 @@ from tokenizers import Tokenizer
 
 from basin.llm._common import stored, worker_cache
 
-#: Words of the broadcast part of the word table: about 40 MB for each Python worker.
-TABLE_WORDS = 250_000
+#: Words of the broadcast part of the word table: about 20 MB for each Python worker.
+TABLE_WORDS = 100_000
 BLANKS = " \t\n\r"
-CHARS_PER_SLICE = 4_000_000
+#: Output of one Arrow batch of a task.
+CHARS_PER_SLICE = 1_000_000
+IDS_PER_SLICE = 250_000
 
 
 def distinct_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -84,7 +86,7 @@ class _Words(dict):
 
     def __init__(self, shared, tokenizer):
         super().__init__(shared)
-        self.shared, self.tokenizer, self.limit = shared, tokenizer, 2 * len(shared) + 100_000
+        self.shared, self.tokenizer, self.limit = shared, tokenizer, len(shared) + 100_000
         self[""] = b""
 
     def __missing__(self, word):
@@ -154,16 +156,22 @@ def decode(encoded: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", id
     def run(batches):
         lookup = table.value
         for batch in batches:
-            ids, out = batch.column(1), []
-            for row in ids:
-                row = row.values
-                numbers = row.to_numpy(zero_copy_only=False).tolist() if row is not None else []
-                try:
-                    out.append(joiner.join(map(lookup.__getitem__, numbers)))
-                except KeyError:
-                    out.append(joiner.join(lookup[i] for i in numbers if i in lookup))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(out, pa.string())],
-                                             [id_col, ids_col, "decoded"])
+            at = 0
+            while at < batch.num_rows:  # bounded output, however long the rows
+                start, size, out = at, 0, []
+                while at < batch.num_rows and size < IDS_PER_SLICE:
+                    row = batch.column(1)[at].values
+                    numbers = row.to_numpy(zero_copy_only=False).tolist() if row is not None else []
+                    try:
+                        out.append(joiner.join(map(lookup.__getitem__, numbers)))
+                    except KeyError:
+                        out.append(joiner.join(lookup[i] for i in numbers if i in lookup))
+                    size += len(numbers) + 1
+                    at += 1
+                n = at - start
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, n), batch.column(1).slice(start, n), pa.array(out, pa.string())],
+                    [id_col, ids_col, "decoded"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
     return encoded.select(id_col, ids_col).mapInArrow(
