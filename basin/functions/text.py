@@ -2,7 +2,8 @@
 
 A text holds lines separated by ``\\n``; a final ``\\n`` ends the last line instead of starting
 an empty one, as line tools read files. Lines are numbered from 1. All functions stay inside
-one row (higher-order array functions), so they never shuffle and run in whole-stage codegen.
+one row (higher-order array functions), so they never shuffle; the lambdas run interpreted,
+outside whole-stage codegen.
 """
 
 from __future__ import annotations
@@ -34,12 +35,13 @@ def lines(text) -> Column:
 
 
 def unlines(arr: Column, like_text=None) -> Column:
-    """Join lines with ``\\n``; re-append the final newline when ``like_text`` had one."""
+    """Join lines with ``\\n``; re-append the final newline when ``like_text`` had one (and was not only that)."""
     joined = F.array_join(arr, "\n")
     if like_text is None:
         return joined
     t = to_col(like_text)
-    return F.when(_ends_with_newline(t) & (F.size(arr) > 0), F.concat(joined, F.lit("\n"))).otherwise(joined)
+    # one use of ``arr``: an edit under it is evaluated once
+    return F.concat(joined, F.when(_ends_with_newline(t), F.lit("\n")).otherwise(F.lit("")))
 
 
 def field(col, n: int, sep: str | None = None) -> Column:

@@ -19,39 +19,37 @@ def write_table(df: DataFrame, name: str, mode: str = "append", fmt: str = "parq
                 path: str | None = None, partition_by=None) -> str:
     """B1: write ``df`` to catalog table ``name``.
 
-    ``append`` adds rows; ``replace`` truncates then writes; ``skip_if_exists`` leaves an existing
-    table alone. Returns what happened: ``created``, ``appended``, ``replaced`` or ``skipped``.
-    Replacing a table the input reads from is refused by Spark; the input is then checkpointed to
-    the shared checkpoint folder first, which cuts the lineage to the old files.
+    ``append`` adds rows; ``replace`` empties the table and fills it, keeping its definition (columns,
+    partitioning, comments, properties); ``skip_if_exists`` leaves an existing table alone. Returns what
+    happened: ``created``, ``appended``, ``replaced`` or ``skipped``. ``fmt``, ``path`` and ``partition_by``
+    count only when the table is created. Replacing a table the input reads from is refused by Spark; the
+    input is then checkpointed to the shared checkpoint folder first, which cuts the lineage to the old files.
     """
     if mode not in WRITE_MODES:
         raise ValueError(f"mode must be one of {WRITE_MODES}")
     spark = df.sparkSession
-    exists = spark.catalog.tableExists(name)
-    if mode == "skip_if_exists" and exists:
-        return "skipped"
-    writer = df.write.format(fmt)
-    if partition_by:
-        writer = writer.partitionBy(*as_list(partition_by))
-    if path:
-        writer = writer.option("path", path)
-    if mode == "append" or not exists:
+    if not spark.catalog.tableExists(name):
+        writer = df.write.format(fmt)
+        if partition_by:
+            writer = writer.partitionBy(*as_list(partition_by))
+        if path:
+            writer = writer.option("path", path)
         writer.mode("append").saveAsTable(name)
-        return "appended" if exists else "created"
+        return "created"
+    if mode == "skip_if_exists":
+        return "skipped"
+    rows = df.select(*spark.table(name).columns)  # insertInto goes by position
+    if mode == "append":
+        rows.write.insertInto(name, overwrite=False)
+        return "appended"
     try:
-        writer.mode("overwrite").saveAsTable(name)
+        rows.write.insertInto(name, overwrite=True)
     except AnalysisException as e:
         if "UNSUPPORTED_OVERWRITE" not in str(e) and "read from" not in str(e):
             raise
         from basin.session import checkpoint_dir
         checkpoint_dir(spark)
-        frozen = df.checkpoint(eager=True)
-        w = frozen.write.format(fmt)
-        if partition_by:
-            w = w.partitionBy(*as_list(partition_by))
-        if path:
-            w = w.option("path", path)
-        w.mode("overwrite").saveAsTable(name)
+        rows.checkpoint(eager=True).write.insertInto(name, overwrite=True)
     return "replaced"
 
 

@@ -9,6 +9,7 @@ another engine. Replacement strings use ``$1`` for back-references.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -104,26 +105,43 @@ class MarkerSpan:
     section: int | None = None
 
 
-def _with_span(x: DataFrame, span):
-    """Add the helper columns ``span`` needs; return (df, predicate on the 0-based line index)."""
-    ls = F.col(_LINES)
-    if span is None:
-        return x, lambda i: F.lit(True)
-    if isinstance(span, LineSpan):
-        if span.last is None:
-            return x, lambda i: i + 1 >= F.lit(span.first)
-        return x, lambda i: (i + 1 >= F.lit(span.first)) & (i + 1 <= F.lit(span.last))
-    if isinstance(span, MarkerSpan):
-        secs = F.filter(_pairs(ls, span.begin, span.end), lambda s: s["begin"].isNotNull())
-        secs = F.transform(secs, lambda s: F.struct(
-            s["begin"].alias("begin"),
-            F.when(s["end"].isNull() | (s["end"] < s["begin"]), F.size(ls)).otherwise(s["end"]).alias("end")))
-        if span.section is not None:
-            one = F.get(secs, span.section - 1)
-            secs = F.when(one.isNull(), F.array().cast("array<struct<begin:int,end:int>>")).otherwise(F.array(one))
-        x = x.withColumn(_SECS, secs)
-        return x, lambda i: F.exists(F.col(_SECS), lambda s: (i + 1 >= s["begin"]) & (i + 1 <= s["end"]))
-    raise TypeError("span must be LineSpan, MarkerSpan or None")
+def _inside(span: LineSpan):
+    """Predicate of a 0-based line index."""
+    if span.last is None:
+        return lambda i: i + 1 >= F.lit(span.first)
+    return lambda i: (i + 1 >= F.lit(span.first)) & (i + 1 <= F.lit(span.last))
+
+
+def _sections(ls: Column, span: MarkerSpan) -> Column:
+    """``array<struct<begin,end>>`` of the sections of ``span``, ends filled in."""
+    secs = F.filter(_pairs(ls, span.begin, span.end), lambda s: s["begin"].isNotNull())
+    secs = F.transform(secs, lambda s: F.struct(
+        s["begin"].cast("int").alias("begin"),
+        F.when(s["end"].isNull() | (s["end"] < s["begin"]), F.size(ls)).otherwise(s["end"]).cast("int").alias("end")))
+    if span.section is None:
+        return secs
+    one = F.get(secs, span.section - 1)
+    return F.when(one.isNull(), F.array().cast("array<struct<begin:int,end:int>>")).otherwise(F.array(one))
+
+
+def _merged(secs: Column) -> Column:
+    """Sections in order, those that touch or overlap made one."""
+    def add(acc, s):
+        last = F.try_element_at(acc, F.lit(-1))
+        joined = F.struct(last["begin"].alias("begin"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when((F.size(acc) > 0) & (s["begin"] <= last["end"] + 1), F.concat(
+            F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(s)))
+    return F.aggregate(F.array_sort(secs), F.array().cast("array<struct<begin:int,end:int>>"), add)
+
+
+def _edit_segments(ls: Column, secs: Column, new) -> Column:
+    """``ls`` with ``new`` applied to the lines of the merged sections: every line is visited once."""
+    def segment(s, i):
+        after = F.when(i == 0, 0).otherwise(F.get(secs, i - 1)["end"])
+        return F.concat(F.slice(ls, after + 1, s["begin"] - after - 1),
+                        F.transform(F.slice(ls, s["begin"], s["end"] - s["begin"] + 1), new))
+    last = F.coalesce(F.get(secs, F.size(secs) - 1)["end"], F.lit(0))
+    return F.concat(F.flatten(F.transform(secs, segment)), F.slice(ls, last + 1, F.greatest(F.size(ls) - last, F.lit(0))))
 
 
 def _shift_backrefs(repl: str, n_groups: int) -> str | None:
@@ -153,22 +171,55 @@ def _shift_backrefs(repl: str, n_groups: int) -> str | None:
     return "".join(out)
 
 
+def _shift_pattern_refs(pattern: str, n_groups: int) -> str | None:
+    """``pattern`` with every back-reference ``\\n`` turned into ``\\(n+1)``; None when it could be misread."""
+    out, i, in_class = [], 0, False
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\" and i + 1 < len(pattern):
+            nxt = pattern[i + 1]
+            if nxt == "Q":
+                return None
+            if nxt in "123456789" and not in_class:
+                j = i + 2
+                num = int(nxt)
+                while j < len(pattern) and pattern[j].isdigit() and num * 10 + int(pattern[j]) <= n_groups:
+                    num = num * 10 + int(pattern[j])
+                    j += 1
+                if j < len(pattern) and pattern[j].isdigit():
+                    return None
+                out.append(f"\\{num + 1}")
+                i = j
+                continue
+            out.append(pattern[i:i + 2])
+            i += 2
+            continue
+        in_class = (in_class or ch == "[") and not (in_class and ch == "]")
+        out.append(ch)
+        i += 1
+    return "".join(out)
+
+
 def replace_first(line: Column, pattern: str, repl: str) -> Column:
     """Replace only the first match of ``pattern`` in ``line`` (sed ``s///`` without ``g``).
 
     One regex pass: a lazy prefix group anchored at the start (``^((?s:.*?))(?:pattern)``) finds the
-    first match, and the back-references of ``repl`` are shifted by one. When that rewrite is not
-    safe (a pattern Python cannot parse to count groups, or an ambiguous ``$nn``), the match is
-    located, extracted and replaced separately (three regex passes).
+    first match, and the back-references of ``repl`` and of the pattern itself are shifted by one. When that
+    rewrite is not safe (a pattern Python cannot parse to count groups, quoted or ambiguous references), the
+    match is located, extracted and replaced separately (three regex passes); look-around that reaches
+    beyond the match is refused there, because the extracted match has lost its surroundings.
     """
-    shifted = None
     try:
-        import re as _re
-        shifted = _shift_backrefs(repl, _re.compile(pattern).groups)
-    except Exception:
-        shifted = None
-    if shifted is not None:
-        return F.regexp_replace(line, F.lit(f"^((?s:.*?))(?:{pattern})"), F.lit("$1" + shifted))
+        groups = re.compile(pattern).groups
+    except re.error:
+        groups = None
+    shifted = None if groups is None else _shift_backrefs(repl, groups)
+    body = None if groups is None else _shift_pattern_refs(pattern, groups)
+    if shifted is not None and body is not None:
+        return F.regexp_replace(line, F.lit(f"^((?s:.*?))(?:{body})"), F.lit("$1" + shifted))
+    if re.search(r"\(\?<?[=!]|\\[bB]", pattern):
+        raise ValueError("this pattern mixes look-around with references that cannot be renumbered; "
+                         "name its groups or use all matches")
     pos = F.regexp_instr(line, F.lit(pattern))
     m = F.regexp_extract(line, pattern, 0)
     head = line.substr(F.lit(1), pos - 1)
@@ -185,13 +236,21 @@ def section_replace(df: DataFrame, id_col: str, text_col: str, span, pattern: st
     Returns the input with ``out_col`` (default: ``text_col``) rewritten.
     """
     x = df.withColumn(_LINES, lines(text_col))
-    x, inside = _with_span(x, span)
 
-    def edit(l, i):
-        new = replace_first(l, pattern, repl) if first_only else F.regexp_replace(l, F.lit(pattern), F.lit(repl))
-        return F.when(inside(i), new).otherwise(l)
+    def new(l):
+        return replace_first(l, pattern, repl) if first_only else F.regexp_replace(l, F.lit(pattern), F.lit(repl))
 
-    rewritten = unlines(F.transform(F.col(_LINES), edit), text_col)
+    if isinstance(span, MarkerSpan):
+        x = x.withColumn(_SECS, _merged(_sections(F.col(_LINES), span)))
+        edited = _edit_segments(F.col(_LINES), F.col(_SECS), new)
+    elif isinstance(span, LineSpan):
+        inside = _inside(span)
+        edited = F.transform(F.col(_LINES), lambda l, i: F.when(inside(i), new(l)).otherwise(l))
+    elif span is None:
+        edited = F.transform(F.col(_LINES), new)
+    else:
+        raise TypeError("span must be LineSpan, MarkerSpan or None")
+    rewritten = unlines(edited, text_col)
     return x.withColumn(out_col or text_col, rewritten).drop(_LINES, _SECS)
 
 

@@ -13,7 +13,8 @@ DEFAULT_RETAIN_COUNT = 30
 
 
 def retain_by_age(df: DataFrame, ts: str, seconds: int = DEFAULT_RETAIN_SECONDS, as_of=None) -> DataFrame:
-    """drop rows more than ``seconds`` older than ``as_of``; newer rows (even after ``as_of``) stay.
+    """drop rows more than ``seconds`` older than ``as_of``; newer rows (even after ``as_of``)
+    and rows without a time stay.
 
     ``as_of`` defaults to the newest ``ts`` in the data, computed once as a scalar subquery (a
     one-value aggregate that Spark evaluates before the filter runs) -- never collected by hand.
@@ -23,7 +24,7 @@ def retain_by_age(df: DataFrame, ts: str, seconds: int = DEFAULT_RETAIN_SECONDS,
     else:
         ref = F.lit(as_of).cast(df.schema[ts].dataType)
     cutoff = ref - F.make_interval(secs=F.lit(seconds))
-    return df.where(F.col(ts) >= cutoff)
+    return df.where(F.col(ts).isNull() | (F.col(ts) >= cutoff))
 
 
 def retain_latest(df: DataFrame, group, order, n: int = DEFAULT_RETAIN_COUNT, tie=None) -> DataFrame:

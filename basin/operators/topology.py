@@ -69,7 +69,8 @@ def missing_prerequisites(requirements: DataFrame, present: DataFrame, item: str
     """For each item, how many required things are missing, which ones, and whether it is ready.
 
     Relational division: ``ready`` holds when every requirement of the item is present.
-    ``present`` has the same two columns. Output: item, n_required, n_missing, [missing], ready.
+    ``present`` has the same two columns. A NULL need asks for nothing: it is not counted, and an item whose
+    only needs are NULL is ready. Output: item, n_required, n_missing, [missing], ready.
     No join: both inputs are tagged and unioned, reduced per (item, need), then per item -- two
     aggregations Spark combines in each task before shuffling, so an item with a huge share of
     the rows is pre-reduced too. ``missing`` lists distinct needs, bounded by the requirement
@@ -77,11 +78,12 @@ def missing_prerequisites(requirements: DataFrame, present: DataFrame, item: str
     """
     req = requirements.select(F.col(item), F.col(need), F.lit(1).alias("__req"), F.lit(0).alias("__have"))
     have = present.select(F.col(item), F.col(need), F.lit(0).alias("__req"), F.lit(1).alias("__have"))
-    pairs = (req.unionByName(have).where(F.col(need).isNotNull())
+    have = have.where(F.col(need).isNotNull())
+    pairs = (req.unionByName(have)
              .groupBy(item, need).agg(F.max("__req").alias("__req"), F.max("__have").alias("__have"))
              .where(F.col("__req") == 1))
-    miss = F.col("__have") == 0
-    aggs = [F.count(F.lit(1)).alias("n_required"),
+    miss = (F.col("__have") == 0) & F.col(need).isNotNull()
+    aggs = [F.count(need).alias("n_required"),
             F.sum(F.when(miss, 1).otherwise(0)).cast("long").alias("n_missing")]
     if with_list:
         aggs.append(F.array_sort(F.collect_set(F.when(miss, F.col(need)))).alias("missing"))

@@ -20,34 +20,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def snapshot_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Source and target ``(k, v)`` snapshots of orders: the source lacks keys divisible by 13, the
-    target lacks keys divisible by 10 and has price 0 where the key is divisible by 7."""
+    """Source and target ``(k, v)`` snapshots of orders: the source lacks keys divisible by 13, the target
+    lacks keys divisible by 10 that the source has, and has price 0 where the key is divisible by 7."""
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     src = o.where(k % 13 != 0).select(k.alias("k"), F.col("o_totalprice").alias("v"))
-    dst = o.where(k % 10 != 0).select(k.alias("k"), F.when(k % 7 == 0, F.lit(0.0))
+    dst = o.where((k % 10 != 0) | (k % 13 == 0)).select(k.alias("k"), F.when(k % 7 == 0, F.lit(0.0))
                                       .otherwise(F.col("o_totalprice")).alias("v"))
     return src, dst
 
 
 def property_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(owner, text)``: a settings file per customer, one line per order in key order:
+    """``(owner, text)``: a settings file per customer and month, one line per order in key order:
     ``<priority>=<orderkey>``, commented out (``#``) for status F and quoted for status P."""
     o = table(spark, sf_dir, "orders")
     v = F.col("o_orderkey").cast("string")
     line = F.concat(F.when(F.col("o_orderstatus") == "F", F.lit("#")).otherwise(F.lit("")),
                     F.col("o_orderpriority"), F.lit("="),
                     F.when(F.col("o_orderstatus") == "P", F.concat(F.lit('"'), v, F.lit('"'))).otherwise(v))
-    pt = join_list(o, "o_custkey", "o_orderkey", line, sep="\n", name="text")
-    return pt.select(F.col("o_custkey").alias("owner"), "text")
+    o = o.withColumn("owner", F.concat_ws("/", F.col("o_custkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM")))
+    return join_list(o, "owner", "o_orderkey", line, sep="\n", name="text")
 
 
 PROPERTY_TEXT_SQL = """property_text AS (
-  SELECT o_custkey AS owner,
+  SELECT o_custkey || '/' || strftime(o_orderdate, '%Y-%m') AS owner,
          string_agg(CASE WHEN o_orderstatus = 'F' THEN '#' ELSE '' END || o_orderpriority || '=' ||
                     CASE WHEN o_orderstatus = 'P' THEN '"' || CAST(o_orderkey AS VARCHAR) || '"'
                          ELSE CAST(o_orderkey AS VARCHAR) END, chr(10) ORDER BY o_orderkey) AS text
-  FROM orders GROUP BY o_custkey)"""
+  FROM orders GROUP BY ALL)"""
 
 
 def processes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,16 +68,14 @@ def sockets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def node_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(owner, list)``: per region, its nation names in key order, comma separated."""
-    n = table(spark, sf_dir, "nation")
-    r = table(spark, sf_dir, "region")
-    j = n.join(r, n.n_regionkey == r.r_regionkey)
-    return join_list(j, "r_name", "n_nationkey", "n_name", sep=",", name="list").withColumnRenamed("r_name", "owner")
+    """``(owner, list)``: clusters of five hosts (the customers) in key order, comma separated."""
+    c = table(spark, sf_dir, "customer").withColumn("owner", F.floor(F.col("c_custkey") / 5).cast("bigint"))
+    return join_list(c, "owner", "c_custkey", "c_name", sep=",", name="list")
 
 
 NODE_LIST_SQL = """node_list AS (
-  SELECT r_name AS owner, string_agg(n_name, ',' ORDER BY n_nationkey) AS list
-  FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name)"""
+  SELECT CAST(floor(c_custkey / 5) AS BIGINT) AS owner, string_agg(c_name, ',' ORDER BY c_custkey) AS list
+  FROM customer GROUP BY ALL)"""
 
 
 # fixed values: order statuses every customer is required to have

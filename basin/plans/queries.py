@@ -40,7 +40,7 @@ def query(name: str, sql: str | None = None):
 
 SNAP_SQL = """src AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 13 <> 0),
 dst AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 0.0 ELSE o_totalprice END AS v
-        FROM orders WHERE o_orderkey % 10 <> 0)"""
+        FROM orders WHERE o_orderkey % 10 <> 0 OR o_orderkey % 13 = 0)"""
 
 # ---------------------------------------------------------------- B: write dispositions
 
@@ -67,13 +67,14 @@ def q_sync_apply(spark, sf_dir):
 
 @query("insert_if_absent", f"""
 WITH {SNAP_SQL},
-batch AS (SELECT o_orderkey AS k, -1.0 AS v, 1 AS ord FROM orders WHERE o_orderkey % 4 = 0
-          UNION ALL SELECT o_orderkey AS k, -2.0 AS v, 0 AS ord FROM orders WHERE o_orderkey % 4 = 0),
+batch AS (SELECT o_orderkey AS k, -1.0 AS v, 1 AS ord FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey % 10 = 0
+          UNION ALL SELECT o_orderkey AS k, -2.0 AS v, 0 AS ord FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey % 10 = 0),
 firsts AS (SELECT k, arg_min(v, ord) AS v FROM batch GROUP BY k)
 SELECT k, v FROM dst UNION ALL SELECT k, v FROM firsts WHERE k NOT IN (SELECT k FROM dst)""")
 def q_insert_if_absent(spark, sf_dir):
     _, dst = X.snapshot_pair(spark, sf_dir)
-    o = X.table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 4 == 0).select(F.col("o_orderkey").alias("k"))
+    o = X.table(spark, sf_dir, "orders").where((F.col("o_orderkey") % 4 == 0) | (F.col("o_orderkey") % 10 == 0))
+    o = o.select(F.col("o_orderkey").alias("k"))
     batch = (o.select("k", F.lit(-1.0).alias("v"), F.lit(1).alias("ord"))
              .unionByName(o.select("k", F.lit(-2.0).alias("v"), F.lit(0).alias("ord"))))
     return B.insert_if_absent(dst, batch, "k", "ord")
@@ -81,7 +82,7 @@ def q_insert_if_absent(spark, sf_dir):
 
 def _batch_once(spark, sf_dir, sentinel):
     _, dst = X.snapshot_pair(spark, sf_dir)
-    o = X.table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 10 == 0)
+    o = X.table(spark, sf_dir, "orders").where((F.col("o_orderkey") % 10 == 0) & (F.col("o_orderkey") % 13 != 0))
     batch = o.select(F.col("o_orderkey").alias("k"), F.lit(-1.0).alias("v"))
     return B.insert_batch_once(dst, batch, {"k": sentinel})
 
@@ -96,7 +97,7 @@ def q_insert_batch_once_skip(spark, sf_dir):
 
 @query("insert_batch_once_apply", f"""
 WITH {SNAP_SQL}
-SELECT k, v FROM dst UNION ALL SELECT o_orderkey AS k, -1.0 AS v FROM orders WHERE o_orderkey % 10 = 0""")
+SELECT k, v FROM dst UNION ALL SELECT o_orderkey AS k, -1.0 AS v FROM orders WHERE o_orderkey % 10 = 0 AND o_orderkey % 13 <> 0""")
 def q_insert_batch_once_apply(spark, sf_dir):
     # sentinel key 10 is not in the target: the whole batch goes in
     return _batch_once(spark, sf_dir, 10)
@@ -105,16 +106,18 @@ def q_insert_batch_once_apply(spark, sf_dir):
 @query("update_matching", f"""
 WITH {SNAP_SQL},
 batch AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE -o_totalprice END AS v
-          FROM orders WHERE o_orderkey % 3 = 0)
+          FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 10 = 0)
 SELECT dst.k, CASE WHEN batch.k IS NOT NULL THEN batch.v ELSE dst.v END AS v
-FROM dst LEFT JOIN batch ON dst.k = batch.k""")
+FROM dst LEFT JOIN batch ON dst.k = batch.k
+UNION ALL SELECT k, v FROM batch WHERE k NOT IN (SELECT k FROM dst)""")
 def q_update_matching(spark, sf_dir):
     _, dst = X.snapshot_pair(spark, sf_dir)
-    o = X.table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 3 == 0)
+    o = X.table(spark, sf_dir, "orders").where((F.col("o_orderkey") % 3 == 0) | (F.col("o_orderkey") % 10 == 0))
     batch = o.select(F.col("o_orderkey").alias("k"),
                      F.when(F.col("o_orderkey") % 2 == 0, F.lit(None).cast("double"))
                      .otherwise(-F.col("o_totalprice")).alias("v"))
-    return B.update_matching(dst, batch, "k", ["v"])
+    rest = batch.join(dst.select("k"), "k", "left_anti")  # what the update ignores, so every order is accounted for
+    return B.update_matching(dst, batch, "k", ["v"]).unionByName(rest)
 
 
 @query("last_wins", """
@@ -162,13 +165,12 @@ def q_assign_ids(spark, sf_dir):
 
 
 @query("join_list", """
-SELECT r_name, string_agg(n_name || ':2181', ',' ORDER BY n_nationkey) || '/kafka' AS list
-FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
+SELECT CAST(floor(c_custkey / 5) AS BIGINT) AS owner,
+       string_agg(c_name || ':2181', ',' ORDER BY c_custkey) || '/kafka' AS list
+FROM customer GROUP BY ALL""")
 def q_join_list(spark, sf_dir):
-    n = X.table(spark, sf_dir, "nation")
-    r = X.table(spark, sf_dir, "region")
-    j = n.join(r, n.n_regionkey == r.r_regionkey)
-    return D.join_list(j, "r_name", "n_nationkey", F.concat("n_name", F.lit(":2181")), sep=",", suffix="/kafka")
+    c = X.table(spark, sf_dir, "customer").withColumn("owner", F.floor(F.col("c_custkey") / 5).cast("bigint"))
+    return D.join_list(c, "owner", "c_custkey", F.concat("c_name", F.lit(":2181")), sep=",", suffix="/kafka")
 
 
 @query("missing_prerequisites", """
@@ -261,6 +263,18 @@ def q_section_replace_marker(spark, sf_dir):
                              first_only=True)
 
 
+@query("section_replace_second", f"""
+WITH {SPANS_SQL},
+s AS (SELECT doc_id, ls, list_filter(list_zip(b, e), lambda p: p[1] IS NOT NULL)[2] AS sec FROM m)
+SELECT doc_id, array_to_string(list_transform(ls, lambda l, i:
+         CASE WHEN i >= sec[1] AND i <= CASE WHEN sec[2] IS NULL OR sec[2] < sec[1] THEN len(ls) ELSE sec[2] END
+              THEN regexp_replace(l, '([a-z]+)s([ ,.])', '<\\1>\\2', 'g') ELSE l END), chr(10)) AS text
+FROM s""")
+def q_section_replace_second(spark, sf_dir):
+    d = X.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return C.section_replace(d, "doc_id", "text", C.MarkerSpan("^E", "[.]$", section=2), "([a-z]+)s([ ,.])", "<$1>$2")
+
+
 @query("insert_before_marker", f"""
 WITH {X.PROPERTY_TEXT_SQL}
 SELECT owner, array_to_string(flatten(list_transform(string_split(text, chr(10)), lambda l:
@@ -471,20 +485,26 @@ def q_local_date(spark, sf_dir):
 ROLLUP_SQL = """
 WITH per_status AS (
   SELECT c_mktsegment, o_orderstatus,
-         sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * CAST(1 - l_discount AS DECIMAL(3, 2))) AS revenue,
+         sum(CAST(l_extendedprice AS DECIMAL(18, 4)) * (1 - CAST(l_discount AS DECIMAL(10, 4)))) AS revenue,
          count(*) AS n_lines
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  WHERE l_quantity >= {min_qty}
+  WHERE l_quantity >= :min_qty
   GROUP BY c_mktsegment, o_orderstatus)
 SELECT c_mktsegment, o_orderstatus, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(n_lines) AS BIGINT) AS n_lines
 FROM per_status
 GROUP BY ROLLUP (c_mktsegment, o_orderstatus)"""
 
 
-@query("sql_job", ROLLUP_SQL.format(min_qty="1"))
+@query("sql_job", """
+WITH sold AS (SELECT c_mktsegment AS s, o_orderstatus AS st,
+    CAST(l_extendedprice AS DECIMAL(18, 4)) - CAST(l_extendedprice AS DECIMAL(18, 4)) * CAST(l_discount AS DECIMAL(10, 4)) AS r
+  FROM lineitem, orders, customer WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND l_quantity >= 1)
+SELECT s AS c_mktsegment, st AS o_orderstatus, CAST(sum(r) AS DOUBLE) AS revenue, count(*) AS n_lines FROM sold GROUP BY s, st
+UNION ALL SELECT s, NULL, CAST(sum(r) AS DOUBLE), count(*) FROM sold GROUP BY s
+UNION ALL SELECT NULL, NULL, CAST(sum(r) AS DOUBLE), count(*) FROM sold""")
 def q_sql_job(spark, sf_dir):
     views = {t: X.table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer")}
-    return sql_job(spark, ROLLUP_SQL.format(min_qty=":min_qty"), args={"min_qty": 1}, views=views)
+    return sql_job(spark, ROLLUP_SQL, args={"min_qty": 1}, views=views)
 
 
 # ---------------------------------------------------------------- I: windows (batch form)

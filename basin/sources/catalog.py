@@ -41,10 +41,16 @@ def ensure_database(spark: SparkSession, name: str, comment: str | None = None,
 
 
 def _plain_type(dt) -> str:
-    """DDL type of a column, with collations dropped (a collation would travel into the files)."""
+    """DDL type of a column, with collations dropped at any depth (a collation would travel into the files)."""
     from pyspark.sql import types as T
     if isinstance(dt, T.StringType):
         return "string"
+    if isinstance(dt, T.ArrayType):
+        return f"array<{_plain_type(dt.elementType)}>"
+    if isinstance(dt, T.MapType):
+        return f"map<{_plain_type(dt.keyType)},{_plain_type(dt.valueType)}>"
+    if isinstance(dt, T.StructType):
+        return "struct<" + ",".join(f"{quote_ident(f.name)}:{_plain_type(f.dataType)}" for f in dt.fields) + ">"
     return dt.simpleString()
 
 
@@ -85,6 +91,8 @@ def publish_table(df: DataFrame, name: str, partition_by=None, comments: dict |
         too_long = F.char_length(F.col(p).cast("string")) > PARTITION_VALUE_MAX
         out = out.withColumn(p, F.when(too_long, F.raise_error(
             F.lit(f"partition value of {p} longer than {PARTITION_VALUE_MAX} characters"))).otherwise(F.col(p)))
+    if parts:  # a partition's rows meet in few tasks, a hot one is split: no tasks x partitions files
+        out = out.hint("rebalance", *[F.col(p) for p in parts])
     ident = quote_ident(name)
     if not spark.catalog.tableExists(name):
         cols = []

@@ -16,74 +16,46 @@ EVENT_SCHEMA = (
 )
 
 
-# fixed values: compressed event-log suffixes we can decode (Spark's default event-log codec is zstd)
-ZSTD_SUFFIXES = (".zstd", ".zst")
-_NOT_EVENTS = ("appstatus",)
-
-
-def _unzstd_fn():
-    """The decompression step, built as a closure so it is shipped to Python workers by value
-    (no basin installation needed there)."""
-
-    def unzstd(batches):
-        import io
-
-        import pandas as pd
-        try:
-            import zstandard
-        except ImportError as e:  # pragma: no cover
-            raise RuntimeError("reading zstd event logs needs the zstandard module") from e
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content)) as r:
-                    text = io.TextIOWrapper(r, encoding="utf-8")
-                    chunk = []
-                    for line in text:
-                        chunk.append(line.rstrip("\n"))
-                        if len(chunk) >= 10000:
-                            yield pd.DataFrame({"value": chunk, "file": path})
-                            chunk = []
-                    if chunk:
-                        yield pd.DataFrame({"value": chunk, "file": path})
-
-    return unzstd
+# fixed values: compressions Spark can write event logs in but its text source cannot read
+UNREADABLE_SUFFIXES = ("zstd", "zst", "lz4", "lzf", "snappy")
+UNREADABLE = "Unreadable"
 
 
 def event_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(value, file)``: every line of every event log under ``path``.
+    """``(value, file)``: every line of every event log under ``path`` (plain, gzip or bzip2).
 
-    Plain files go through the text source (splittable); zstd files through ``binaryFile`` and a
-    streaming decompressor, one task per file (a compressed stream cannot be split).
+    A log in a compression the text source cannot read raises before any work; only file names are listed
+    for that, chosen by a glob.
     """
+    packed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+              .option("pathGlobFilter", "*.{" + ",".join(UNREADABLE_SUFFIXES) + "}").load(path).select("path"))
+    found = packed.limit(1).collect()
+    if found:
+        raise ValueError(f"{found[0].path}: unsupported compression; decompress it or set "
+                         "spark.eventLog.compress=false for the application")
     file = F.col("_metadata.file_path")
-    zstd = F.lit(False)
-    for suf in ZSTD_SUFFIXES:
-        zstd = zstd | file.endswith(suf)
-    plain = (spark.read.option("recursiveFileLookup", "true").text(path)
-             .where(~zstd & ~file.contains("appstatus"))
-             .select(F.col("value"), file.alias("file")))
-    bpath = F.col("path")
-    bz = F.lit(False)
-    for suf in ZSTD_SUFFIXES:
-        bz = bz | bpath.endswith(suf)
-    packed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-              .where(bz).select("path", "content"))
-    unpacked = packed.mapInPandas(_unzstd_fn(), "value string, file string")
-    return plain.unionByName(unpacked)
+    return (spark.read.option("recursiveFileLookup", "true").text(path)
+            .where(~F.regexp_extract(file, "([^/]*)$", 1).startswith("appstatus"))
+            .select(F.col("value"), file.alias("file")))
 
 
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
-    """One row per listener event from an event-log directory: single files and rolled
-    ``eventlog_v2_<app>/events_<n>_<app>[.zstd]`` folders, searched recursively, plain or zstd.
-    The application id comes from the path because only the start event carries it."""
-    raw = event_lines(spark, path)
+    """One row per line of an event-log directory, searched recursively: single files, rolled
+    ``eventlog_v2_<app>/events_<n>_<app>`` folders and ``app=<app>/`` partition folders.
+
+    The application id comes from the path because only the start event carries it. A line that is not a
+    listener event comes out with event ``Unreadable`` and no values, so nothing is lost uncounted; blank
+    lines are skipped.
+    """
+    raw = event_lines(spark, path).where(F.trim("value") != "")
     rolled = F.regexp_extract(F.col("file"), "/eventlog_v2_([^/]+)/[^/]+$", 1)
-    single = F.regexp_extract(F.col("file"), "/([^/]+?)(?:\\.inprogress)?(?:\\.(?:zstd|zst|lz4|lzf|snappy))?(?:\\.inprogress)?$", 1)
-    app = F.when(rolled != "", rolled).otherwise(single)
+    partition = F.regexp_extract(F.col("file"), "/app=([^/]+)/[^/]+$", 1)
+    single = F.regexp_extract(F.col("file"), "/([^/]+?)(?:\\.(?:inprogress|gz|bz2))*$", 1)
+    app = F.when(rolled != "", rolled).when(partition != "", partition).otherwise(single)
     e = F.from_json(F.col("value"), EVENT_SCHEMA).alias("e")
-    p = raw.select(app.alias("app"), e).where(F.col("e.Event").isNotNull())
+    p = raw.select(app.alias("app"), e)
     return p.select(
-        "app", F.col("e.Event").alias("event"),
+        "app", F.coalesce(F.col("e.Event"), F.lit(UNREADABLE)).alias("event"),
         F.coalesce(F.col("e.`Completion Time`"), F.col("e.`Submission Time`"), F.col("e.Timestamp"),
                    F.col("e.`Task Info`.`Finish Time`")).alias("time_ms"),
         F.col("e.`Job ID`").alias("job_id"), F.col("e.`Job Result`.Result").alias("job_result"),
@@ -99,7 +71,8 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_summary(events: DataFrame) -> DataFrame:
-    """per application: jobs, failed jobs, tasks, failed tasks, wall time, run time, shuffle and spill."""
+    """per application: jobs, failed jobs, tasks, failed tasks, wall time, run time, shuffle, spill and
+    unreadable lines."""
     ev = F.col("event")
     task = ev == "SparkListenerTaskEnd"
     return events.groupBy("app").agg(
@@ -115,4 +88,5 @@ def run_summary(events: DataFrame) -> DataFrame:
         F.sum(F.when(task, F.col("shuffle_read_bytes"))).cast("long").alias("shuffle_read_bytes"),
         F.sum(F.when(task, F.coalesce("disk_spill_bytes", F.lit(0)) + F.coalesce("memory_spill_bytes", F.lit(0))))
         .cast("long").alias("spill_bytes"),
+        F.count_if(ev == UNREADABLE).alias("n_unreadable"),
     )

@@ -31,11 +31,41 @@ def check_codec(fmt: str, codec: str) -> str:
     return c
 
 
+# fixed values: options with which a format gives back what was written: microseconds, and values that hold
+# line breaks, quotes, backslashes or nothing at all (NULL and the empty string stay apart)
+ROUND_TRIP = {
+    "csv": {"header": "true", "multiLine": "true", "quoteAll": "true", "escape": '"', "nullValue": "\\N",
+            "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+            "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"},
+    "json": {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+             "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"},
+}
+
+
+def check_types(df: DataFrame, fmt: str) -> None:
+    """A ValueError for columns that the text format cannot give back as they are."""
+    from pyspark.sql import types as T
+    nested = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
+    if fmt == "csv":
+        bad = [f.name for f in df.schema if isinstance(f.dataType, nested)]
+    elif fmt == "text":
+        bad = [] if [f.dataType for f in df.schema] == [T.StringType()] else df.columns
+    else:
+        bad = []
+    if bad:
+        raise ValueError(f"format {fmt!r} cannot hold the columns {bad}; use json, parquet or orc")
+
+
 def land_files(spark: SparkSession, src: str, dst: str, fmt: str, codec: str, src_fmt: str | None = None,
                schema=None, read_options: dict | None = None, write_options: dict | None = None,
                mode: str = "errorifexists") -> DataFrame:
     """A1: read files of ``src_fmt`` (default ``fmt``) at ``src`` and rewrite them at ``dst`` as ``fmt``
-    compressed with ``codec``. Returns the landed data read back from ``dst``.
+    compressed with ``codec``. Returns the landed data read back from ``dst``, equal to what was read.
+
+    csv and json are written with options that keep microseconds, line breaks, quotes, NULL and the empty
+    string (``ROUND_TRIP``); ``write_options`` override them, and read options among them are used to
+    read back. Columns a format cannot hold are refused before any work. Multi-line csv is read by one
+    task per file, so land large texts as json or parquet.
 
     Gzip and bzip2 text are read by one task per file (gzip is not splittable); prefer splittable
     columnar output (parquet + snappy/zstd) for anything read again.
@@ -45,8 +75,10 @@ def land_files(spark: SparkSession, src: str, dst: str, fmt: str, codec: str, sr
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.load(src)
-    write_df(df, dst, fmt, c, write_options, mode)
-    back = spark.read.format(fmt).options(**(write_options or {}))
+    check_types(df, fmt)
+    options = {**ROUND_TRIP.get(fmt, {}), **(write_options or {})}
+    write_df(df, dst, fmt, c, options, mode)
+    back = spark.read.format(fmt).options(**options)
     return back.schema(df.schema).load(dst) if fmt in ("csv", "json", "text") else back.load(dst)
 
 

@@ -22,7 +22,11 @@ def import_jdbc(spark: SparkSession, url: str, table: str, column: str | None =
                 upper=None, parts: int | None = None, props: dict | None = None,
                 fetchsize: int = 10000) -> DataFrame:
     """A4: an RDBMS table (or ``(subquery) alias``) as a DataFrame, read in ``parts`` parallel ranges
-    of ``column`` between ``lower`` and ``upper`` (rows outside the bounds still land in the end ranges)."""
+    of ``column`` between ``lower`` and ``upper`` (rows outside the bounds still land in the end ranges).
+
+    Without a split column one task reads the whole table; say so with ``parts=1``."""
+    if column is None and parts != 1:
+        raise ValueError("name a split column with lower, upper and parts, or ask for one task with parts=1")
     r = spark.read.format("jdbc").option("url", url).option("dbtable", table).option("fetchsize", fetchsize)
     if column is not None:
         if lower is None or upper is None or not parts:
@@ -63,7 +67,8 @@ def import_incremental(src: DataFrame, target: DataFrame, kind: str, check_col:
     the same ``key``; other target rows stay. ``last=None`` takes everything; ``last`` may also be a
     Column (e.g. a scalar subquery over the target). The comparison is a
     plain filter, so a JDBC source runs it inside the database. The new watermark is the largest
-    ``check_col`` seen (or ``last`` when nothing is new), as a one-row DataFrame.
+    ``check_col`` seen (or ``last`` when nothing is new), as a one-row DataFrame. Source rows whose
+    ``check_col`` is NULL are never newer than a watermark: they arrive only with ``last=None``.
     """
     if kind not in INCREMENTAL_KINDS:
         raise ValueError(f"kind must be one of {INCREMENTAL_KINDS}")

@@ -13,8 +13,8 @@ def dedup_stream(df: DataFrame, ts: str, keys, lateness: str) -> DataFrame:
     """Drop records whose ``keys`` were already seen.
 
     On a stream, state per key is kept until the watermark (``lateness`` behind the newest event)
-    passes the first copy's event time; a copy arriving later than that is not recognised. On a
-    batch, every repeat is dropped and the earliest copy by ``ts`` is kept.
+    passes the first copy's event time. Rows older than the watermark when they arrive are dropped,
+    first copies too: choose ``lateness`` above the longest delay of a record. On a batch, every repeat is dropped and the earliest copy by ``ts`` is kept.
     """
     keys = as_list(keys)
     if df.isStreaming:

@@ -2,7 +2,7 @@
 
 Spark's batch ``session_window`` shuffles every event of a key to one task before merging. Here
 the events are range-sorted by (keys, ts), so a key with a third of all events spans many
-partitions; each task builds the sessions of its own sorted slice (pandas over Arrow batches,
+partitions; each task builds the sessions of its own sorted slice (over Arrow batches,
 carrying the open session from batch to batch); only the first and last session of every
 partition can continue in a neighbouring partition, and those (at most two per partition) are
 merged with a window over the keys. Semantics equal ``session_window``: an event more than
@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,68 +42,81 @@ def interval_micros(text: str) -> int:
     return total
 
 
-def _partial_sessions(keys, has_value, gap_us):
-    """The per-partition step. Everything it uses is defined or imported inside, so the function is
-    shipped to Python workers by value and needs no basin installation there."""
-    gap_micros = gap_us
-    out_cols = keys + ["start", "last", "n", "total"]
+def _partial_sessions(keys, gap_us):
+    """The per-partition step, on Arrow columns, so keys of any type keep their exact values. Everything it
+    uses is defined or imported inside, so the function is shipped to Python workers by value and needs no
+    basin installation there."""
 
     def run(batches):
-        import pandas as pd
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
-        def _same(a, b):
-            return (a == b) | (a.isna() & b.isna())
-
-        gap = pd.Timedelta(microseconds=gap_micros)
         pid = TaskContext.get().partitionId()
-        carry = None   # the open session (a one-row frame): it may continue in the next batch
+        carry = None  # the open session: (one-row table of keys, start, last, n, total or None)
         emitted = 0
 
-        def finish(frame, tail):
+        def same(a, b):
+            """Equal, both NULL or both NaN, element by element."""
+            eq = pc.fill_null(pc.equal(a, b), False)
+            eq = pc.or_(eq, pc.and_(pc.is_null(a), pc.is_null(b)))
+            if pa.types.is_floating(a.type):
+                eq = pc.or_(eq, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+            return eq.to_numpy(zero_copy_only=False)
+
+        def finish(heads, start, last, n, total, ts_type, tail):
             nonlocal emitted
-            frame = frame[out_cols].copy()
-            frame["pid"] = pid
-            frame["head"] = False
-            if emitted == 0 and len(frame):
-                frame.iloc[0, frame.columns.get_loc("head")] = True
-            frame["tail"] = tail
-            emitted += len(frame)
-            return frame
-
-        for pdf in batches:
-            if pdf.empty:
+            head = np.zeros(len(n), bool)
+            if emitted == 0 and len(n):
+                head[0] = True
+            emitted += len(n)
+            cols = [*heads.columns, pa.array(start).cast(ts_type), pa.array(last).cast(ts_type),
+                    pa.array(n, pa.int64()), pa.array(total, pa.float64(), mask=np.isnan(total)),
+                    pa.array(np.full(len(n), pid), pa.int32()), pa.array(head), pa.array(np.full(len(n), tail))]
+            names = [*keys, "start", "last", "n", "total", "pid", "head", "tail"]
+            yield from pa.Table.from_arrays(cols, names=names).to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            ts = pdf["__ts"]
-            new = (ts.diff() > gap).to_numpy()
+            t = pa.Table.from_batches([batch]).combine_chunks()
+            rows, ts_type = t.num_rows, t["__ts"].type
+            ts = t["__ts"].chunk(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            new = np.ones(rows, bool)
+            new[1:] = np.diff(ts) > gap_us
             for k in keys:
-                new = new | ~_same(pdf[k], pdf[k].shift()).to_numpy()
-            cont = False
-            if carry is not None:
-                cont = all(_same(pdf[k].iloc[:1].reset_index(drop=True), carry[k].reset_index(drop=True)).iloc[0]
-                           for k in keys) and (ts.iloc[0] - carry["last"].iloc[0]) <= gap
-            new[0] = True
-            sid = new.cumsum()
-            g = pdf.groupby(sid, sort=True)
-            sess = g[keys].first() if keys else pd.DataFrame(index=g.size().index)
-            sess["start"] = g["__ts"].min()
-            sess["last"] = g["__ts"].max()
-            sess["n"] = g.size().astype("int64")
-            sess["total"] = g["__v"].sum(min_count=1) if has_value else None
-            sess = sess.reset_index(drop=True)
+                c = t[k].chunk(0)
+                new[1:] |= ~same(c.slice(0, rows - 1), c.slice(1))
+            at = np.flatnonzero(new)
+            ends = np.append(at[1:], rows)
+            start, last, n = ts[at], ts[ends - 1], ends - at
+            heads = t.select(keys).take(pa.array(at))
+            if "__v" in t.column_names:
+                v = t["__v"].chunk(0)
+                known = v.is_valid().to_numpy(zero_copy_only=False)
+                total = np.add.reduceat(np.where(known, v.fill_null(0.0).to_numpy(zero_copy_only=False), 0.0), at)
+                total = np.where(np.add.reduceat(known.astype(np.int64), at) > 0, total, np.nan)
+                nans = np.add.reduceat((known & np.isnan(v.fill_null(0.0).to_numpy(zero_copy_only=False))).astype(int), at)
+                if nans.any():
+                    raise ValueError("session totals of NaN values are not supported")
+            else:
+                total = np.full(len(at), np.nan)
             if carry is not None:
-                if cont:
-                    sess.loc[0, "start"] = carry["start"].iloc[0]
-                    sess.loc[0, "n"] = sess.loc[0, "n"] + carry["n"].iloc[0]
-                    if has_value:
-                        sess.loc[0, "total"] = pd.Series([sess.loc[0, "total"], carry["total"].iloc[0]]).sum(min_count=1)
+                goes_on = start[0] - carry[2][0] <= gap_us and all(
+                    same(carry[0][k].combine_chunks().chunk(0), heads[k].combine_chunks().chunk(0).slice(0, 1))[0]
+                    for k in keys)
+                if goes_on:
+                    start[0], n[0] = carry[1][0], n[0] + carry[3][0]
+                    both = [x for x in (total[0], carry[4][0]) if not np.isnan(x)]
+                    total[0] = sum(both) if both else np.nan
                 else:
-                    sess = pd.concat([carry[out_cols], sess], ignore_index=True)
-            carry = sess.iloc[-1:].reset_index(drop=True)
-            if len(sess) > 1:
-                yield finish(sess.iloc[:-1], False)
+                    yield from finish(*carry, ts_type, False)
+            if len(at) > 1:
+                yield from finish(heads.slice(0, len(at) - 1), start[:-1], last[:-1], n[:-1], total[:-1], ts_type, False)
+            carry = (heads.slice(len(at) - 1), start[-1:].copy(), last[-1:], n[-1:].copy(), total[-1:].copy())
         if carry is not None:
-            yield finish(carry, True)
+            yield from finish(*carry, ts_type, True)
 
     return run
 
@@ -123,7 +135,7 @@ def session_windows(df: DataFrame, ts: str, keys, gap: str, value: str | None =
         T.StructField("start", ts_type), T.StructField("last", ts_type), T.StructField("n", T.LongType()),
         T.StructField("total", T.DoubleType()), T.StructField("pid", T.IntegerType()),
         T.StructField("head", T.BooleanType()), T.StructField("tail", T.BooleanType())]
-    partial = ordered.mapInPandas(_partial_sessions(keys, value is not None, gap_us), T.StructType(fields))
+    partial = ordered.mapInArrow(_partial_sessions(keys, gap_us), T.StructType(fields))
     # the interior and edge sessions below must come from one evaluation (two evaluations of a range
     # shuffle may draw different bounds): store the partial sessions once in the checkpoint folder
     checkpoint_dir(df.sparkSession)

@@ -1,67 +1,79 @@
 """Keyed upserts from a stream into a versioned, bucketed table -- without MERGE.
 
 Layout under ``target``:
-  ``data/basin_version=<batch_id>/basin_bucket=<b>/``  rows of bucket ``b`` as written by batch ``batch_id``
-  ``_commits/``                       one row ``(batch_id, basin_bucket)`` per bucket a batch rewrote
+  ``_table/``                         one row: the bucket count the table was made with
+  ``data/basin_version=<v>/basin_bucket=<b>/``  rows of bucket ``b`` as written by version ``v``
+  ``_commits/``                       one row ``(stream_id, batch_id, basin_version, basin_bucket)`` per bucket rewritten
 
 A row's bucket is ``pmod(xxhash64(keys), buckets)``. Each micro-batch is collapsed to the last row
-per key, and only the buckets it touches are rewritten: their current rows are read, the batch is
-applied with source-wins semantics, and the result is written as a new version of those buckets.
-The commit rows are appended only after the data is written, so a crash leaves the previous
+per key, stored once, and only the buckets it touches are rewritten, with source-wins semantics, as a
+new version. The commit rows are appended only after the data is written, so a crash leaves the previous
 version current. The current table is every bucket at its newest committed version: a semi join
 with the commit table (at most ``buckets`` rows, so it is broadcast safely) lets dynamic partition
-pruning skip older versions. A replayed batch id is skipped.
-Old versions stay on disk until removed by a retention job.
+pruning skip older versions.
+
+A batch is skipped only if the same stream (one checkpoint) committed the same batch id before, so a query
+started with a new checkpoint, or a second stream, writes the same table. Only one stream may write at a
+time. NULL keys are keys like any other (matched null-safely). The bucket count is fixed when the table
+is made; another one is refused. Versions that no bucket needs any more are removed one batch
+later, so a reader that planned before a commit still finds its files.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basin.operators._common import as_list
-from basin.operators.dispositions import last_wins, sync_apply
+from basin.operators._common import all_of, as_list
+from basin.operators.dispositions import last_wins
 
 DEFAULT_BUCKETS = 64
 VERSION, BUCKET = "basin_version", "basin_bucket"
+#: Tasks that write one bucket of a batch, so a hot bucket is not one task's work.
+SALTS = 4
+COMMITS = f"stream_id STRING, batch_id BIGINT, {VERSION} BIGINT, {BUCKET} INT"
 
 
 def _root(target: str) -> str:
     return target.rstrip("/")
 
 
-def _missing(e: Exception) -> bool:
-    m = str(e)
-    return "PATH_NOT_FOUND" in m or "UNABLE_TO_INFER_SCHEMA" in m or "does not exist" in m
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The parquet files at ``path``, or None before the first write."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return spark.read.schema(schema).parquet(path)
 
 
-def _commits(spark: SparkSession, target: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(f"{_root(target)}/_commits")
-    except Exception as e:
-        if _missing(e):
-            return None
-        raise
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def bucket_of(keys, buckets: int):
     return F.pmod(F.xxhash64(*[F.col(k) for k in as_list(keys)]), F.lit(buckets)).cast("int")
 
 
+def table_buckets(spark: SparkSession, target: str) -> int | None:
+    """The bucket count of the table, None before it is made."""
+    meta = _read(spark, f"{_root(target)}/_table", "buckets INT")
+    row = meta.first() if meta is not None else None
+    return row.buckets if row else None
+
+
 def current_versions(spark: SparkSession, target: str) -> DataFrame | None:
     """``(basin_bucket, basin_version)``: the newest committed version of every bucket (at most ``buckets`` rows)."""
-    c = _commits(spark, target)
-    if c is None:
-        return None
-    return c.groupBy(BUCKET).agg(F.max("batch_id").alias(VERSION))
+    c = _read(spark, f"{_root(target)}/_commits", COMMITS)
+    return None if c is None else c.groupBy(BUCKET).agg(F.max(VERSION).alias(VERSION))
 
 
-def latest_version(spark: SparkSession, target: str):
-    """The newest committed batch id, or None (one aggregate over the small commit table)."""
-    c = _commits(spark, target)
-    if c is None:
-        return None
-    return c.agg(F.max("batch_id").alias("m")).first()["m"]
+def latest_version(spark: SparkSession, target: str) -> int | None:
+    """The newest committed version, or None (one aggregate over the small commit table)."""
+    c = _read(spark, f"{_root(target)}/_commits", COMMITS)
+    return None if c is None else c.agg(F.max(VERSION).alias("m")).first()["m"]
 
 
 def read_upserted(spark: SparkSession, target: str, buckets: DataFrame | None = None) -> DataFrame | None:
@@ -76,26 +88,48 @@ def read_upserted(spark: SparkSession, target: str, buckets: DataFrame | None =
     return data.join(F.broadcast(cur), [VERSION, BUCKET], "left_semi").drop(VERSION, BUCKET)
 
 
-def apply_batch(batch: DataFrame, batch_id: int, keys, order, target: str, buckets: int = DEFAULT_BUCKETS) -> bool:
-    """Apply one micro-batch; returns False when this batch id was already committed."""
-    spark = batch.sparkSession
-    keys = as_list(keys)
-    last = latest_version(spark, target)
-    if last is not None and batch_id <= last:
+def remove_old_versions(spark: SparkSession, target: str, before: int) -> None:
+    """Delete the versions that no bucket was at any more as of version ``before``."""
+    c = _read(spark, f"{_root(target)}/_commits", COMMITS).where(F.col(VERSION) <= before)
+    kept = c.groupBy(BUCKET).agg(F.max(VERSION).alias(VERSION))
+    old = c.select(VERSION).distinct().join(kept, VERSION, "left_anti").collect()  # version numbers
+    for r in old:
+        _delete(spark, f"{_root(target)}/data/{VERSION}={r[VERSION]}")
+
+
+def apply_batch(batch: DataFrame, batch_id: int, keys, order, target: str, buckets: int = DEFAULT_BUCKETS,
+                stream_id: str = "batch") -> bool:
+    """Apply one micro-batch; returns False when this stream committed this batch id before."""
+    spark, root, keys = batch.sparkSession, _root(target), as_list(keys)
+    made = table_buckets(spark, target)
+    if made is None:
+        spark.createDataFrame([(buckets,)], "buckets INT").coalesce(1).write.mode("overwrite").parquet(f"{root}/_table")
+    elif made != buckets:
+        raise ValueError(f"the table at {root} has {made} buckets, not {buckets}; rewrite it to change the count")
+    commits = _read(spark, f"{root}/_commits", COMMITS)
+    if commits is not None and not commits.where(
+            (F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id)).isEmpty():
         return False
-    latest = last_wins(batch, keys, as_list(order)).withColumn(BUCKET, bucket_of(keys, buckets))
+    newest = latest_version(spark, target)
+    version = 0 if newest is None else newest + 1
+    staged = f"{root}/_staged/{uuid.uuid4().hex}"  # the collapsed batch, evaluated once
+    last_wins(batch, keys, as_list(order)).withColumn(BUCKET, bucket_of(keys, buckets)).write.parquet(staged)
+    latest = spark.read.parquet(staged)
     touched = latest.select(BUCKET).distinct()
-    prev = read_upserted(spark, target, buckets=touched)
-    if prev is None:
-        new = latest
-    else:
-        prev = prev.withColumn(BUCKET, bucket_of(keys, buckets))
-        new = sync_apply(latest.select(*prev.columns), prev, keys)
-    root = _root(target)
-    (new.sortWithinPartitions(BUCKET).write.mode("overwrite").partitionBy(BUCKET)
-     .parquet(f"{root}/data/{VERSION}={batch_id}"))
-    (touched.select(F.lit(batch_id).cast("long").alias("batch_id"), BUCKET)
+    new, prev = latest, read_upserted(spark, target, buckets=touched)
+    if prev is not None:
+        changed = latest.select(*[F.col(k).alias(f"__{k}") for k in keys])
+        kept = prev.join(changed, all_of([F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left_anti")
+        new = latest.unionByName(kept.withColumn(BUCKET, bucket_of(keys, buckets)))
+    salt = F.pmod(F.xxhash64(*keys, F.lit(1)), F.lit(SALTS))
+    (new.repartition(F.col(BUCKET), salt).sortWithinPartitions(BUCKET).write.mode("overwrite").partitionBy(BUCKET)
+     .parquet(f"{root}/data/{VERSION}={version}"))
+    (touched.select(F.lit(stream_id).alias("stream_id"), F.lit(batch_id).cast("long").alias("batch_id"),
+                    F.lit(version).cast("long").alias(VERSION), BUCKET)
      .coalesce(1).write.mode("append").parquet(f"{root}/_commits"))
+    _delete(spark, staged)
+    if newest is not None:
+        remove_old_versions(spark, target, newest)
     return True
 
 
@@ -103,11 +137,15 @@ def upsert_stream(df: DataFrame, keys, order, target: str, checkpoint: str, trig
                   buckets: int = DEFAULT_BUCKETS):
     """Start a query that upserts every micro-batch of ``df`` into the table at ``target``.
 
-    ``buckets`` should grow with the table (about one bucket per few GB) so that a batch touching
-    few keys rewrites little. Returns the StreamingQuery; ``read_upserted(spark, target)`` reads it.
+    ``buckets`` is fixed with the first batch; choose it for the size the table will have (about one bucket
+    per few GB). Returns the StreamingQuery; ``read_upserted(spark, target)`` reads it.
     """
-    w = (df.writeStream.foreachBatch(lambda b, i: apply_batch(b, i, keys, order, target, buckets))
-         .option("checkpointLocation", checkpoint))
+    def write(batch, batch_id):
+        # the id kept in the checkpoint: a new checkpoint is a new stream and counts batches anew
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        apply_batch(batch, batch_id, keys, order, target, buckets, stream_id=stream or checkpoint)
+
+    w = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if trigger:
         w = w.trigger(**trigger)
     return w.start()

@@ -27,14 +27,16 @@ def window_metrics(df: DataFrame, ts: str, keys, kind: str, size: str | None = N
     (a new session starts when the next event is MORE than ``gap`` after the previous one; an
     event exactly ``gap`` later still extends the session, as session windows touching at an
     end are merged).
-    On a stream, ``lateness`` sets the watermark: rows later than that behind the newest event
-    may be dropped, and in append mode a window is emitted once the watermark passes its end.
+    On a stream, ``lateness`` is required and sets the watermark: rows later than that behind the newest
+    event are dropped, and in append mode a window is emitted once the watermark passes its end.
     Output: keys, ``window_start``, ``window_end``, ``n`` [, ``total``]; window bounds keep the
     type of ``ts`` on batch input. Batch session windows use ``basin.streaming.sessions`` so a key
     with a huge share of the events is still spread over many tasks.
     """
     if kind not in WINDOW_KINDS:
         raise ValueError(f"kind must be one of {WINDOW_KINDS}")
+    if df.isStreaming and not lateness:
+        raise ValueError("a stream needs lateness: rows that arrive later than this behind the newest are dropped")
     keys = as_list(keys)
     if kind == "session" and not df.isStreaming:
         from basin.streaming.sessions import session_windows
@@ -43,7 +45,7 @@ def window_metrics(df: DataFrame, ts: str, keys, kind: str, size: str | None = N
     x = df
     if df.isStreaming:
         x = event_time(x, ts)
-        x = x.withWatermark(ts, lateness or "0 seconds")
+        x = x.withWatermark(ts, lateness)
     if kind == "tumbling":
         w = F.window(F.col(ts), size)
     elif kind == "sliding":

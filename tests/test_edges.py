@@ -297,13 +297,60 @@ def test_service_health_lists_given_hosts(spark):
     assert out == {(1, "kafka"): "running", (1, "zk"): "absent", (2, "kafka"): "absent", (2, "zk"): "absent"}
 
 
-def test_event_log_summaries_cover_plain_and_zstd_logs(spark, sf_dir):
-    import glob
+def test_event_log_counts_unreadable_lines_and_refuses_unknown_compression(spark, tmp):
+    import gzip
 
-    from basin.plans.io_queries import _event_log_dir
     from basin.sources.eventlog import read_event_log, run_summary
-    path = _event_log_dir(spark, sf_dir)
-    assert glob.glob(f"{path}/eventlog_v2_*/events_*.zstd") and glob.glob(f"{path}/local-*")
-    rows = run_summary(read_event_log(spark, path)).collect()
-    assert len(rows) == 2
-    assert all(r["n_jobs"] >= 1 and r["n_tasks"] >= 1 and r["wall_ms"] > 0 and r["n_failed_jobs"] == 0 for r in rows)
+    os.makedirs(f"{tmp}/log/eventlog_v2_local-2")
+    start = '{"Event":"SparkListenerApplicationStart","Timestamp":5}'
+    job = '{"Event":"SparkListenerJobEnd","Job ID":1,"Completion Time":9,"Job Result":{"Result":"JobFailed"}}'
+    with open(f"{tmp}/log/local-1", "w") as f:
+        f.write(f"{start}\n{job}\n{{broken\n\n")
+    with gzip.open(f"{tmp}/log/eventlog_v2_local-2/events_1_local-2.gz", "wt") as f:
+        f.write(f"{start}\n")
+    open(f"{tmp}/log/eventlog_v2_local-2/appstatus_local-2", "w").close()
+    got = {r.app: r for r in run_summary(read_event_log(spark, f"{tmp}/log")).collect()}
+    assert set(got) == {"local-1", "local-2"} and got["local-1"].n_unreadable == 1 and got["local-1"].n_failed_jobs == 1
+    with open(f"{tmp}/log/local-3.zstd", "w") as f:
+        f.write("packed")
+    with pytest.raises(ValueError, match="unsupported compression"):
+        read_event_log(spark, f"{tmp}/log")
+
+
+def test_landing_round_trips_without_options(spark, tmp):
+    from datetime import datetime
+    rows = [(1, "a\nb\n", datetime(2020, 1, 2, 3, 4, 5, 678901)), (2, 'q"u,o\\te', None), (3, "", None), (4, None, None), (5, " x ", None)]
+    df = spark.createDataFrame(rows, "id long, s string, t timestamp_ntz")
+    df.write.parquet(f"{tmp}/src")
+    for fmt in ("csv", "json"):
+        back = land_files(spark, f"{tmp}/src", f"{tmp}/{fmt}", fmt, "gzip", src_fmt="parquet")
+        assert sorted(map(tuple, back.collect())) == sorted(rows), fmt
+    spark.createDataFrame([([1],)], "a array<int>").write.parquet(f"{tmp}/arr")
+    with pytest.raises(ValueError, match="cannot hold"):
+        land_files(spark, f"{tmp}/arr", f"{tmp}/x", "csv", "gzip", src_fmt="parquet")
+
+
+def test_replace_keeps_the_table_definition(spark):
+    import uuid
+    name = f"basin_replace_{uuid.uuid4().hex[:8]}"
+    spark.sql(f"CREATE TABLE {name} (a INT COMMENT 'first', b STRING, p INT) USING parquet PARTITIONED BY (p) "
+              "COMMENT 'kept' TBLPROPERTIES ('note' = 'me')")
+    df = spark.createDataFrame([(1, 7, "x"), (2, 8, "y")], "a int, p int, b string")
+    assert B.write_table(df, name, "append") == "appended"
+    before = spark.sql(f"SHOW CREATE TABLE {name}").first()[0]
+    assert B.write_table(df.where("a = 1"), name, "replace") == "replaced"
+    assert B.write_table(spark.table(name), name, "replace") == "replaced"
+    assert spark.sql(f"SHOW CREATE TABLE {name}").first()[0] == before
+    assert [tuple(r) for r in spark.table(name).collect()] == [(1, "x", 7)]
+    spark.sql(f"DROP TABLE {name}")
+
+
+@pytest.mark.parametrize("line,expected", [("xaab bb", "xXb bb"), ("ab", "ab")])
+def test_replace_first_with_a_reference_in_the_pattern(spark, line, expected):
+    assert one(spark, C.replace_first(F.col("s"), r"([a-z])\1", "X"), value=line) == expected
+
+
+def test_overlapping_sections_are_edited_once(spark):
+    df = spark.createDataFrame([(1, "B\na\nB\na\nE\na\nE\na\n"), (2, "a\n"), (3, ""), (4, None)], "id long, t string")
+    out = {r.id: r.t for r in C.section_replace(df, "id", "t", C.MarkerSpan("^B", "^E"), "a", "aa").collect()}
+    assert out == {1: "B\naa\nB\naa\nE\naa\nE\na\n", 2: "a\n", 3: "", 4: None}

@@ -43,3 +43,12 @@ def test_interval_text():
     assert interval_micros("30 minutes") == 30 * 60 * 10 ** 6
     assert interval_micros("1 hour 30 minutes") == 90 * 60 * 10 ** 6
     assert interval_micros("45 seconds") == 45 * 10 ** 6
+
+
+def test_session_keys_keep_their_values(spark):
+    """A NULL key in the batch must not turn big integers into floats; NULL is a key of its own."""
+    big = 9007199254740992
+    rows = [(None, 0), (big, 0), (big + 1, 60), (big + 3, 0), (None, 60)]
+    df = spark.createDataFrame(rows, "u long, s long").select("u", F.timestamp_seconds("s").alias("ts"), F.lit(1.5).alias("v"))
+    got = sorted(((r.u, r.n, r.total) for r in session_windows(df, "ts", "u", "10 minutes", "v").collect()), key=str)
+    assert got == sorted([(None, 2, 3.0), (big, 1, 1.5), (big + 1, 1, 1.5), (big + 3, 1, 1.5)], key=str)

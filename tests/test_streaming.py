@@ -66,7 +66,8 @@ def test_upsert_stream_is_replay_safe(spark, tmp):
     first = read_upserted(spark, f"{tmp}/t")
     assert first.count() == o.count()
     # the same batch id again (a replay after a crash) is skipped
-    assert apply_batch(o.withColumn("v", F.lit(0.0)), 0, "k", "ver", f"{tmp}/t") is False
+    stream = spark.read.parquet(f"{tmp}/t/_commits").first()["stream_id"]
+    assert apply_batch(o.withColumn("v", F.lit(0.0)), 0, "k", "ver", f"{tmp}/t", stream_id=stream) is False
     assert read_upserted(spark, f"{tmp}/t").where("v = 0").count() == 0
     # a new batch applies: source rows win, others stay
     assert apply_batch(o.where("k < 10").withColumn("v", F.lit(0.0)), 1, "k", "ver", f"{tmp}/t") is True
@@ -120,3 +121,39 @@ def test_write_topic_from_a_stream(spark, tmp):
     got = decode_records(spark.read.schema("key string, value string").json(f"{tmp}/topic"), e.schema)
     assert got.drop("key").exceptAll(e).count() == 0 and got.count() == e.count()
     assert got.where(F.col("key") != F.col("event_id").cast("string")).count() == 0
+
+
+def _batch(spark, lo, hi, v):
+    return spark.range(lo, hi).select(F.col("id").alias("k"), F.lit(v).alias("v"), F.lit(1).alias("ver"))
+
+
+def test_upsert_after_a_restart_with_a_new_checkpoint(spark, tmp):
+    for i, (lo, stream) in enumerate(((0, "one"), (100, "one"), (200, "two"))):
+        assert apply_batch(_batch(spark, lo, lo + 100, 1.0), i if stream == "one" else 0, "k", "ver", f"{tmp}/t", 8, stream)
+    assert read_upserted(spark, f"{tmp}/t").count() == 300
+
+
+def test_upsert_refuses_another_bucket_count(spark, tmp):
+    import pytest
+    apply_batch(_batch(spark, 0, 1000, 1.0), 0, "k", "ver", f"{tmp}/t", 8)
+    with pytest.raises(ValueError, match="8 buckets"):
+        apply_batch(_batch(spark, 0, 10, 2.0), 1, "k", "ver", f"{tmp}/t", 16)
+    assert apply_batch(_batch(spark, 0, 10, 2.0), 1, "k", "ver", f"{tmp}/t", 8)
+    assert read_upserted(spark, f"{tmp}/t").select("k").distinct().count() == 1000 == read_upserted(spark, f"{tmp}/t").count()
+
+
+def test_upsert_matches_null_keys_and_removes_old_versions(spark, tmp):
+    import os
+    batch = spark.createDataFrame([(None, 1.0, 1), (5, 2.0, 1)], "k long, v double, ver int")
+    for i in range(4):
+        assert apply_batch(batch, i, "k", "ver", f"{tmp}/t", 8)
+    assert read_upserted(spark, f"{tmp}/t").count() == 2
+    assert len([d for d in os.listdir(f"{tmp}/t/data") if d.startswith("basin_version")]) == 2
+
+
+def test_a_stream_without_lateness_is_refused(spark, tmp):
+    import pytest
+    e = spark.read.parquet(f"{SMALL}/events.parquet")
+    s = spark.readStream.schema(e.schema).parquet(f"{SMALL}/events.parquet")
+    with pytest.raises(ValueError, match="lateness"):
+        window_metrics(s, "ts", "event_type", "tumbling", size="1 hour")
