@@ -1,48 +1,62 @@
 """Consecutive numbering in a stated order, without a window over a whole group.
 
 ``row_number()`` over ``partitionBy(group)`` sends every row of a group to one task; a group that
-holds a third of the data would then be sorted by one task. Instead the rows are range-sorted
-globally (a large group spans many partitions), each row's position inside its partition comes
-from ``monotonically_increasing_id`` (stored by a checkpoint), and per ``(group, partition)`` counts
-give each partition's offset. The only window runs over those counts (at most one row per group and
-partition), and they are joined back on ``(group, partition)``, which splits a hot group too.
+holds a third of the data would then be sorted by one task. Instead rows are first put in at most
+``SLICES`` + 1 consecutive slices of the order (group first, so a large group spans many). The slice bounds are a
+sample that every evaluation draws alike: of the rows whose hash falls in one of ``SLICES`` buckets, the
+one with the smallest hash, an aggregate combined in each task before the shuffle. Rows are numbered within
+(group, slice) and the counts of earlier slices are added; that window runs over the counts, at most one row per
+group and slice. Nothing is stored, and no job runs before the result is asked for.
 """
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basin.operators._common import all_of, as_list
-from basin.session import checkpoint_dir
 
-_LOW_BITS = (1 << 33) - 1
+SLICES = 1024
 
 
 def dense_index(df: DataFrame, order, group=None, base: int = 0, name: str = "idx") -> DataFrame:
     """Add ``name`` = ``base`` + 0, 1, 2, ... in ``order`` within each ``group`` (or overall).
 
-    Rows with equal group and order values get consecutive numbers in an unspecified order, so
-    make ``order`` unique within a group when the numbers must be reproducible.
+    ``order`` is ascending, NULLs first. Rows with equal group and order values get consecutive numbers in an
+    unspecified order, so make ``order`` unique within a group when the numbers must be reproducible (rows that
+    are equal in all of these share a slice).
     """
-    group = as_list(group)
-    order = as_list(order)
-    cols = df.columns
-    sort_cols = [F.col(c) if isinstance(c, str) else c for c in group + order]
-    # Positions are stored once with a reliable checkpoint (shared checkpoint folder): the counts and
-    # the rows below must see the very same positions, and two evaluations of a range shuffle may
-    # draw different range bounds. It also cuts the lineage, so a lost executor cannot renumber.
-    checkpoint_dir(df.sparkSession)
-    tagged = (df.orderBy(*sort_cols).withColumn("__m", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
-    tagged = (tagged.withColumn("__p", F.shiftright(F.col("__m"), 33))
-              .withColumn("__local", F.col("__m").bitwiseAND(F.lit(_LOW_BITS))))
-    gcols = [F.col(g).alias(f"__g{i}") for i, g in enumerate(group)]
-    counts = tagged.groupBy(*gcols, F.col("__p").alias("__cp")).agg(
-        F.min("__local").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*[F.col(f"__g{i}") for i in range(len(group))]).orderBy("__cp")
-    offsets = counts.withColumn("__off", F.sum("__n").over(w) - F.col("__n"))
-    cond = [F.col("__p") == F.col("__cp")] + [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)]
-    joined = tagged.join(offsets, on=all_of(cond), how="inner")
-    idx = (F.lit(base) + F.col("__off") + F.col("__local") - F.col("__first")).cast("long")
-    return joined.select(*[F.col(c) for c in cols], idx.alias(name))
+    group, order, cols = as_list(group), as_list(order), df.columns
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    keys = [col(c).alias(f"__k{i}") for i, c in enumerate(group + order)]
+    gcols = [f"__k{i}" for i in range(len(group))]
+    keyed = df.select("*", *keys)
+    key = F.struct(*[F.col(f"__k{i}") for i in range(len(keys))])
+    h = F.xxhash64(*[F.col(f"__k{i}") for i in range(len(keys))])
+    sample = keyed.select(key.alias("key"), h.alias("h")).groupBy(F.pmod("h", F.lit(SLICES)).alias("b")).agg(
+        F.min(F.struct("h", "key")).alias("one"))
+    bounds = sample.agg(F.array_sort(F.collect_list("one.key")).alias("bounds")).scalar()
+    tagged = keyed.withColumn("__bounds", bounds)
+    low = F.lit(0)  # how many bounds are below the key, by bisection
+    steps = F.sequence(F.lit(1), F.lit(ceil(log2(SLICES)) + 1))
+
+    def halve(s, _):
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.get(F.col("__bounds"), middle) < key
+        more = s["lo"] < s["hi"]
+        return F.struct(F.when(more & below, middle + 1).otherwise(s["lo"]).alias("lo"),
+                        F.when(more & ~below, middle).otherwise(s["hi"]).alias("hi"))
+
+    start = F.struct(low.alias("lo"), F.size("__bounds").alias("hi"))
+    tagged = tagged.withColumn("__slice", F.aggregate(steps, start, halve, lambda s: s["lo"])).drop("__bounds")
+    counts = tagged.groupBy(*gcols, "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*gcols).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(g).alias(f"_{g}") for g in gcols], F.col("__slice").alias("__at"),
+                            F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off"))
+    within = Window.partitionBy(*gcols, "__slice").orderBy(*[F.col(f"__k{i}") for i in range(len(group), len(keys))])
+    numbered = tagged.withColumn("__row", F.row_number().over(within))
+    same = [F.col("__slice") == F.col("__at")] + [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in gcols]
+    joined = numbered.join(offsets, all_of(same))
+    return joined.select(*[F.col(c) for c in cols], (F.lit(base) + F.col("__off") + F.col("__row") - 1).cast("long").alias(name))
