@@ -38,11 +38,11 @@ from basin.llm._common import hash_bucket, held_out, stored, worker_cache
 BITS = 18
 FACTORS = 6
 MAX_ROWS = 12_000
-ROUNDS = 8
+ROUNDS = 12
 PARTS = 6
 PASSES = 3
 BATCH = 64
-RATE, L1, L1_PAIRS = 0.3, 2e-4, 1e-3
+RATE, L1, L1_PAIRS = 0.3, 2e-4, 1e-4
 SCREEN = 4.0
 PREFIX = 5
 CACHE_WORDS = 200_000
@@ -76,7 +76,7 @@ class Weights:
         n = len(slots)
         self.slots, self.b = np.asarray(slots, np.int32), float(b)
         self.w = np.zeros(n) if w is None else w
-        self.v = np.random.default_rng(7).normal(0, 1e-2, (n, FACTORS)) if v is None else v
+        self.v = np.random.default_rng(7).normal(0, 0.05, (n, FACTORS)) if v is None else v
         self.place = np.full(1 << BITS, -1, np.int32)
         self.place[self.slots] = np.arange(n)
 
