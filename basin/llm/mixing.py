@@ -147,8 +147,9 @@ def fit_rates(groups: DataFrame, targets: list[float], budget: float | None = No
               max_steps: int = MAX_STEPS) -> tuple[Column, dict]:
     """The rate as a Column over ``p``, and what was fitted.
 
-    ``groups`` has (p, n). ``budget`` is the wanted total in tokens; by default the largest total for
-    which no domain needs more tokens than it has.
+    ``groups`` has (p, n). ``budget`` is the wanted total in tokens; by default the total at which the domain
+    with the largest target keeps what it has, so its documents stay near rate one, domains above their
+    target are thinned and domains below it are repeated.
     """
     k = len(targets)
     shares = [t / sum(targets) for t in targets]
@@ -159,7 +160,7 @@ def fit_rates(groups: DataFrame, targets: list[float], budget: float | None = No
 
     mass = totals(F.lit(1.0))
     if budget is None:
-        budget = min((m / s for m, s in zip(mass, shares) if s > 0 and m > 0), default=0.0)
+        budget = max(zip(shares, mass))[1] / max(shares)
     goal = [s * budget for s in shares]
     steps: list = []
     at = mass

@@ -145,8 +145,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int
         share = F.when(F.col("label") == value, F.lit(kept)).otherwise(share)
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     picked = known.withColumn("share", share).filter(pick < F.col("share")).select(
-        F.col("doc_id").alias("labelled_id"), "label", (1 / F.col("share")).alias("importance"))
-    return docs.join(F.broadcast(picked), F.col("doc_id") == F.col("labelled_id")).select(
+        F.col("doc_id").alias("labelled_id"), "label", (1 / F.nullif(F.col("share"), F.lit(0.0))).alias("importance"))
+    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("labelled_id")).select(
         "doc_id", "text", "label", "importance")
 
 

@@ -115,7 +115,7 @@ def test_rates_match_brute_force_least_squares(spark):
     rate, fitted = mixing.fit_rates(groups, targets)
     r = np.array([x.r for x in groups.select("p", "n", rate.alias("r")).collect()])
     mass = n @ p
-    budget = min(m / t for m, t in zip(mass, targets))
+    budget = mass[1] / 0.5  # the largest target keeps its tokens
     goal = np.array(targets) * budget
     assert (r >= 0).all() and np.allclose(fitted["goal"], goal)
     assert np.allclose(np.array(fitted["total"]), goal, rtol=1e-2)
@@ -134,6 +134,13 @@ def test_mixing_query_reaches_its_targets(spark):
     assert np.allclose(got[[f"p_{d}" for d in domains]].sum(axis=1), 1, atol=1e-3)
 
 
+def test_a_domain_with_little_mass_does_not_shrink_the_corpus(spark):
+    groups = spark.createDataFrame([([1.0, 0.0], 10_000), ([0.0, 1.0], 10)], "p array<double>, n long")
+    rate, fitted = mixing.fit_rates(groups, [0.9, 0.1])
+    got = {tuple(r.p): r.r for r in groups.select("p", rate.alias("r")).collect()}
+    assert abs(got[1.0, 0.0] - 1) < 1e-2 and abs(got[0.0, 1.0] - 111.1) < 2
+
+
 def test_mixing_odd_rows(spark, labelled):
     docs, labels = labelled
     domains = queries.labelled_domains(labels)
