@@ -29,9 +29,7 @@ def vocabulary(name: str) -> str:
 
 def bpe_digests(docs):
     """Ids and decoded text of every document, as counts and SHA-256 digests."""
-    spec = vocabulary("word_bpe_49k.json")
-    encoded = bpe.encode(docs, spec)
-    decoded = bpe.decode(encoded, bpe.pieces(docs.sparkSession, spec))
+    decoded = bpe.encode_decode(docs, vocabulary("word_bpe_49k.json"))
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                           F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                           F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -62,6 +60,7 @@ def op10_simhash(spark, sf_dir):
 
 #: Labelled domains and the token shares wanted of them.
 TARGETS = {"clean": 0.93, "low": 0.05, "toxic": 0.02}
+PIPELINE_TARGETS = {"clean": 0.95, "low": 0.05}
 
 
 def labelled_domains(labels):
@@ -69,6 +68,12 @@ def labelled_domains(labels):
     return labels.select("doc_id", domain.alias("domain")).filter("domain IS NOT NULL")
 
 
+def labelled_quality(labels):
+    """Domains of a corpus that toxic documents have left already."""
+    domain = F.when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
+    return labels.select("doc_id", domain.alias("domain")).filter("domain IS NOT NULL")
+
+
 @query("op5_mixing")
 def op5_mixing(spark, sf_dir):
     return mixing.document_rates(table(spark, sf_dir, "documents"),
