@@ -109,9 +109,8 @@ class _Words(dict):
         return head + self[tail] if tail else head
 
 
-def encode(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text",
-           table_words: int = TABLE_WORDS) -> DataFrame:
-    """(id, ids array<int>) of every whole text."""
+def _encoder(docs, tokenizer_json, id_col, text_col, table_words):
+    """The task's step from (id, text) batches to (id, ids) batches, with the word table at hand."""
     sc = docs.sparkSession.sparkContext
     counts = stored(distinct_words(docs, text_col), "bpe-words")
     table = word_table(frequent(counts, table_words), tokenizer_json)
@@ -135,7 +134,14 @@ def encode(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_co
                 ids = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(rows), "<u4").astype(np.int32))
                 yield pa.RecordBatch.from_arrays([keys.slice(start, at - start), ids], [id_col, "ids"])
 
+    return run
+
+
+def encode(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text",
+           table_words: int = TABLE_WORDS) -> DataFrame:
+    """(id, ids array<int>) of every whole text."""
     kind = docs.schema[id_col].dataType.simpleString()
+    run = _encoder(docs, tokenizer_json, id_col, text_col, table_words)
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
@@ -146,12 +152,10 @@ def pieces(spark, tokenizer_json: str) -> DataFrame:
     return spark.createDataFrame(sorted(rows.items()), "id int, piece string")
 
 
-def decode(encoded: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
-           joiner: str = " ") -> DataFrame:
-    """(id, ids, decoded): each id joined to its piece, pieces joined by ``joiner`` (what a tokenizer
-    without a decoder does). The vocabulary has a fixed size, so its table is sent to every task and
-    the join needs no shuffle."""
-    table = encoded.sparkSession.sparkContext.broadcast({r.id: r.piece for r in vocabulary.collect()})
+def _decoder(vocabulary, id_col, ids_col, joiner):
+    """The task's step from (id, ids) batches to (id, ids, decoded) batches. The vocabulary has a fixed size, so
+    its table is sent to every task and the join needs no shuffle."""
+    table = vocabulary.sparkSession.sparkContext.broadcast({r.id: r.piece for r in vocabulary.collect()})
 
     def run(batches):
         lookup = table.value
@@ -173,6 +177,23 @@ def decode(encoded: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", id
                     [batch.column(0).slice(start, n), batch.column(1).slice(start, n), pa.array(out, pa.string())],
                     [id_col, ids_col, "decoded"])
 
+    return run
+
+
+def decode(encoded: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
+           joiner: str = " ") -> DataFrame:
+    """(id, ids, decoded): each id joined to its piece, pieces joined by ``joiner`` (what a tokenizer
+    without a decoder does)."""
     kind = encoded.schema[id_col].dataType.simpleString()
     return encoded.select(id_col, ids_col).mapInArrow(
-        run, f"`{id_col}` {kind}, `{ids_col}` array<int>, decoded string")
+        _decoder(vocabulary, id_col, ids_col, joiner), f"`{id_col}` {kind}, `{ids_col}` array<int>, decoded string")
+
+
+def encode_decode(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text",
+                  table_words: int = TABLE_WORDS) -> DataFrame:
+    """``decode`` of ``encode`` in one pass: (id, ids, decoded), with one Python worker for each task."""
+    encoder = _encoder(docs, tokenizer_json, id_col, text_col, table_words)
+    decoder = _decoder(pieces(docs.sparkSession, tokenizer_json), id_col, "ids", " ")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(
+        lambda batches: decoder(encoder(batches)), f"`{id_col}` {kind}, ids array<int>, decoded string")
