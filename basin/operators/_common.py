@@ -30,11 +30,16 @@ def pick_one(df: DataFrame, keys, order, last: bool) -> DataFrame:
     per task, not one task holding a third of the data.
     Nulls in ``order`` sort lowest.
     """
-    keys = as_list(keys)
-    order = as_list(order)
-    rest = [c for c in df.columns if c not in keys]
-    order_fields = [(F.col(o) if isinstance(o, str) else o).alias(f"__o{i}") for i, o in enumerate(order)]
-    s = F.struct(*order_fields, *[F.col(c) for c in rest])
+    keys, order = as_list(keys), as_list(order)
+    named, fields = [], []
+    for i, o in enumerate(order):  # an order column travels once, as the leading field
+        if isinstance(o, str) and o not in keys and o not in named:
+            named.append(o)
+            fields.append(F.col(o))
+        else:
+            fields.append((F.col(o) if isinstance(o, str) else o).alias(f"__o{i}"))
+    rest = named + [c for c in df.columns if c not in keys and c not in named]
+    s = F.struct(*fields, *[F.col(c) for c in rest[len(named):]])
     agg = (F.max(s) if last else F.min(s)).alias("__w")
     out = df.groupBy(*keys).agg(agg)
     return out.select(*[F.col(k) for k in keys], *[F.col("__w")[c].alias(c) for c in rest]).select(*df.columns)

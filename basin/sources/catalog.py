@@ -64,7 +64,9 @@ def publish_table(df: DataFrame, name: str, partition_by=None, comments: dict |
     <= 256 characters (4000 for a partition key), property values <= 4000, partition values <= 256
     -- the last one by the write itself (``raise_error`` in the projection), so no separate pass
     over the data runs. Non-ASCII comments are stored as they are. ``mode='overwrite'`` on a
-    partitioned table replaces only the partitions present in ``df``; ``append`` adds rows.
+    partitioned table replaces only the partitions present in ``df``; ``append`` adds rows. Spark has no
+    such choice for one ``insertInto``, so ``spark.sql.sources.partitionOverwriteMode`` is set for the write and
+    put back after it: publish from concurrent threads in sessions of their own (``spark.newSession()``).
     Returns the table.
     """
     spark = df.sparkSession
