@@ -82,18 +82,17 @@ def links(prints: DataFrame, distance: int = 3, route_rows: int = ROUTE_ROWS) ->
         F.when(even, _masks(64 - bits, bits, far)).otherwise(_masks(64 - bits, bits, near))).alias("m")).select(
         F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("m.mask")), 64 - bits).alias("route") if bits
         else F.lit(0).cast("bigint").alias("route"), "fp", F.col("m.flips").alias("flips"), F.lit(bits).alias("bits"))
-    crowded = [r.route for r in routed.groupBy("route").count()  # at most 2 ** 16 routes
-               .filter(F.col("count") > 4 * route_rows).select("route").collect()]
-    if crowded:
+    crowded = stored(routed.groupBy("route").count().filter(F.col("count") > 4 * route_rows).select("route"),
+                     "simhash-crowded")  # at most 2 ** 16 routes
+    if not crowded.isEmpty():
         deeper = min(32, bits + SPLIT_BITS)
-        hot = F.array_contains(F.array(*[F.lit(int(r)).cast("bigint") for r in crowded]), F.col("route"))
         rest = F.when(even, F.lit(far)).otherwise(F.lit(near)) - F.col("flips")
-        split = (routed.filter(hot).select("route", "fp", "flips", F.explode(
+        split = (routed.join(F.broadcast(crowded), "route", "left_semi").select("route", "fp", "flips", F.explode(
             F.filter(_masks(64 - deeper, deeper - bits, far), lambda m: m["flips"] <= rest)).alias("m")).select(
             (F.shiftleft("route", deeper - bits) + F.shiftrightunsigned(
                 F.col("fp").bitwiseXOR(F.col("m.mask")), 64 - deeper) % (1 << (deeper - bits))).alias("route"),
             "fp", (F.col("flips") + F.col("m.flips")).alias("flips"), F.lit(deeper).alias("bits")))
-        routed = routed.filter(~hot).unionByName(split)
+        routed = routed.join(F.broadcast(crowded), "route", "left_anti").select(*split.columns).unionByName(split)
 
     def meet(group: pa.Table) -> pa.Table:
         a, b = _collisions(group["fp"].to_numpy().view("u8"), group["flips"].to_numpy(),
