@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basin.functions.text import field, lines
+from basin.functions.text import field
 from basin.functions.time import local_date
 from basin.operators import dispositions as B
 from basin.operators import fleet as E

@@ -2,7 +2,6 @@
 
 import os
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from basin.streaming.dedup import dedup_stream
