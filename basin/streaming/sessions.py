@@ -104,7 +104,7 @@ def _partial_sessions(keys, gap_us):
                 total = np.full(len(at), np.nan)
             if carry is not None:
                 goes_on = start[0] - carry[2][0] <= gap_us and all(
-                    same(carry[0][k].combine_chunks().chunk(0), heads[k].combine_chunks().chunk(0).slice(0, 1))[0]
+                    same(carry[0][k].combine_chunks(), heads[k].combine_chunks().slice(0, 1))[0]
                     for k in keys)
                 if goes_on:
                     start[0], n[0] = carry[1][0], n[0] + carry[3][0]
