@@ -54,7 +54,7 @@ def _partial_sessions(keys, gap_us):
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        carry = None  # the open session: (one-row table of keys, start, last, n, total or None)
+        carry = None  # the open session: (one-row table of keys, start, last, n, total, whether a value is known)
         emitted = 0
 
         def same(a, b):
@@ -65,14 +65,14 @@ def _partial_sessions(keys, gap_us):
                 eq = pc.or_(eq, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
             return eq.to_numpy(zero_copy_only=False)
 
-        def finish(heads, start, last, n, total, ts_type, tail):
+        def finish(heads, start, last, n, total, some, ts_type, tail):
             nonlocal emitted
             head = np.zeros(len(n), bool)
             if emitted == 0 and len(n):
                 head[0] = True
             emitted += len(n)
             cols = [*heads.columns, pa.array(start).cast(ts_type), pa.array(last).cast(ts_type),
-                    pa.array(n, pa.int64()), pa.array(total, pa.float64(), mask=np.isnan(total)),
+                    pa.array(n, pa.int64()), pa.array(total, pa.float64(), mask=~some),
                     pa.array(np.full(len(n), pid), pa.int32()), pa.array(head), pa.array(np.full(len(n), tail))]
             names = [*keys, "start", "last", "n", "total", "pid", "head", "tail"]
             yield from pa.Table.from_arrays(cols, names=names).to_batches()
@@ -96,25 +96,23 @@ def _partial_sessions(keys, gap_us):
                 v = t["__v"].chunk(0)
                 known = v.is_valid().to_numpy(zero_copy_only=False)
                 total = np.add.reduceat(np.where(known, v.fill_null(0.0).to_numpy(zero_copy_only=False), 0.0), at)
-                total = np.where(np.add.reduceat(known.astype(np.int64), at) > 0, total, np.nan)
-                nans = np.add.reduceat((known & np.isnan(v.fill_null(0.0).to_numpy(zero_copy_only=False))).astype(int), at)
-                if nans.any():
-                    raise ValueError("session totals of NaN values are not supported")
+                some = np.add.reduceat(known.astype(np.int64), at) > 0
             else:
-                total = np.full(len(at), np.nan)
+                total, some = np.zeros(len(at)), np.zeros(len(at), bool)
             if carry is not None:
                 goes_on = start[0] - carry[2][0] <= gap_us and all(
                     same(carry[0][k].combine_chunks(), heads[k].combine_chunks().slice(0, 1))[0]
                     for k in keys)
                 if goes_on:
                     start[0], n[0] = carry[1][0], n[0] + carry[3][0]
-                    both = [x for x in (total[0], carry[4][0]) if not np.isnan(x)]
-                    total[0] = sum(both) if both else np.nan
+                    total[0], some[0] = total[0] + carry[4][0], some[0] | carry[5][0]
                 else:
                     yield from finish(*carry, ts_type, False)
             if len(at) > 1:
-                yield from finish(heads.slice(0, len(at) - 1), start[:-1], last[:-1], n[:-1], total[:-1], ts_type, False)
-            carry = (heads.slice(len(at) - 1), start[-1:].copy(), last[-1:], n[-1:].copy(), total[-1:].copy())
+                yield from finish(heads.slice(0, len(at) - 1), start[:-1], last[:-1], n[:-1], total[:-1], some[:-1],
+                                  ts_type, False)
+            carry = (heads.slice(len(at) - 1), start[-1:].copy(), last[-1:], n[-1:].copy(), total[-1:].copy(),
+                     some[-1:].copy())
         if carry is not None:
             yield from finish(*carry, ts_type, True)
 

@@ -52,3 +52,10 @@ def test_session_keys_keep_their_values(spark):
     df = spark.createDataFrame(rows, "u long, s long").select("u", F.timestamp_seconds("s").alias("ts"), F.lit(1.5).alias("v"))
     got = sorted(((r.u, r.n, r.total) for r in session_windows(df, "ts", "u", "10 minutes", "v").collect()), key=str)
     assert got == sorted([(None, 2, 3.0), (big, 1, 1.5), (big + 1, 1, 1.5), (big + 3, 1, 1.5)], key=str)
+
+
+def test_session_totals_of_null_and_nan_values(spark):
+    rows = [("a", 0, None), ("a", 60, None), ("b", 0, float("nan")), ("b", 60, 1.0), ("c", 0, None), ("c", 60, 2.0)]
+    df = spark.createDataFrame(rows, "u string, s long, v double").select("u", F.timestamp_seconds("s").alias("ts"), "v")
+    got = {r.u: r.total for r in session_windows(df, "ts", "u", "10 minutes", "v").collect()}
+    assert got["a"] is None and got["b"] != got["b"] and got["c"] == 2.0
