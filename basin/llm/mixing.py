@@ -7,11 +7,16 @@ total of each domain, sum_d n_d r_d p_dk, matches its target T_k:
 
     minimise  sum_k (sum_d n_d r_d p_dk - T_k)^2 / (2 M_k),   M_k = sum_d n_d p_dk.
 
-Projected gradient with Nesterov steps, started from rates of one. A rate depends on its document's
-posteriors only, so documents are first added up by equal posteriors; each step is one map-side
-combined sum of one number per domain, the only thing that reaches the driver. The steps made so far
-are the whole state: a rate is their fold over the document's posteriors, so a lost executor costs
-a recomputed partition and nothing else. In the metric of the objective the step length is 1.
+Of the rates that reach the targets those nearest to one are taken (token-weighted squares):
+r_d = max(0, 1 + sum_k p_dk v_k), one unknown v_k per domain. Newton steps on the dual find v; a step is one
+map-side combined sum of the domains' totals and of the K x K Gram matrix of the documents with a rate above
+zero, the only things that reach the driver, so overlapping domains take a few more steps, not thousands. A
+rate depends on its document's posteriors only, so documents are first added up by equal posteriors.
+
+The fit ends when every total is within ``CLOSE`` of its target, or, where targets cannot be met, when the
+distance left is proven to be within ``CLOSE`` of the least possible: for y with sum_k p_dk y_k >= 0 for all
+documents no rates come nearer than -sum_k T_k y_k / sqrt(sum_k M_k y_k^2). What was reached is returned
+(``fitted``), and unmet targets give a warning. A fit that reaches neither raises.
 
 Features: bins of length, word length, symbols, upper case, distinct words, line breaks, and, per domain,
 of the number of its telling word beginnings the text has (chosen from a bounded sample: at most ``sample_rows``
@@ -26,6 +31,7 @@ be raised (its residual stays); targets are scaled to sum to one.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +41,11 @@ from basin.llm._common import stored
 SAMPLE_ROWS = 3_000
 LEXICON = 150
 STEM = 5
-MAX_STEPS = 60
 CLOSE = 1e-4
+#: Sums of a fit; one that needs more raises.
+MAX_STEPS = 1_000
+#: Weight of the proximal term that keeps a step bounded, at first and at last.
+NEAR, NEAREST = 1e-8, 1e-12
 BINS = 12
 
 
@@ -128,67 +137,134 @@ def classifier(stats: DataFrame, labelled: DataFrame, domains: list[str], id_col
     return [F.round(w / total, 4) for w in weights]
 
 
-def _rate(steps: list[tuple[list[float], float]], k: int, ahead: bool = False) -> Column:
-    """The fold of the gradient steps over ``p``; ``ahead``: the point where the next gradient is taken."""
-    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
-    if not steps:
-        return F.lit(1.0)
-    history = F.array(*[F.array(*[F.lit(float(x)) for x in [*e, mu]]) for e, mu in steps])
+def _rate(v: list[float]) -> Column:
+    """The rate at ``v`` of a document with posteriors ``p``."""
+    return F.greatest(F.lit(0.0), sum((F.element_at("p", j + 1) * F.lit(float(x)) for j, x in enumerate(v)), F.lit(1.0)))
+
 
-    def step(s, e):
-        down = sum((F.element_at("p", j + 1) * F.element_at(e, j + 1) for j in range(k)), F.lit(0.0))
-        r = F.greatest(F.lit(0.0), s["y"] - down)
-        return F.struct(r.alias("r"), (r + F.element_at(e, k + 1) * (r - s["r"])).alias("y"))
+def _solve(a: list[list[float]], b: list[float]) -> list[float]:
+    """x with a x = b, by elimination with row exchanges."""
+    n, rows = len(b), [[*r, x] for r, x in zip(a, b)]
+    for i in range(n):
+        j = max(range(i, n), key=lambda j: abs(rows[j][i]))
+        rows[i], rows[j] = rows[j], rows[i]
+        for j in range(i + 1, n):
+            m = rows[j][i] / rows[i][i]
+            rows[j] = [x - m * y for x, y in zip(rows[j], rows[i])]
+    x = [0.0] * n
+    for i in reversed(range(n)):
+        x[i] = (rows[i][n] - sum(rows[i][j] * x[j] for j in range(i + 1, n))) / rows[i][i]
+    return x
 
-    return F.aggregate(history, start, step, lambda s: s["y"] if ahead else s["r"])
+
+def _dot(a, b) -> float:
+    return sum(x * y for x, y in zip(a, b))
 
 
 def fit_rates(groups: DataFrame, targets: list[float], budget: float | None = None,
               max_steps: int = MAX_STEPS) -> tuple[Column, dict]:
-    """The rate as a Column over ``p``, and what was fitted.
+    """The rate as a Column over ``p``, and what was fitted: ``mass``, ``goal`` and ``total`` of every domain,
+    ``met``, and ``steps``, the sums made.
 
     ``groups`` has (p, n). ``budget`` is the wanted total in tokens; by default the total at which the domain
     with the largest target keeps what it has, so its documents stay near rate one, domains above their
     target are thinned and domains below it are repeated.
     """
-    k = len(targets)
     shares = [t / sum(targets) for t in targets]
-
-    def totals(rate):
-        row = groups.agg(*[F.sum(F.col("n") * rate * F.element_at("p", j + 1)) for j in range(k)]).first()
-        return [float(x or 0.0) for x in row]
-
-    mass = totals(F.lit(1.0))
+    groups = groups.filter("n > 0")  # others count in no total
+    steps = 0
+
+    def sums(*columns):
+        nonlocal steps
+        steps += 1
+        if steps > max_steps:
+            raise RuntimeError(f"rates not fitted in {max_steps} sums: totals {total}, goals {goal}")
+        return [float(x or 0.0) for x in groups.agg(*columns).first()]
+
+    def at(v):
+        """Totals of all domains, and the Gram matrix of those with mass."""
+        r = _rate(v)
+        p = [F.element_at("p", j + 1) for j in range(len(shares))]
+        on = F.col("n") * (r > 0).cast("double")
+        pairs = [(i, j) for i in live for j in live if j <= i]
+        got = sums(*[F.sum(F.col("n") * r * x) for x in p], *[F.sum(on * p[i] * p[j]) for i, j in pairs])
+        gram = {**dict(zip(pairs, got[len(p):])), **{(j, i): x for (i, j), x in zip(pairs, got[len(p):])}}
+        return got[:len(p)], [[gram[i, j] for j in live] for i in live]
+
+    live, total, goal = [], None, None
+    v, mass = [0.0] * len(shares), sums(*[F.sum(F.col("n") * F.element_at("p", j + 1)) for j in range(len(shares))])
+    live = [j for j, m in enumerate(mass) if m > 0]
     if budget is None:
-        budget = max(zip(shares, mass))[1] / max(shares)
+        budget = max(((shares[j], mass[j] / shares[j]) for j in live if shares[j] > 0), default=(0.0, 0.0))[1]
     goal = [s * budget for s in shares]
-    steps: list = []
-    at = mass
-    for i in range(max_steps):
-        e = [(a - g) / m if m > 0 else 0.0 for a, g, m in zip(at, goal, mass)]
-        if all(abs(a - g) <= CLOSE * max(g, CLOSE * budget) for a, g in zip(at, goal)):
-            break
-        steps.append((e, i / (i + 3)))
-        at = totals(_rate(steps, k, ahead=True))
-    rate = _rate(steps, k)
-    return rate, {"mass": mass, "goal": goal, "total": totals(rate), "steps": len(steps)}
+    scale = [math.sqrt(mass[j]) for j in live]
+    near, centre = NEAR, v
+    total, gram = at(v) if live else (mass, [])
+    while live and not all(abs(total[j] - goal[j]) <= CLOSE * max(goal[j], CLOSE * budget) for j in live):
+        gradient = lambda total, v: [
+            (total[j] - goal[j] + near * mass[j] * (v[j] - centre[j])) / m for j, m in zip(live, scale)]
+        down = gradient(total, v)
+        if sum(abs(x) * m for x, m in zip(down, scale)) <= 0.01 * CLOSE * sum(abs(total[j] - goal[j]) for j in live):
+            y = [(total[j] - goal[j]) / mass[j] for j in live]
+            far = math.sqrt(sum(mass[j] * x * x for j, x in zip(live, y)))
+            least, ones = sums(F.min(sum((F.element_at("p", j + 1) * x for j, x in zip(live, y)), F.lit(0.0))),
+                               F.min(sum((F.element_at("p", j + 1) for j in live), F.lit(0.0))))
+            y = [x + max(0.0, -least) / max(ones, 1e-9) for x in y]
+            if far <= (1 + CLOSE) * -_dot([goal[j] for j in live], y) / math.sqrt(sum(mass[j] * x * x for j, x in zip(live, y))):
+                break  # no rates come nearer
+            centre, near = v, max(near / 10, NEAREST)
+            down = gradient(total, v)
+        step = _solve([[x / scale[i] / scale[j] + near * (i == j) for j, x in enumerate(row)] for i, row in enumerate(gram)],
+                      [-x for x in down])
+        ahead = lambda t: [x + t * step[live.index(j)] / math.sqrt(mass[j]) if j in live else x  # noqa: B023, E731
+                           for j, x in enumerate(v)]
+        before, (found, found_gram) = _dot(down, step), at(ahead(1.0))
+        after = _dot(gradient(found, ahead(1.0)), step)
+        if after > 0.1 * abs(before):  # beyond the lowest point of the line: the slopes along it, in one sum
+            parts = [2.0 ** -k for k in range(16, 0, -1)]
+            along = sum((F.element_at("p", j + 1) * (x / m) for j, x, m in zip(live, step, scale)), F.lit(0.0))
+            fixed = [_dot([-goal[j] + near * mass[j] * (ahead(t)[j] - centre[j]) for j in live],
+                          [x / m for x, m in zip(step, scale)]) for t in parts]
+            slopes = [before, *[x + c for x, c in zip(sums(*[F.sum(F.col("n") * _rate(ahead(t)) * along) for t in parts]), fixed)], after]
+            parts = [0.0, *parts, 1.0]
+            k = next(k for k, x in enumerate(slopes) if x > 0)
+            t = parts[k - 1] + (parts[k] - parts[k - 1]) * slopes[k - 1] / (slopes[k - 1] - slopes[k])
+            v = ahead(t)
+            total, gram = at(v)
+        else:
+            v, total, gram = ahead(1.0), found, found_gram
+    met = all(abs(a - g) <= CLOSE * max(g, CLOSE * budget) for a, g in zip(total, goal))
+    return _rate(v), {"mass": mass, "goal": goal, "total": total, "met": met, "steps": steps}
+
+
+def _fitted(docs, labelled, targets, budget, id_col, text):
+    """Lexicons, (id, n_tokens, p) of every document, the posteriors over ``bins``, the rate over ``p``, and what was fitted."""
+    domains = sorted(targets)
+    known = labelled.filter(F.col("domain").isin(domains)).select(id_col, "domain").distinct()
+    words = lexicons(docs, known, domains, id_col, text)
+    stats = stored(statistics(docs, words, id_col, text), "mixing-stats")
+    posteriors = F.array(*classifier(stats, known, domains, id_col))
+    members = stored(stats.select(id_col, "n_tokens", posteriors.alias("p")), "mixing-posteriors")
+    groups = stored(members.groupBy("p").agg(F.sum("n_tokens").alias("n")), "mixing-groups")
+    rate, fitted = fit_rates(groups, [targets[d] for d in domains], budget)
+    if not fitted["met"]:
+        warnings.warn("targets cannot be met: " + ", ".join(
+            f"{d} {a:.0f} of {g:.0f} tokens" for d, a, g in zip(domains, fitted["total"], fitted["goal"])), stacklevel=3)
+    return words, members, posteriors, rate, fitted
 
 
 def document_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None,
                    id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, p_<domain>..., rate) of every document.
 
-    ``labelled`` has (id, domain); ``targets`` maps each domain to its weight.
+    ``labelled`` has (id, domain); ``targets`` maps each domain to its weight. The frame's ``fitted`` tells the
+    totals wanted and reached (domains in order of their names).
     """
-    domains = sorted(targets)
-    known = labelled.filter(F.col("domain").isin(domains)).select(id_col, "domain").distinct()
-    stats = stored(statistics(docs, lexicons(docs, known, domains, id_col, text), id_col, text), "mixing-stats")
-    posteriors = F.array(*classifier(stats, known, domains, id_col))
-    members = stored(stats.select(id_col, "n_tokens", posteriors.alias("p")), "mixing-posteriors")
-    groups = stored(members.groupBy("p").agg(F.sum("n_tokens").alias("n")), "mixing-groups")
-    rate, _ = fit_rates(groups, [targets[d] for d in domains], budget)
-    return members.select(id_col, "n_tokens", *[F.element_at("p", j + 1).alias(f"p_{d}") for j, d in enumerate(domains)],
-                          rate.alias("rate"))
+    _, members, _, rate, fitted = _fitted(docs, labelled, targets, budget, id_col, text)
+    out = members.select(id_col, "n_tokens", *[
+        F.element_at("p", j + 1).alias(f"p_{d}") for j, d in enumerate(sorted(targets))], rate.alias("rate"))
+    out.fitted = fitted
+    return out
 
 
 def thin(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], seed: int = 11) -> DataFrame:

@@ -152,3 +152,26 @@ def test_mixing_odd_rows(spark, labelled):
     assert len({r.rate for r in plain}) == 1
     kept = mixing.thin(docs, domains, queries.TARGETS)
     assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()
+
+
+@pytest.mark.parametrize("spread,targets", [(30, [0.2, 0.5, 0.3]), (3, [0.1, 0.8, 0.1])])
+def test_overlapping_domains_meet_targets_that_can_be_met(spark, spread, targets):
+    rng = np.random.default_rng(0)
+    p, n = rng.dirichlet([spread] * 3, 5000).round(4), rng.integers(1, 500, 5000)
+    groups = spark.createDataFrame([(x.tolist(), int(m)) for x, m in zip(p, n)], "p array<double>, n long").coalesce(2).cache()
+    rate, fitted = mixing.fit_rates(groups, targets)
+    r = np.array([x.r for x in groups.select(rate.alias("r")).collect()])
+    assert fitted["met"] and (r >= 0).all()
+    assert np.allclose((n * r) @ p, fitted["goal"], rtol=1e-3) and fitted["steps"] < 100
+
+
+def test_targets_that_cannot_be_met_are_told_and_approached(spark):
+    p, n = np.array([[0.6, 0.4], [0.5, 0.5]]), np.array([10_000, 10])
+    odd = [([0.0, 1.0], 0)]  # a document without tokens cannot help
+    groups = spark.createDataFrame([(x.tolist(), int(m)) for x, m in zip(p, n)] + odd, "p array<double>, n long")
+    _, fitted = mixing.fit_rates(groups, [0.9, 0.1])
+    mass, goal = n @ p, np.array([0.9, 0.1]) * (n @ p)[0] / 0.9
+    r = np.ones(2)
+    for _ in range(20_000):
+        r = np.maximum(0, r - p @ (((n * r) @ p - goal) / mass))
+    assert not fitted["met"] and np.allclose(fitted["goal"], goal) and np.allclose(fitted["total"], (n * r) @ p, rtol=1e-3)
