@@ -10,8 +10,9 @@ Schmidt", "Anna Schmidt" and "Mrs. Schmidt" stay one person.
 
 Types: e-mail (domains map to domains, the top-level domain stays), telephone (first digit stays), card
 number (first digit and Luhn validity stay), social security number, IPv4 address, secret
-(``password=...``, ``token = "..."``; hexadecimal stays so), person names (after a title or a known given
-name; gender by given name, else title; Latin, Cyrillic or Greek letters stay so; upper case stays).
+(``password=...``, ``token = "..."``; hexadecimal stays so, in its case), person names (titles, also stacked, or a
+known given name, and all capitalised words and initials that follow, the last word the family name; gender by given
+name, else title; initials go to other initials by a keyed cycle; Latin, Cyrillic or Greek letters stay so; upper case stays).
 
 Only texts with an entity are shuffled, once; copies of a text are resolved once. Texts hold their
 entities in one row, as they hold their words.
@@ -23,6 +24,8 @@ repeated ids and rows are kept; all columns of the input are kept, with the text
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,8 @@ GIVEN_F = ["Anna", "Maria", "Emma", "Sophie", "Laura", "Julia", "Sarah", "Mary",
 GIVEN_M = ["John", "James", "Michael", "David", "Robert", "Peter", "Thomas", "Paul", "Pierre", "Jean", "Carlos", "José",
            "Hans", "Klaus", "Stefan", "Miguel", "Иван", "Сергей", "Дмитрий", "Алексей", "Γιώργος", "Νίκος"]
 # Alphabets, and the syllables that surrogate names are built of.
+INITIALS = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ÀÁÂÄÅÆÇĆČĐÈÉÊËÌÍÎÏŁÑÒÓÔÖØŚŠÙÚÛÜÝŻŽ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ",
+            "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
 LATIN, UPPER, HEX, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef", "0123456789"
 SYLLABLES = {
     "latin": "ba be bo da de do fa fi ga go ha he jo ka ke ki la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa "
@@ -50,9 +55,11 @@ ENDINGS = {
     "greek": {"f": ["να", "λη", "ρα"], "m": ["νος", "ρης", "ς"], "n": ["ς", "δης", "κης"]},
 }
 
-_WORD = r"\p{Lu}[\p{L}'’-]+"
-NAME = (rf"(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(TITLES_F + TITLES_M + TITLES_N)})\.? {_WORD}(?: {_WORD})?"
-        rf"|(?:{'|'.join(GIVEN_F + GIVEN_M)}) {_WORD})(?![\p{{L}}\p{{N}}])")
+_TITLE = rf"(?:{'|'.join(TITLES_F + TITLES_M + TITLES_N)})"
+_WORD = rf"(?!{_TITLE}(?![\p{{L}}'’-]))\p{{Lu}}[\p{{L}}'’-]+"
+_INITIALS = r"(?:\p{Lu}\.)+|\p{Lu}(?= )"
+_REST = rf"(?: (?:{_INITIALS}|{_WORD}))* {_WORD}"
+NAME = (rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE}(?:\.? {_TITLE})*\.?|(?:{'|'.join(GIVEN_F + GIVEN_M)})){_REST}(?![\p{{L}}\p{{N}}])")
 _ASSIGN = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
 SECRET = rf"(?<![A-Za-z]){_ASSIGN}(?=[A-Za-z0-9+/_.-]*\d)[A-Za-z0-9+/_.-]*[A-Za-z0-9+/_-]{{8}}"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -95,20 +102,21 @@ def _parts(m: Column) -> Column:
     whole = lambda p: m.rlike(f"^(?:{p})$")
     lead = F.regexp_extract(m, f"^{_ASSIGN}", 0)
     value = F.substring(m, F.length(lead) + 1, F.length(m))
-    secret_kind = F.when(value.rlike("^[0-9a-f]+$"), "secret_hex").otherwise("secret")
+    secret_kind = F.when(value.rlike("^[0-9a-f]+$"), "secret_hex").when(
+        value.rlike("^[0-9A-F]+$"), "secret_hex_upper").otherwise("secret")
     words = F.split(m, " ")
-    bare = F.regexp_replace(words[0], r"\.$", "")
-    titled = bare.isin(TITLES_F + TITLES_M + TITLES_N)
-    title_gender = F.when(bare.isin(TITLES_F), "f").when(bare.isin(TITLES_M), "m").otherwise("n")
-    gender = lambda w: F.when(w.isin(GIVEN_F), "f").when(w.isin(GIVEN_M), "m").otherwise(
-        F.when(titled, title_gender).otherwise("n"))
+    title = lambda w, titles: F.regexp_replace(w, r"\.$", "").isin(titles)
+    title_gender = F.when(F.exists(words, lambda w: title(w, TITLES_F)), "f").when(
+        F.exists(words, lambda w: title(w, TITLES_M)), "m").otherwise("n")
+    gender = lambda w: F.when(w.isin(GIVEN_F), "f").when(w.isin(GIVEN_M), "m").otherwise(title_gender)
 
     def name(w, i):
         family = (i > 0) & (i == F.size(words) - 1)
         kind = F.concat(F.when(family, F.lit("family_n")).otherwise(F.concat(F.lit("given_"), gender(w))),
                         F.lit("_"), _script(w))
         blank = F.when(i == 0, "").otherwise(" ")
-        return F.when((i == 0) & titled, F.array(keep(w))).otherwise(
+        kind = F.when(w.rlike(r"^(?:\p{Lu}\.)+$|^\p{Lu}$"), F.lit("initial")).otherwise(kind)
+        return F.when(title(w, TITLES_F + TITLES_M + TITLES_N), F.array(keep(F.concat(blank, w)))).otherwise(
             F.array(keep(blank), part(kind, F.lower(w), w)))
 
     card_ok = (F.length(_digits(m)) == 16) | (_luhn_sum(_digits(m)) % 10 == 0)
@@ -131,11 +139,11 @@ def _number(stream: Column, i: Column, below) -> Column:
     return F.conv(F.substring(stream, i * 4 + 1, F.lit(4)), 16, 10).cast("int") % below
 
 
-def _redraw(value: Column, stream: Column, keep_first: bool = False, hexadecimal: bool = False) -> Column:
+def _redraw(value: Column, stream: Column, keep_first: bool = False, hexadecimal: str = "") -> Column:
     """Each digit becomes a digit, each Latin letter a letter of its case; the rest stays."""
     def char(c, i):
         pick = lambda letters: F.substring(F.lit(letters), _number(stream, i, len(letters)) + 1, F.lit(1))
-        out = pick(HEX) if hexadecimal else (
+        out = pick(hexadecimal) if hexadecimal else (
             F.when(c.rlike("[0-9]"), pick(DIGITS)).when(c.rlike("[a-z]"), pick(LATIN))
             .when(c.rlike("[A-Z]"), pick(UPPER)).otherwise(c))
         return F.when(i == 0, c).otherwise(out) if keep_first else out
@@ -160,7 +168,8 @@ def _draw(key: str) -> Column:
     card = F.when(_luhn_sum(canon) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(drawn)
     out = (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card)
            .when(kind == "phone", drawn).when(kind == "ssn", _redraw(canon, stream))
-           .when(kind == "secret_hex", _redraw(canon, stream, hexadecimal=True))
+           .when(kind == "secret_hex", _redraw(canon, stream, hexadecimal=HEX))
+           .when(kind == "secret_hex_upper", _redraw(canon, stream, hexadecimal=HEX.upper()))
            .when(kind == "secret", _redraw(canon, stream)))
     count = 2 + (F.col("attempt") / 6).cast("int")  # longer names when short ones run out
     for script, syllables in SYLLABLES.items():
@@ -194,7 +203,17 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         now.stored_path = step.stored_path
 
 
-def _written(raw: Column, kind: Column, surrogate: Column) -> Column:
+def _initials(raw: Column, key: str) -> Column:
+    """Each initial becomes another of its alphabet, by a keyed cycle: one to one, and never itself."""
+    old, new = "", ""
+    for letters in INITIALS:
+        cycle = list(letters)
+        random.Random(f"{key}|initials|{letters}").shuffle(cycle)
+        old, new = old + "".join(cycle), new + "".join(cycle[1:] + cycle[:1])
+    return F.translate(raw, old, new)
+
+
+def _written(raw: Column, kind: Column, surrogate: Column, key: str) -> Column:
     """The surrogate as its entity was written: punctuation of numbers, case of addresses and names."""
     chars = F.split(raw, "")
     numbers = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.substring(
@@ -202,7 +221,7 @@ def _written(raw: Column, kind: Column, surrogate: Column) -> Column:
     address = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(
         F.substring(surrogate, i + 1, F.lit(1)))).otherwise(F.substring(surrogate, i + 1, F.lit(1)))), "")
     named = F.when((raw == F.upper(raw)) & (F.length(raw) > 1), F.upper(surrogate)).otherwise(F.initcap(surrogate))
-    return (F.when(kind.isNull(), raw).when(kind.isin("phone", "card", "ssn"), numbers)
+    return (F.when(kind.isNull(), raw).when(kind == "initial", _initials(raw, key)).when(kind.isin("phone", "card", "ssn"), numbers)
             .when(kind == "email", address).when(kind.rlike("^(given|family)_"), named).otherwise(surrogate))
 
 
@@ -218,9 +237,9 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
              .select("copy", "at", F.posexplode(_parts(F.col("entity"))).alias("part", "p"))
              .select("copy", "at", "part", "p.kind", "p.canon", "p.raw"))
     parts = stored(parts, "pii-parts")
-    table = surrogates(parts.filter("kind IS NOT NULL"), key)
+    table = surrogates(parts.filter("kind <> 'initial'"), key)
     written = parts.join(table, ["kind", "canon"], "left").select(
-        "copy", "at", F.struct("part", _written(F.col("raw"), F.col("kind"), F.col("surrogate")).alias("s"),
+        "copy", "at", F.struct("part", _written(F.col("raw"), F.col("kind"), F.col("surrogate"), key).alias("s"),
                                F.col("kind").isNotNull().alias("replaced")).alias("part"))
     entities = written.groupBy("copy", "at").agg(F.sort_array(F.collect_list("part")).alias("parts"))
     texts = entities.select("copy", F.struct(

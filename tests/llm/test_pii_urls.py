@@ -46,6 +46,22 @@ def test_names_keep_gender_script_case_and_person(spark):
     assert re.search(r", [А-Я][а-я]+ [А-Я][а-я]+, [Α-Ω][α-ωά-ώς]+ [Α-Ω][α-ωά-ώς]+$", out[1])
 
 
+def test_long_names_initials_and_stacked_titles_go_whole(spark):
+    out = replaced(spark, "Dr. Anna Maria Schmidt met Mrs. Schmidt", "John Paul Jones and Mr. Jones", "John F. Kennedy, Mr. J.F. Kennedy",
+                   "Prof. Dr. Anna Schmidt; Frau Dr. Schmidt", "Prof. Dr. who", "Mr. И. Иванов")
+    family = re.fullmatch(r"Dr\. \w+ \w+ (\w+) met Mrs\. \1", out[0]).group(1)
+    assert re.fullmatch(r"John Paul Jones and Mr\. Jones", out[1]) is None and re.fullmatch(r"\w+ \w+ (\w+) and Mr\. \1", out[1])
+    assert re.fullmatch(r"\w+ ([A-Z])\. (\w+), Mr\. [A-Z]\.\1\. \2", out[2]) and "F." not in out[2]
+    assert re.fullmatch(rf"Prof\. Dr\. \w+ {family}; Frau Dr\. {family}", out[3]) and out[4] == "Prof. Dr. who"
+    assert re.fullmatch(r"Mr\. [А-Я]\. [А-Я][а-я]+", out[5]) and "И." not in out[5]
+    assert not re.search("Anna|Maria|Schmidt|John|Paul|Jones|Kennedy|Иванов", " ".join(out))
+
+
+def test_upper_case_hexadecimal_stays_so(spark):
+    out = replaced(spark, *[f'TOKEN = "9233A8EC{i:04X}B7D1F02C"' for i in range(20)])
+    assert len(set(out)) == 20 and all(re.fullmatch(r'TOKEN = "[0-9A-F]{20}"', x) and "9233A8EC" not in x for x in out)
+
+
 def test_another_key_gives_other_surrogates_and_the_same_key_the_same(spark):
     text = "a.b@c.org 10.1.2.3"
     assert replaced(spark, text) == replaced(spark, text) != replaced(spark, text, key="other")
