@@ -267,10 +267,22 @@ def document_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, floa
     return out
 
 
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], seed: int = 11, repeat: bool = True) -> DataFrame:
+    """The documents drawn with their whole rates: floor(rate) copies and one more with the probability of the
+    remainder. Without ``repeat`` all rates are divided by the largest, which keeps the shares and repeats nothing.
+    Documents without tokens are kept once. The draw is a hash of the id (of the text where the id is null), so it is
+    repeatable; each row is drawn where it is read, with the rate of its own text."""
+    words, members, posteriors, rate, _ = _fitted(docs, labelled, targets, None, "doc_id", "text")
+    most = 1.0 if repeat else max(1.0, members.filter("n_tokens > 0").agg(F.max(rate)).first()[0] or 1.0)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+    rated = statistics(whole, words, "doc").select("doc", "n_tokens", posteriors.alias("p")).select(
+        "doc", F.when(F.col("n_tokens") == 0, F.lit(1.0)).otherwise(rate / most).alias("rate"))
+    unnamed = F.when(F.col("doc.doc_id").isNull(), F.col("doc.text"))
+    draw = F.pmod(F.xxhash64("doc.doc_id", unnamed, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    copies = F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("bigint")
+    return rated.select("doc", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select("doc.*")
+
+
 def thin(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], seed: int = 11) -> DataFrame:
-    """The documents kept when each is drawn with its rate (rates of one and more keep it, once). The draw is a
-    hash of the id, so it is repeatable; rows of one id are kept or dropped together."""
-    rates = document_rates(docs, labelled, targets)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    dropped = rates.filter(draw >= F.col("rate")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """``mix`` at the largest budget at which no rate exceeds one: documents are dropped, none is repeated."""
+    return mix(docs, labelled, targets, seed, repeat=False)

@@ -31,9 +31,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn with the rates that bring clean and low-quality text to their target shares: clean
-    documents keep a rate near one, low-quality ones are thinned."""
+    documents keep a rate near one, low-quality ones are thinned, or repeated where they are below their share."""
     labelled = queries.labelled_quality(table(spark, sf_dir, "labels"))
-    return mixing.thin(docs, labelled, queries.PIPELINE_TARGETS)
+    return mixing.mix(docs, labelled, queries.PIPELINE_TARGETS)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

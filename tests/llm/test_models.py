@@ -175,3 +175,16 @@ def test_targets_that_cannot_be_met_are_told_and_approached(spark):
     for _ in range(20_000):
         r = np.maximum(0, r - p @ (((n * r) @ p - goal) / mass))
     assert not fitted["met"] and np.allclose(fitted["goal"], goal) and np.allclose(fitted["total"], (n * r) @ p, rtol=1e-3)
+
+
+@pytest.mark.parametrize("draw", [mixing.mix, mixing.thin])
+def test_token_shares_after_the_draw_with_a_domain_below_its_target(spark, draw):
+    texts = [f"the calm river went by the old mill {i}" for i in range(2000)]
+    texts += [f"BUY NOW!!! $$$ CHEAP *** {i} <CLICK> HERE $$$ || {i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, "clean" if i < 2000 else "low") for i in range(len(texts))], "doc_id long, domain string")
+    kept = draw(docs, labelled, queries.PIPELINE_TARGETS).groupBy("doc_id").agg(
+        F.count("*").alias("copies"), F.min(F.size(F.split("text", " "))).alias("n")).toPandas()
+    tokens, low = kept.copies * kept.n, kept.doc_id >= 2000
+    assert tokens[low].sum() / tokens.sum() == pytest.approx(queries.PIPELINE_TARGETS["low"], abs=0.01)
+    assert (kept.copies[low].max() > 1) == (draw is mixing.mix) and (kept.copies[~low] == 1).all()

@@ -56,3 +56,11 @@ def test_stages_take_odd_and_empty_documents(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         assert rows(stage(spark, empty(docs), sf_dir)) == [], name
         assert stage(spark, docs, sf_dir).count() > 0, name
+
+
+def test_token_shares_after_the_mixing_stage(spark, sf_dir, stages):
+    from basin.llm import mixing
+    labelled = queries.labelled_quality(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rates = mixing.document_rates(stages[2], labelled, queries.PIPELINE_TARGETS)
+    kept = stages[3].select("doc_id").join(rates, "doc_id").selectExpr("sum(n_tokens * p_low) / sum(n_tokens * (p_low + p_clean))")
+    assert kept.first()[0] == pytest.approx(queries.PIPELINE_TARGETS["low"], abs=0.015)
