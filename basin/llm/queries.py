@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from basin.llm import ann, bpe, embedding_dedup, mixing, pii, quality, simhash, toxicity, url_filter
+from basin.llm import ann, bpe, embedding_dedup, mixing, periodic_runs, pii, quality, simhash, toxicity, url_filter
 from basin.llm import token_counts as tc
 from basin.llm._common import table
 
@@ -157,3 +157,33 @@ SELECT page_id, host, path, r.rule AS rule,
 FROM ruled""")
 def op2_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+def planted_runs(docs):
+    """Documents whose id's CRC32 is divisible by ten repeat part of their words, as the query is defined."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    picked = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(
+        h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("words"))
+    sized = picked.withColumn("n", F.size("words")).withColumn("a", F.expr("CASE WHEN n > 0 THEN CAST(g % n AS INT) END"))
+    cut = sized.withColumn("p", F.expr("CAST(1 + floor((n - a) / (3 + g % 8)) AS INT)"))
+    text = F.expr("""CASE WHEN n > 0 THEN array_join(concat(slice(words, 1, a),
+        slice(flatten(array_repeat(slice(words, a + 1, p), CAST(ceil((n - a) / p) AS INT))), 1, n - a)), ' ') ELSE text END""")
+    return cut.select("doc_id", text.alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark, sf_dir):
+    return run_digests(periodic_runs.periodic_runs(planted_runs(table(spark, sf_dir, "documents"))))
+
+
+def run_digests(found):
+    """Number of runs, the one with the greatest exponent, digests of all runs and of the collapsed text."""
+    top = F.expr(f"""aggregate(runs, CAST(NULL AS {periodic_runs.RUNS[6:-1]}),
+        (m, r) -> CASE WHEN m IS NULL OR r.length * m.period > m.length * r.period THEN r ELSE m END)""")
+    listing = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(
+        ",", *[r[k].cast("string") for k in ("start", "length", "period")]), F.lit("\n"))))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), top.alias("top"),
+                        F.sha2(listing, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")
+                        ).select("doc_id", "n_runs", "top.start", "top.length", "top.period",
+                                 F.expr("top.length * 1000 div top.period").alias("exponent_milli"),
+                                 "runs_sha256", "collapsed_sha256")
