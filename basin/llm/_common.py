@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +26,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stored_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Like ``stored``, in buckets of ``key``: a join or cogroup on the key reads the rows where they lie."""
+    spark = df.sparkSession
+    name = f"basin_{name}_{uuid.uuid4().hex[:12]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.write.bucketBy(buckets, key).option("path", scratch_path(spark, name)).option("compression", "zstd")
+     .saveAsTable(name))
+    return spark.table(name)
+
+
+def pack(numbers) -> bytes:
+    """Numbers below 2 ** 32 as compressed bytes, all lowest bytes first."""
+    numbers = np.ascontiguousarray(numbers, "<u4")
+    planes = numbers.view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    planes = pa.decompress(packed[8:], 4 * n, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<u4").ravel()
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the files of a ``stored`` frame that nothing will read again."""
     path = getattr(df, "stored_path", None)

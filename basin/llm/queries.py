@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from basin.llm import ann, bpe, embedding_dedup, mixing, periodic_runs, pii, quality, simhash, toxicity, url_filter
+from basin.llm import ann, bpe, byte_bpe, embedding_dedup, mixing, periodic_runs, pii, quality, simhash, toxicity, url_filter
 from basin.llm import token_counts as tc
 from basin.llm._common import table
 
@@ -187,3 +187,17 @@ def run_digests(found):
                         ).select("doc_id", "n_runs", "top.start", "top.length", "top.period",
                                  F.expr("top.length * 1000 div top.period").alias("exponent_milli"),
                                  "runs_sha256", "collapsed_sha256")
+
+
+@query("op13_byte_bpe")
+def op13_byte_bpe(spark, sf_dir):
+    return byte_bpe_digests(table(spark, sf_dir, "documents"))
+
+
+def byte_bpe_digests(docs):
+    """Ids and decoded bytes of every document, as counts and SHA-256 digests."""
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    decoded = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                          F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
