@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from basin.llm import ann, bpe, byte_bpe, embedding_dedup, mixing, periodic_runs, pii, quality, simhash, toxicity, url_filter
+from basin.llm import (alignment, ann, bpe, byte_bpe, embedding_dedup, mixing, periodic_runs, pii, quality, simhash, toxicity,
+                       url_filter)
 from basin.llm import token_counts as tc
 from basin.llm._common import table
 
@@ -201,3 +204,12 @@ def byte_bpe_digests(docs):
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                           F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                           F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op12_alignment")
+def op12_alignment(spark, sf_dir):
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    found = alignment.link_statistics(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), model,
+                                      public_tokenizers.PATTERN, summary=lambda g: hashlib.sha256(g).hexdigest())
+    return found.withColumnRenamed("groups", "groups_sha256")
