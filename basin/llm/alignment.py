@@ -23,6 +23,7 @@ import json
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
 import tiktoken
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from basin.llm._common import pack, stored_by, unpack, worker_cache
 
-#: Characters merged at once (about 40 bytes each in the task); a longer text is merged alone.
-BLOCK_CHARS = 12_000_000
+#: Characters merged at once (about 60 bytes each in the task); a longer text is merged alone.
+BLOCK_CHARS = 3_000_000
 
 
 def byte_level(tokenizer_json: str) -> tuple[dict[bytes, int], list[int], dict[int, bytes]]:
@@ -116,7 +117,8 @@ class Slice:
         self.link_a, self.link_b, self.a_cut, self.b_cut = lockstep(
             *ends, self.a_base[some], self.b_base[some], (self.a_base + self.n_a - 1)[some])
         text = np.repeat(np.arange(len(pairs)), self.n_a)[self.link_a]
-        order = np.argsort(text, kind="stable")  # steps of a text stay in order
+        small = np.uint16 if len(pairs) < 2 ** 16 else np.int64
+        order = np.argsort(text.astype(small), kind="stable")  # steps of a text stay in order
         self.link_a, self.link_b = self.link_a[order], self.link_b[order]
         self.n_links = np.bincount(text, minlength=len(pairs))
         self.n_groups = np.bincount(np.repeat(np.arange(len(pairs)), self.n_a)[self.a_cut], minlength=len(pairs))
@@ -205,7 +207,8 @@ def _blocks(docs, a_json, b_model, pattern, summary, id_col, text_col, block_cha
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         for n, (keys, texts) in enumerate(_slices(batches, block_chars)):
             s = Slice(_tokenizers(shared), texts)
-            pairs, code, count = np.unique(s.a[s.link_a] << 32 | s.b[s.link_b], return_inverse=True, return_counts=True)
+            code, pairs = pd.factorize(s.a[s.link_a] << 32 | s.b[s.link_b])
+            count = np.bincount(code, minlength=len(pairs))
             by_count = np.argsort(-count, kind="stable")  # small numbers for common pairs
             rank = np.empty(len(pairs), np.uint32)
             rank[by_count] = np.arange(len(pairs), dtype=np.uint32)
