@@ -80,14 +80,18 @@ def word_blocks(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col:
         number.default_factory = number.__len__
         chars, n = 0, 0
         for batch in batches:
+            start = 0
             for at in range(batch.num_rows):
                 text = batch.column(1)[at].as_py() or ""
                 words = find(text)
                 codes.append(np.fromiter(map(number.__getitem__, words), "<u4", len(words)))
-                keys.append(batch.column(0).slice(at, 1))
                 sizes.append(len(words))
                 chars += len(text) + 1
-                if chars >= block_chars or len(number) >= BLOCK_WORDS:
+                full = chars >= block_chars or len(number) >= BLOCK_WORDS
+                if full or at + 1 == batch.num_rows:  # a copy: a slice would hold the batch's texts
+                    keys.append(batch.column(0).take(pa.array(np.arange(start, at + 1))))
+                    start = at + 1
+                if full:
                     yield _block(task << 32 | n, number, keys, sizes, codes)
                     number, keys, sizes, codes = open_block()
                     number.default_factory = number.__len__
