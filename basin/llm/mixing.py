@@ -31,12 +31,13 @@ be raised (its residual stays); targets are scaled to sum to one.
 from __future__ import annotations
 
 import math
+import random
 import warnings
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basin.llm._common import stored
+from basin.llm._common import drop_stored, stored
 
 SAMPLE_ROWS = 3_000
 LEXICON = 150
@@ -237,20 +238,22 @@ def fit_rates(groups: DataFrame, targets: list[float], budget: float | None = No
     return _rate(v), {"mass": mass, "goal": goal, "total": total, "met": met, "steps": steps}
 
 
-def _fitted(docs, labelled, targets, budget, id_col, text):
-    """Lexicons, (id, n_tokens, p) of every document, the posteriors over ``bins``, the rate over ``p``, and what was fitted."""
-    domains = sorted(targets)
-    known = labelled.filter(F.col("domain").isin(domains)).select(id_col, "domain").distinct()
-    words = lexicons(docs, known, domains, id_col, text)
-    stats = stored(statistics(docs, words, id_col, text), "mixing-stats")
+def _fitted(stats, known, domains, targets, budget, id_col, *keep):
+    """(id, n_tokens, p) of every document with the columns ``keep``, the rate over ``p``, and what was fitted."""
     posteriors = F.array(*classifier(stats, known, domains, id_col))
-    members = stored(stats.select(id_col, "n_tokens", posteriors.alias("p")), "mixing-posteriors")
+    members = stored(stats.select(id_col, "n_tokens", posteriors.alias("p"), *keep), "mixing-posteriors")
     groups = stored(members.groupBy("p").agg(F.sum("n_tokens").alias("n")), "mixing-groups")
     rate, fitted = fit_rates(groups, [targets[d] for d in domains], budget)
+    drop_stored(groups)
     if not fitted["met"]:
         warnings.warn("targets cannot be met: " + ", ".join(
             f"{d} {a:.0f} of {g:.0f} tokens" for d, a, g in zip(domains, fitted["total"], fitted["goal"])), stacklevel=3)
-    return words, members, posteriors, rate, fitted
+    return members, rate, fitted
+
+
+def _labelled(labelled, targets, id_col):
+    domains = sorted(targets)
+    return domains, labelled.filter(F.col("domain").isin(domains)).select(id_col, "domain").distinct()
 
 
 def document_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None,
@@ -260,7 +263,11 @@ def document_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, floa
     ``labelled`` has (id, domain); ``targets`` maps each domain to its weight. The frame's ``fitted`` tells the
     totals wanted and reached (domains in order of their names).
     """
-    _, members, _, rate, fitted = _fitted(docs, labelled, targets, budget, id_col, text)
+    domains, known = _labelled(labelled, targets, id_col)
+    words = lexicons(docs, known, domains, id_col, text)
+    stats = stored(statistics(docs, words, id_col, text), "mixing-stats")
+    members, rate, fitted = _fitted(stats, known, domains, targets, budget, id_col)
+    drop_stored(stats)
     out = members.select(id_col, "n_tokens", *[
         F.element_at("p", j + 1).alias(f"p_{d}") for j, d in enumerate(sorted(targets))], rate.alias("rate"))
     out.fitted = fitted
@@ -268,19 +275,50 @@ def document_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, floa
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], seed: int = 11, repeat: bool = True) -> DataFrame:
-    """The documents drawn with their whole rates: floor(rate) copies and one more with the probability of the
-    remainder. Without ``repeat`` all rates are divided by the largest, which keeps the shares and repeats nothing.
-    Documents without tokens are kept once. The draw is a hash of the id (of the text where the id is null), so it is
-    repeatable; each row is drawn where it is read, with the rate of its own text."""
-    words, members, posteriors, rate, _ = _fitted(docs, labelled, targets, None, "doc_id", "text")
-    most = 1.0 if repeat else max(1.0, members.filter("n_tokens > 0").agg(F.max(rate)).first()[0] or 1.0)
+    """The documents drawn with their whole rates: floor(rate) copies, or one more. Without ``repeat`` all rates
+    are divided by the largest, which keeps the shares and repeats nothing. Documents without tokens are kept once.
+
+    Each row is drawn with the rate of its own text, by ``systematic``: along the rows in the order of their
+    (coarse) posteriors and tokens, copies keep step with the sum of rates, so the drawn tokens of a domain differ from the fitted
+    ones by no more than about one document. The draw follows from ``seed`` and the order in which equal rows
+    (posteriors and tokens) are read. Documents are written once with their statistics, and joined to their draws.
+    """
+    domains, known = _labelled(labelled, targets, "doc_id")
+    words = lexicons(docs, known, domains)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
-    rated = statistics(whole, words, "doc").select("doc", "n_tokens", posteriors.alias("p")).select(
-        "doc", F.when(F.col("n_tokens") == 0, F.lit(1.0)).otherwise(rate / most).alias("rate"))
-    unnamed = F.when(F.col("doc.doc_id").isNull(), F.col("doc.text"))
-    draw = F.pmod(F.xxhash64("doc.doc_id", unnamed, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    copies = F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("bigint")
-    return rated.select("doc", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select("doc.*")
+    stats = stored(statistics(whole, words, "doc").select("*", F.monotonically_increasing_id().alias("row")), "mixing-docs")
+    members, rate, _ = _fitted(stats.select(F.col("doc.doc_id").alias("doc_id"), "n_tokens", "bins", "row"), known, domains,
+                               targets, None, "doc_id", "row")
+    most = 1.0 if repeat else max(1.0, members.filter("n_tokens > 0").agg(F.max(rate)).first()[0] or 1.0)
+    draws = systematic(members.filter("n_tokens > 0").select("row", (rate / most).alias("rate"), coarse(F.col("p")), "n_tokens"), seed)
+    draws = draws.union(members.filter("n_tokens = 0").select("row", F.lit(1).cast("bigint")))
+    copies = F.array_repeat(F.lit(0), F.col("copies").cast("int"))
+    return stats.select("row", "doc").join(draws.filter("copies > 0"), "row").select("doc", F.explode(copies)).select("doc.*")
+
+
+def coarse(p: Column) -> Column:
+    """Posteriors to one decimal: documents that are nearly of the same domains stand together, ordered by tokens."""
+    return F.transform(p, lambda x: F.round(x, 1)).alias("p")
+
+
+def systematic(rows: DataFrame, seed: int) -> DataFrame:
+    """(row, copies) of (row, rate, order...): along the rows in the given order, copies = floor(S + u) - floor(S' + u),
+    where S is the sum of rates up to the row, S' the one before it, and u a draw of the seed.
+
+    Rates are taken in millionths, so sums are exact. Rows are numbered by ``row``; they are cut into slices of the order,
+    so no task sees more than a slice, and the slices' sums (one row for each) are added up first.
+    """
+    order = [c for c in rows.columns if c not in ("row", "rate")] + ["row"]
+    sliced = stored(rows.select("*", F.round(F.col("rate") * 1_000_000).cast("bigint").alias("r"))
+                    .repartitionByRange(*order).withColumn("slice", F.spark_partition_id()), "mixing-slices")
+    sums = sliced.groupBy("slice").agg(F.sum("r").alias("r"))
+    before = sums.select("slice", F.coalesce(F.sum("r").over(Window.orderBy("slice").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    upto = F.sum("r").over(Window.partitionBy("slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    start = random.Random(seed).randrange(1_000_000)
+    placed = sliced.withColumn("upto", upto).join(F.broadcast(before), "slice").select(  # a row for each partition
+        "row", "r", (F.col("before") + F.col("upto") + start).alias("s"))
+    return placed.select("row", F.expr("s div 1000000 - (s - r) div 1000000").alias("copies"))
 
 
 def thin(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], seed: int = 11) -> DataFrame:

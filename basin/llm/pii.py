@@ -6,12 +6,17 @@ form that ignores case in addresses and punctuation in numbers. A surrogate is d
 key, type, canonical form and attempt. Entities whose surrogate equals another entity's surrogate, or
 any entity found in the corpus, draw again until none does: distinct entities stay distinct, equal ones
 stay equal wherever and however they are written. Names are replaced word by word, so "Mrs. Anna
-Schmidt", "Anna Schmidt" and "Mrs. Schmidt" stay one person.
-
-Types: e-mail (domains map to domains, the top-level domain stays), telephone (first digit stays), card
-number (first digit and Luhn validity stay), social security number, IPv4 address, secret
-(``password=...``, ``token = "..."``; hexadecimal stays so, in its case), person names (titles, also stacked, or a
-known given name, and all capitalised words and initials that follow, the last word the family name; gender by given
+Schmidt", "Anna Schmidt" and "Mrs. Schmidt" stay one person; local parts and domains of addresses are entities
+of their own. Where a format has too few values (a one-letter domain, a secret of hyphens and one digit), every sixth
+draw makes the surrogate a character (a name a syllable) longer. Numbers keep their length; should
+``MAX_ROUNDS`` draws not tell them apart, that is an error that names them.
+
+Types: e-mail (the top-level domain stays), telephone (first digit stays), card
+number (any 16 digits, or 13 to 19 whose Luhn sum fits; first digit and Luhn validity stay), social security number,
+IPv4 address, secret (``password=...``, ``token = "..."``: 8 characters with a digit, or 12 and more after an equals
+sign; hexadecimal stays so, in its case), person names (titles, also stacked, or a
+known given name, and all capitalised words, initials and particles such as "van der", which stay, that follow, the
+last word the family name; gender by given
 name, else title; initials go to other initials by a keyed cycle; Latin, Cyrillic or Greek letters stay so; upper case stays).
 
 Only texts with an entity are shuffled, once; copies of a text are resolved once. Texts hold their
@@ -39,6 +44,10 @@ GIVEN_F = ["Anna", "Maria", "Emma", "Sophie", "Laura", "Julia", "Sarah", "Mary",
            "Camille", "Carmen", "Lucía", "Ingrid", "Katharina", "Анна", "Мария", "Ольга", "Елена", "Μαρία", "Ελένη"]
 GIVEN_M = ["John", "James", "Michael", "David", "Robert", "Peter", "Thomas", "Paul", "Pierre", "Jean", "Carlos", "José",
            "Hans", "Klaus", "Stefan", "Miguel", "Иван", "Сергей", "Дмитрий", "Алексей", "Γιώργος", "Νίκος"]
+#: Draws after which entities that still share a surrogate are an error.
+MAX_ROUNDS = 60
+# Particles of family names.
+PARTICLES = ["van", "von", "de", "der", "den", "del", "della", "di", "da", "dos", "ten", "ter", "zu", "bin", "ibn"]
 # Alphabets, and the syllables that surrogate names are built of.
 INITIALS = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ÀÁÂÄÅÆÇĆČĐÈÉÊËÌÍÎÏŁÑÒÓÔÖØŚŠÙÚÛÜÝŻŽ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ",
             "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
@@ -58,10 +67,13 @@ ENDINGS = {
 _TITLE = rf"(?:{'|'.join(TITLES_F + TITLES_M + TITLES_N)})"
 _WORD = rf"(?!{_TITLE}(?![\p{{L}}'’-]))\p{{Lu}}[\p{{L}}'’-]+"
 _INITIALS = r"(?:\p{Lu}\.)+|\p{Lu}(?= )"
-_REST = rf"(?: (?:{_INITIALS}|{_WORD}))* {_WORD}"
+_REST = rf"(?: (?:{_INITIALS}|{_WORD}|(?:{'|'.join(PARTICLES)})(?= )))* {_WORD}"
 NAME = (rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE}(?:\.? {_TITLE})*\.?|(?:{'|'.join(GIVEN_F + GIVEN_M)})){_REST}(?![\p{{L}}\p{{N}}])")
-_ASSIGN = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
-SECRET = rf"(?<![A-Za-z]){_ASSIGN}(?=[A-Za-z0-9+/_.-]*\d)[A-Za-z0-9+/_.-]*[A-Za-z0-9+/_-]{{8}}"
+_KEYWORD = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?[ \t]{0,3}"
+_ASSIGN = _KEYWORD + r"[=:][ \t]{0,3}[\"']?"
+_VALUE = r"[A-Za-z0-9+/_.-]*[A-Za-z0-9+/_-]"
+SECRET = (rf"(?<![A-Za-z])(?:{_ASSIGN}(?=[A-Za-z0-9+/_.-]*\d){_VALUE}{{8}}"
+          rf"|{_KEYWORD}=[ \t]{{0,3}}[\"']?{_VALUE}{{12}})")
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
@@ -74,9 +86,9 @@ ANY = f"{NUMERIC}|{NAME}"
 
 
 def has_entity(text: str) -> Column:
-    """True if the text holds an entity. Most texts have no digit and no @ and skip those patterns."""
-    t = F.col(text)
-    return F.coalesce((t.rlike("[0-9@]") & t.rlike(NUMERIC)) | t.rlike(NAME), F.lit(False))
+    """True if the text holds an entity. Most texts have no digit, @ or equals sign and skip those patterns."""
+    t = F.col(f"`{text}`")
+    return F.coalesce((t.rlike("[0-9@=]") & t.rlike(NUMERIC)) | t.rlike(NAME), F.lit(False))
 
 
 def _digits(c: Column) -> Column:
@@ -116,12 +128,16 @@ def _parts(m: Column) -> Column:
                         F.lit("_"), _script(w))
         blank = F.when(i == 0, "").otherwise(" ")
         kind = F.when(w.rlike(r"^(?:\p{Lu}\.)+$|^\p{Lu}$"), F.lit("initial")).otherwise(kind)
-        return F.when(title(w, TITLES_F + TITLES_M + TITLES_N), F.array(keep(F.concat(blank, w)))).otherwise(
+        stays = title(w, TITLES_F + TITLES_M + TITLES_N) | w.isin(PARTICLES)
+        return F.when(stays, F.array(keep(F.concat(blank, w)))).otherwise(
             F.array(keep(blank), part(kind, F.lower(w), w)))
 
+    local, host = F.regexp_extract(m, "^[^@]*", 0), F.regexp_extract(m, r"@(.*)\.[^.]+$", 1)
+    address = F.array(part(F.lit("local"), F.lower(local), local), keep(F.lit("@")), part(F.lit("domain"), F.lower(host), host),
+                      keep(F.regexp_extract(m, r"\.[^.]+$", 0)))
     card_ok = (F.length(_digits(m)) == 16) | (_luhn_sum(_digits(m)) % 10 == 0)
     return (F.when(whole(SECRET), F.array(keep(lead), part(secret_kind, value, value)))
-            .when(whole(EMAIL), one("email", F.lower(m)))
+            .when(whole(EMAIL), address)
             .when(whole(IP), one("ip", m))
             .when(whole(SSN), one("ssn", _digits(m)))
             .when(whole(CARD), F.when(card_ok, one("card", _digits(m))).otherwise(F.array(keep(m))))
@@ -154,24 +170,26 @@ def _draw(key: str) -> Column:
     """Surrogate of (kind, canon, attempt) in canonical form."""
     kind, canon = F.col("kind"), F.col("canon")
     label = F.concat_ws("|", kind, canon, F.col("attempt").cast("string"))
-    stream = _stream(key, label, F.length(canon) + 8)
-    at = F.instr(canon, "@")
-    domain = F.regexp_extract(canon, r"@(.*)\.[^.]+$", 1)
-    email = F.concat(_redraw(F.substring(canon, F.lit(1), at - 1), stream), F.lit("@"),
-                     _redraw(domain, _stream(key, F.concat(F.lit("domain|"), domain), F.length(domain))),
-                     F.regexp_extract(canon, r"\.[^.]+$", 0))
+    more = (F.col("attempt") / 6).cast("int")
+    stream = _stream(key, label, F.length(canon) + more + 8)
+
+    def longer(letters):
+        drawn = F.transform(F.sequence(F.lit(1), more), lambda i: F.substring(
+            F.lit(letters), _number(stream, F.length(canon) + i, len(letters)) + 1, F.lit(1)))
+        return F.when(more > 0, F.array_join(drawn, "")).otherwise("")
+
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (
         _number(stream, i, 254) + 1).cast("string")), ".")
     drawn = _redraw(canon, stream, keep_first=True)
     body = F.substring(drawn, F.lit(1), F.length(canon) - 1)
     check = (10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
     card = F.when(_luhn_sum(canon) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(drawn)
-    out = (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card)
+    out = (F.when(kind.isin("local", "domain", "secret"), F.concat(_redraw(canon, stream), longer(LATIN)))
+           .when(kind == "ip", ip).when(kind == "card", card)
            .when(kind == "phone", drawn).when(kind == "ssn", _redraw(canon, stream))
-           .when(kind == "secret_hex", _redraw(canon, stream, hexadecimal=HEX))
-           .when(kind == "secret_hex_upper", _redraw(canon, stream, hexadecimal=HEX.upper()))
-           .when(kind == "secret", _redraw(canon, stream)))
-    count = 2 + (F.col("attempt") / 6).cast("int")  # longer names when short ones run out
+           .when(kind == "secret_hex", F.concat(_redraw(canon, stream, hexadecimal=HEX), longer(HEX)))
+           .when(kind == "secret_hex_upper", F.concat(_redraw(canon, stream, hexadecimal=HEX.upper()), longer(HEX.upper()))))
+    count = 2 + more  # longer names when short ones run out
     for script, syllables in SYLLABLES.items():
         parts = F.array(*map(F.lit, syllables))
         pick = lambda i: F.element_at(parts, _number(stream, i, len(syllables)) + 1)  # noqa: B023, E731
@@ -188,7 +206,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     now = stored(entities.select("kind", "canon").distinct().withColumn("attempt", F.lit(0))
                  .withColumn("surrogate", _draw(key)), "pii-entities")
     taken = entities.select("kind", F.col("canon").alias("surrogate")).distinct().withColumn("taken", F.lit(True))
-    while True:
+    for _ in range(MAX_ROUNDS):
         first = now.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canon")).alias("first"))
         judged = now.join(first, ["kind", "surrogate"]).join(taken, ["kind", "surrogate"], "left").withColumn(
             "clash", F.col("taken").isNotNull() | (F.struct("attempt", "canon") != F.col("first")))
@@ -201,6 +219,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
             return step.select("kind", "canon", "surrogate")
         now = step.drop("clash")
         now.stored_path = step.stored_path
+    left = [f"{r.kind} {r.canon}" for r in step.filter("clash").select("kind", "canon").sort("kind", "canon").limit(10).collect()]
+    raise RuntimeError(f"no distinct surrogates after {MAX_ROUNDS} draws, among others for: {', '.join(left)}")
 
 
 def _initials(raw: Column, key: str) -> Column:
@@ -220,18 +240,21 @@ def _written(raw: Column, kind: Column, surrogate: Column, key: str) -> Column:
         surrogate, F.length(_digits(F.substring(raw, F.lit(1), i + 1))), F.lit(1))).otherwise(c)), "")
     address = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(
         F.substring(surrogate, i + 1, F.lit(1)))).otherwise(F.substring(surrogate, i + 1, F.lit(1)))), "")
+    address = F.concat(address, F.substring(surrogate, F.length(raw) + 1, F.length(surrogate)))
     named = F.when((raw == F.upper(raw)) & (F.length(raw) > 1), F.upper(surrogate)).otherwise(F.initcap(surrogate))
     return (F.when(kind.isNull(), raw).when(kind == "initial", _initials(raw, key)).when(kind.isin("phone", "card", "ssn"), numbers)
-            .when(kind == "email", address).when(kind.rlike("^(given|family)_"), named).otherwise(surrogate))
+            .when(kind.isin("local", "domain"), address).when(kind.rlike("^(given|family)_"), named).otherwise(surrogate))
 
 
 def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The documents with every entity replaced, and ``n_entities``, the number replaced in each."""
     columns = [c for c in docs.columns if c != "n_entities"]
-    docs = docs.select(columns)
+    docs = docs.select([F.col(f"`{c}`") for c in columns])
+    whole_text = F.col(f"`{text}`")
     cut = stored(docs.filter(has_entity(text)).select(
-        F.struct(*columns).alias("doc"), F.sha2(text, 256).alias("copy"), F.split(text, ANY, -1).alias("between"),
-        F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("found")), "pii-texts")
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.sha2(whole_text, 256).alias("copy"),
+        F.split(whole_text, ANY, -1).alias("between"), F.regexp_extract_all(whole_text, F.lit(ANY), F.lit(0)).alias("found")),
+        "pii-texts")
     parts = (cut.groupBy("copy").agg(F.first("found").alias("found"))
              .select("copy", F.posexplode("found").alias("at", "entity"))
              .select("copy", "at", F.posexplode(_parts(F.col("entity"))).alias("part", "p"))

@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from basin.llm._common import stored
 from basin.llm.components import components
@@ -51,8 +52,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str
             found = [_fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], [id_col, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    return docs.select(id_col, text_col).mapInArrow(run, StructType([docs.schema[id_col], StructField("fp", LongType())]))
 
 
 def _fingerprint(text, shingle, seed):
@@ -171,8 +171,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col
                     text_col: str = "text") -> DataFrame:
     """(id, fp, component_id): the smallest id reachable by links of at most ``distance`` bits.
 
-    Null and empty texts share fingerprint 0 and link like any other. Rows that share an id are one
-    document. Ties do not occur: the component id is a minimum. An empty table gives no rows.
+    Null and empty texts share fingerprint 0 and link like any other. A row is judged by its own text: rows that
+    share an id may lie in different components, and repeated rows get the same result. Null ids come after all others:
+    only a component without any other has a null component id. Ties do not occur: the component id is a minimum. An empty table gives no rows.
     """
     prints = stored(fingerprints(docs, shingle, id_col=id_col, text_col=text_col), "simhash-fp")
     reach = components(links(prints, distance))
@@ -185,7 +186,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """The documents whose id is their component's id, with all their columns."""
-    found = near_duplicates(docs, shingle, distance)
-    copies = found.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """One row of each component, with all its columns: the one with the smallest id (then hash of the text).
+
+    Rows are told apart by id and text, so a row goes only if it is near the one that stays, whatever ids the two have;
+    a null id comes after all others. Rows equal in both count as one; which of them stays is open.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("text")).alias("row")
+    found = near_duplicates(docs.select(row, "text"), shingle, distance, "row")
+    first = found.filter("row = component_id").select("row").distinct()
+    whole = docs.select(row, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    whole = whole.groupBy("row").agg(F.first("doc").alias("doc"))  # equal rows meet before the shuffle
+    return whole.join(first, "row", "left_semi").select("doc.*")

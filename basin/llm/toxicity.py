@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from basin.llm._common import hash_bucket, held_out, stored, worker_cache
 
@@ -223,8 +224,8 @@ def score(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: s
             scores = _sigmoid(model.margins(rows)[0])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], [id_col, "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    out = StructType([docs.schema[id_col], StructField("score", DoubleType())])
+    return docs.select(id_col, text_col).mapInArrow(run, out)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -234,6 +235,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents predicted clean, with all their columns. Null ids are kept."""
-    toxic = toxicity(docs, labels, threshold).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(docs.columns)
+    """The rows predicted clean, with all their columns, in the order they are read. Each row is judged by its own
+    text, whatever its id; ids that are null or repeated make no difference."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = score(docs.select(whole.alias("doc"), "text"), fit(docs, labels), "doc")
+    return scored.filter(F.col("score") < threshold).select("doc.*")

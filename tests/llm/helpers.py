@@ -16,7 +16,7 @@ def odd_documents(spark, texts=()):
 def with_extra_columns(df):
     """Columns named like the operators' own intermediate and result columns."""
     names = ["fp", "score", "label", "word", "ids", "n", "p", "rate", "node", "component", "bins", "x", "copy", "found", "doc",
-             "n_entities", "part", "share", "stems", "host", "path", "table", "bucket", "own", "size"]
+             "n_entities", "part", "share", "stems", "host", "path", "table", "bucket", "own", "size", "row", "slice", "text.raw", "a.b"]
     return df.select("*", *[F.lit("clash").alias(c) for c in names if c not in df.columns])
 
 

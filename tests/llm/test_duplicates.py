@@ -109,6 +109,16 @@ def test_simhash_odd_rows(spark):
     assert rows(simhash.near_duplicates(empty(docs))) == []
 
 
+def test_near_duplicates_go_by_row_not_by_id(spark):
+    a, b = "one two three four five six", "nothing like the other text at all here"
+    rows_ = [(1, a), (2, a), (2, b), (None, a), (None, b + " indeed it is quite another"), (None, b + " indeed it is quite another"),
+             (3, None), (None, None), (3, None), (4, "   ")]
+    docs = with_extra_columns(spark.createDataFrame(rows_, "doc_id long, text string"))
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert rows(kept.select("doc_id", "text")) == sorted([(1, a), (2, b), (None, rows_[4][1]), (3, None)], key=repr)
+
+
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 

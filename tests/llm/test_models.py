@@ -84,6 +84,15 @@ def test_toxicity_odd_rows(spark, labelled):
     assert None in left and left.count(6) == 2 and all(i % 2 for i in left if i and i >= 100)
 
 
+def test_toxic_rows_go_by_text_not_by_id(spark, labelled):
+    docs, labels = labelled
+    bad, good = "you stupid clown what an idiot thing number7", "the calm river went by the old mill number8"
+    more = spark.createDataFrame([(7001, bad), (7001, good), (None, bad), (None, good)], "doc_id long, text string")
+    kept = toxicity.drop_toxic(docs.unionByName(more, allowMissingColumns=True), labels)
+    left = [(r.doc_id, r.text) for r in kept.collect()]
+    assert (7001, good) in left and (None, good) in left and bad not in [t for _, t in left]
+
+
 def test_quality_odd_rows(spark, labelled):
     docs, labels = labelled
     got = quality.quality(docs, labels).collect()
@@ -188,3 +197,29 @@ def test_token_shares_after_the_draw_with_a_domain_below_its_target(spark, draw)
     tokens, low = kept.copies * kept.n, kept.doc_id >= 2000
     assert tokens[low].sum() / tokens.sum() == pytest.approx(queries.PIPELINE_TARGETS["low"], abs=0.01)
     assert (kept.copies[low].max() > 1) == (draw is mixing.mix) and (kept.copies[~low] == 1).all()
+
+
+def test_systematic_copies_follow_the_running_sum(spark):
+    rng = np.random.default_rng(9)
+    data = [(int(i), float(r), int(n)) for i, r, n in zip(rng.permutation(700), rng.uniform(0, 2.5, 700), rng.integers(1, 9, 700))]
+    df = spark.createDataFrame(data, "row long, rate double, n long").repartition(5)
+    got = {r.row: r.copies for r in mixing.systematic(df, 3).collect()}
+    start, total, want = __import__("random").Random(3).randrange(1_000_000), 0, {}
+    for i, r, _ in sorted(data, key=lambda d: (d[2], d[0])):
+        before, total = total, total + round(r * 1_000_000)
+        want[i] = (total + start) // 1_000_000 - (before + start) // 1_000_000
+    assert got == want and all(abs(got[i] - r) < 1 for i, r, _ in data)
+    assert mixing.systematic(df.filter("false"), 3).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_drawn_token_shares_keep_near_the_targets(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    labelled = queries.labelled_quality(spark.read.parquet(f"{folder}/labels.parquet"))
+    rates = mixing.document_rates(spark.read.parquet(f"{folder}/documents.parquet"), labelled, queries.PIPELINE_TARGETS)
+    members = rates.filter("n_tokens > 0").select(
+        F.col("doc_id").alias("row"), "rate", mixing.coarse(F.array("p_clean", "p_low")), "n_tokens", "p_clean", "p_low").cache()
+    for seed in range(20):
+        drawn = mixing.systematic(members.drop("p_clean", "p_low"), seed).join(members, "row")
+        share = drawn.selectExpr("sum(copies * n_tokens * p_low) / sum(copies * n_tokens * (p_clean + p_low))").first()[0]
+        assert share == pytest.approx(queries.PIPELINE_TARGETS["low"], abs=0.01), seed

@@ -95,6 +95,37 @@ def test_against_brute_force_on_documents(spark, sf_dir):
     assert len(set(table.values())) == len(table) and not set(table) & set(table.values())
 
 
+def test_surrogates_end_where_a_format_has_few_values(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    out = replaced(spark, "_@a.com", "_@e.com", "-@0.com", " ".join(f"{c}@{d}.org" for c in letters for d in letters),
+                   " ".join(f"password=-------{i}" for i in range(10)))
+    addresses = [*out[:3], *out[3].split()]
+    assert len(set(addresses)) == len(addresses) == 3 + 36 * 36
+    before = {f"{c}@{d}.org" for c in letters for d in letters}
+    assert not before & set(addresses) and all(re.fullmatch(pii.EMAIL, a) for a in addresses)
+    assert len({a.split("@")[0] for a in out[3].split()}) == len({a.split("@")[1] for a in out[3].split()}) == 36
+    secrets = out[4].split()
+    assert len(set(secrets)) == 10 and all(s.startswith("password=-------") for s in secrets)
+    assert not set(secrets) & {f"password=-------{i}" for i in range(10)}
+
+
+def test_entities_that_cannot_be_told_apart_are_named(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_ROUNDS", 2)
+    ents = spark.createDataFrame([("domain", c) for c in "abcdefghijklmnopqrstuvwxyz"], "kind string, canon string")
+    with pytest.raises(RuntimeError, match="domain a"):
+        pii.surrogates(ents, KEY)
+
+
+def test_particles_and_secrets_without_digits(spark):
+    out = replaced(spark, "Anna de Vries and Mrs. de Vries, Dr. Hans van der Berg", "password=correcthorsebattery",
+                   "order 1234567890123456", "Anna of it", "password=short")
+    family = re.fullmatch(r"\w+ de (\w+) and Mrs\. de \1, Dr\. \w+ van der \w+", out[0]).group(1)
+    assert family != "Vries" and "Berg" not in out[0] and "Anna" not in out[0]
+    assert re.fullmatch("password=[a-z]{19}", out[1]) and "horse" not in out[1]
+    assert re.fullmatch(r"order 1\d{15}", out[2]) and out[2] != "order 1234567890123456"
+    assert out[3:] == ["Anna of it", "password=short"]
+
+
 def test_pii_odd_rows(spark):
     docs = with_extra_columns(odd_documents(spark, ["x@y.org " * 3000, "x@y.org", "x@y.org"]))
     got = pii.replace_pii(docs, KEY)
