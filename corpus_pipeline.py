@@ -26,7 +26,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their personal data and secrets replaced by surrogates."""
-    return pii.replace_pii(docs, queries.PII_KEY).select(docs.columns)
+    return pii.replace_pii(docs, queries.PII_KEY).select([f"`{c}`" for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
