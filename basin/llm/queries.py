@@ -129,21 +129,32 @@ parts AS (SELECT page_id, html, translate(coalesce(regexp_extract(url, '(?s)^.*?
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)', 1), '') AS query FROM pages),
-tags AS (SELECT host, path, host || path || query AS a,
-    unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag
-  FROM parts WHERE host <> '' AND regexp_matches(html, '(?i)canonical|http-equiv')),
-targets AS (SELECT host, path, a, CASE
-    WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b')
-      THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-    WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b')
-      THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END AS t FROM tags),
-whole AS (SELECT a, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'x:' || t
-    WHEN starts_with(t, '/') THEN 'x://' || host || t
-    ELSE 'x://' || host || regexp_replace(path, '[^/]*$', '') || t END AS u FROM targets WHERE t <> ''),
-ends AS (SELECT a, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS bh,
-  regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*(?:\?[^#]*)?)', 1) AS bp FROM whole),
-links AS (SELECT DISTINCT a, bh || bp AS b FROM ends WHERE bh <> ''),
+tags AS (SELECT host, path, query, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?(-->|$)', ' ', 'g'),
+    '(?is)<(?:link|meta)\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS tag FROM parts WHERE host <> ''),
+named AS (SELECT host, path, query, regexp_matches(tag, '(?i)^<link') AS is_link,
+    map_from_entries(list_transform(list_reverse(regexp_extract_all(tag, '(?is)[\s"''][a-z-]+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+)')),
+      lambda x: {'k': lower(regexp_extract(x, '(?is)^.([a-z-]+)', 1)),
+        'v': trim(regexp_replace(regexp_extract(x, '(?is)=\s*(.*)$', 1), '^["'']|["'']$', '', 'g'), E' \t\n\r')})) AS attr FROM tags),
+hrefs AS (SELECT host, path, query, regexp_replace(CASE
+    WHEN is_link AND list_contains(regexp_split_to_array(lower(attr['rel']), '\s+'), 'canonical') THEN attr['href']
+    WHEN NOT is_link AND lower(attr['http-equiv']) = 'refresh'
+      THEN trim(regexp_extract(attr['content'], '(?is)\burl\s*=\s*["'']?\s*([^"'']*)', 1)) END,
+    '(?i)&(?:amp|#38|#x26);', '&', 'g') AS t FROM named),
+cut AS (SELECT *, regexp_extract(t, '(?s)^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?',
+    ['scheme', 'authority', 'p', 'q']) AS r FROM hrefs WHERE t <> ''),
+joined AS (SELECT host, path, query, CASE WHEN r.authority <> '' THEN lower(substr(r.authority, 3)) ELSE host END AS th,
+    CASE WHEN r.authority <> '' OR starts_with(r.p, '/') THEN r.p WHEN r.p = '' THEN path
+      WHEN path = '' THEN '/' || r.p ELSE regexp_replace(path, '[^/]*$', '') || r.p END AS tp,
+    CASE WHEN r.authority = '' AND r.p = '' AND r.q = '' THEN query ELSE r.q END AS tq
+  FROM cut WHERE r.scheme = '' OR r.authority <> ''),
+sides AS (SELECT DISTINCT host, path, query, th, tp, tq FROM joined WHERE th <> ''),
+paths AS (SELECT path AS raw FROM parts UNION SELECT tp FROM sides),
+steps AS (SELECT raw, list_transform(string_split(raw || CASE WHEN regexp_matches(raw, '(^|/)\.\.?$') THEN '/' ELSE '' END, '/'),
+    lambda x: [x]) AS s FROM paths),
+clean AS (SELECT raw, CASE WHEN raw = '' THEN '/' ELSE array_to_string(list_reduce(s, lambda a, x: CASE
+    WHEN x[1] = '.' THEN a WHEN x[1] = '..' THEN a[1:greatest(len(a) - 1, 1)] ELSE list_concat(a, x) END), '/') END AS p FROM steps),
+links AS (SELECT DISTINCT host || c.p || query AS a, th || d.p || tq AS b FROM sides
+  JOIN clean c ON c.raw = path JOIN clean d ON d.raw = tp),
 pairs AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 nodes AS (SELECT DISTINCT a AS node FROM pairs),
 bad AS (SELECT node FROM (SELECT node, (SELECT r.verdict FROM rules r
@@ -151,9 +162,9 @@ bad AS (SELECT node FROM (SELECT node, (SELECT r.verdict FROM rules r
       AND starts_with(regexp_extract(node, '^[^/?]*([^?]*)', 1), r.p)
     ORDER BY length(r.h || r.p) DESC, length(r.h) DESC LIMIT 1) AS v FROM nodes) WHERE v = 'block'),
 tainted(node) AS (SELECT node FROM bad UNION SELECT pairs.b FROM tainted JOIN pairs ON pairs.a = tainted.node),
-ruled AS (SELECT page_id, host, path, host || path || query AS node, (SELECT {'rule': r.h || r.p, 'verdict': r.verdict}
+ruled AS (SELECT page_id, host, path, host || p || query AS node, (SELECT {'rule': r.h || r.p, 'verdict': r.verdict}
     FROM rules r WHERE (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p)
-    ORDER BY length(r.h || r.p) DESC, length(r.h) DESC LIMIT 1) AS r FROM parts)
+    ORDER BY length(r.h || r.p) DESC, length(r.h) DESC LIMIT 1) AS r FROM parts JOIN clean ON clean.raw = path)
 SELECT page_id, host, path, r.rule AS rule,
   CASE WHEN r.verdict IS NOT NULL THEN r.verdict WHEN host <> '' AND node IN (SELECT node FROM tainted) THEN 'block'
     ELSE 'allow' END AS verdict

@@ -5,7 +5,7 @@ the rule's; of several the longest host and path win (then the longest host, the
 
 Pages that redirect to each other (``<meta http-equiv="refresh">``) or name a canonical address
 (``<link rel="canonical">``) are one resource. Their addresses, without scheme, fragment and A-Z case of the
-host, are nodes of a graph; its connected components are found with distributed joins. A url without a rule is blocked if any
+host, with dot segments resolved and ``/`` for an empty path, are nodes of a graph; its connected components are found with distributed joins. A url without a rule is blocked if any
 address of its component is blocked by a rule. Explicit rules come first: a url under an allow rule stays
 allowed, whatever its aliases are, and an allow rule is not passed on.
 
@@ -13,7 +13,8 @@ Few rules (``INLINE_RULES`` at most) are tested inside the scan, without a shuff
 suffix.
 
 Edge cases: a null url or one without ``://`` has an empty host and path, fits no rule, is no node and is
-allowed; null html has no links; relative link targets are resolved against the page's host; a target without a
+allowed; null html has no links, nor have comments; relative link targets are resolved against the page's url (RFC 3986; a ``<base>``
+is not read), those with a scheme but no host (``mailto:``) are no links; a target without a
 page still connects its pages and may be blocked by a rule itself; repeated rows are judged each.
 """
 
@@ -37,10 +38,45 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _PARTS, 2), F.lit(""))
 
 
+def _without_dots(p: Column) -> Column:
+    """The path with ``.`` and ``..`` segments resolved (RFC 3986, 5.2.4); an empty one is ``/``."""
+    parts = F.split(p, "/")
+    parts = F.concat(parts, F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array()))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, s: F.when(s == ".", done).when(
+        s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(s))))
+    return F.when(p == "", "/").otherwise(F.array_join(kept, "/"))
+
+
+def _address(h: Column, p: Column, query: Column) -> Column:
+    return F.when(h != "", F.concat(h, _without_dots(p), query))
+
+
+def _query(url: Column) -> Column:
+    return F.coalesce(F.regexp_extract(url, _PARTS, 3), F.lit(""))
+
+
 def _node(url: Column) -> Column:
     """Address of a url in the redirect graph; null without a host."""
-    h = host(url)
-    return F.when(h != "", F.concat(h, path(url), F.coalesce(F.regexp_extract(url, _PARTS, 3), F.lit(""))))
+    return _address(host(url), path(url), _query(url))
+
+
+def _target(to: Column, base: Column) -> Column:
+    """Address of a link found in the page at ``base``, resolved as in RFC 3986, 5.2.2; null if it has no host."""
+    p, query = F.regexp_extract(to, r"(?s)^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    own = F.when(path(base) == "", "/").otherwise(F.regexp_replace(path(base), r"(?s)[^/]*$", ""))
+    return (F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), _node(to))
+            .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+            .when(to.startswith("//"), _node(F.concat(F.lit("x:"), to)))
+            .when(p.startswith("/"), _address(host(base), p, query))
+            .when(p != "", _address(host(base), F.concat(own, p), query))
+            .otherwise(_address(host(base), path(base), F.when(query != "", query).otherwise(_query(base)))))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of a tag's attribute, without quotes and outer blanks, ``&`` written out; empty if missing."""
+    found = F.concat(*[F.regexp_extract(tag, rf"""(?is)[\s"']{name}\s*=\s*{value}""", 1)
+                       for value in ('"([^"]*)"', "'([^']*)'", r"""([^\s"'>]+)""")])
+    return F.regexp_replace(F.regexp_replace(found, r"^\s+|\s+$", ""), "(?i)&(?:amp|#38|#x26);", "&")
 
 
 def _fits(h: Column, p: Column, rule_host: str, rule_path: str) -> Column:
@@ -71,21 +107,16 @@ def matched(urls: DataFrame, rules: list[tuple[str, str, str]], keys: list[str],
 
 def alias_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): addresses joined by a canonical link or a redirect of the page at ``a``."""
-    page = F.col(html)
-    tags = F.regexp_extract_all(page, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    href = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-    to = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
-    target = F.when(F.col("tag").rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?canonical\b"""), F.regexp_extract("tag", href, 1)
-                    ).when(F.col("tag").rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""),
-                           F.regexp_extract("tag", to, 1))
-    found = pages.filter(page.rlike("(?i)canonical|http-equiv")).select(
-        F.col(url).alias("from"), F.explode(tags).alias("tag")).select("from", target.alias("to")).filter("to <> ''")
-    base = F.concat(F.lit("x://"), host(F.col("from")))
-    whole = F.when(F.col("to").contains("://"), F.col("to")).when(
-        F.col("to").startswith("//"), F.concat(F.lit("x:"), F.col("to"))).when(
-        F.col("to").startswith("/"), F.concat(base, F.col("to"))).otherwise(
-        F.concat(base, F.regexp_replace(path(F.col("from")), "[^/]*$", ""), F.col("to")))
-    return found.select(_node(F.col("from")).alias("a"), _node(whole).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    page = F.regexp_replace(F.col(html), r"(?s)<!--.*?(?:-->|$)", " ")
+    tags = F.regexp_extract_all(page, F.lit(r"""(?is)<(?:link|meta)\b(?:[^>"']++|"[^"]*"|'[^']*')*+>"""), F.lit(0))
+    tag = F.col("tag")
+    refresh = F.regexp_extract(_attribute(tag, "content"), r"""(?is)\burl\s*=\s*["']?\s*([^"']*)""", 1)
+    to = F.when(tag.rlike("(?i)^<link") & _attribute(tag, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)"), _attribute(tag, "href")
+                ).when(tag.rlike("(?i)^<meta") & (F.lower(_attribute(tag, "http-equiv")) == "refresh"), F.rtrim(refresh))
+    found = pages.filter(F.col(html).rlike("(?i)canonical|http-equiv")).select(
+        F.col(url).alias("from"), F.explode(tags).alias("tag")).select("from", to.alias("to")).filter("to <> ''")
+    return found.select(_node(F.col("from")).alias("a"), _target(F.col("to"), F.col("from")).alias("b")).filter(
+        "a IS NOT NULL AND b IS NOT NULL")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url: str = "url",

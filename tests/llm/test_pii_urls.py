@@ -167,6 +167,42 @@ def test_redirect_equivalence_with_allow_precedence(spark, pages, tmp_path):
     assert rows(url_filter.judge(empty(pages), queries.RULES)) == []
 
 
+LINKED = [  # page url, html, the address its link means (null: none)
+    ("http://k.net", '<link rel=canonical href="u/v">', "k.net/u/v"), ("http://k.net/a/b?x=1", "<link rel='canonical' href='?x=2'>", "k.net/a/b?x=2"),
+    ("http://k.net/a/b/c", '<link href="../d" rel="canonical nofollow">', "k.net/a/d"), ("http://k.net/a/b", '<link rel="canonical" href="./">', "k.net/a/"),
+    ("http://k.net/a/b", '<link rel="canonical" href="../../../../x/./y/..">', "k.net/x/"),
+    ("http://k.net/a", '<link rel="canonical" href="/q?a=1&amp;b=2#f">', "k.net/q?a=1&b=2"),
+    ("http://k.net/a", '<!-- <link rel="canonical" href="/no"> -->', None), ("http://k.net/a", '<!-- x <link rel="canonical" href="/no">', None),
+    ("http://k.net/a", '<meta http-equiv="Refresh" content="0; URL=\'http://M.net\'">', "m.net/"),
+    ("http://k.net/a", '<meta content="5;url=b" http-equiv=refresh>', "k.net/b"), ("http://k.net/a", '<link rel="canonical" href="mailto:x@y.z">', None),
+    ("http://k.net/a", '<link rel="canonical" href=" //o.net/p ">', "o.net/p"), ("http://k.net/a?b", '<link rel="canonical" href="#top">', "k.net/a?b"),
+    ("http://k.net/a", '<link rel="alternate" href="/no">', None), ("http://k.net/a", '<link title="a > b" rel="canonical" href="/yes">', "k.net/yes")]
+
+
+@pytest.mark.parametrize("at,page,want", LINKED)
+def test_links_are_resolved(spark, at, page, want):
+    got = url_filter.alias_links(spark.createDataFrame([(at, page)], "url string, html string")).collect()
+    assert [r.b for r in got] == ([want] if want else [])
+
+
+def test_chains_of_redirects_against_sql(spark, sf_dir, tmp_path):
+    """Every page of the table links to another one: long chains, stars and blocked ends."""
+    n = spark.read.parquet(f"{sf_dir}/pages.parquet").count()
+    linked = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("page_id", """CASE page_id % 7 WHEN 0 THEN url WHEN 1 THEN
+        concat('http://site', page_id % 50, '.net/a/b/', page_id) WHEN 2 THEN concat('http://com/de/', page_id) ELSE concat('http://h', page_id % 90,
+        '.com/x/', page_id, '?q=', page_id % 3) END AS url""", f"""concat('<html><!-- <link rel=canonical href="/de/9"> -->', CASE page_id % 5
+        WHEN 0 THEN concat('<link rel="canonical" href="http://h', (page_id + 1) % 90, '.com/x/', (page_id + 1) % {n}, '?q=', (page_id + 1) % 3, '">')
+        WHEN 1 THEN '<link rel=canonical href="../y/./z">' WHEN 2 THEN concat('<meta http-equiv=refresh content="0; url=http://COM/de/', page_id + 2, '">')
+        WHEN 3 THEN '<link rel=canonical href="?p=1&amp;r=2">' ELSE '' END, '</html>') AS html""")
+    odd = spark.createDataFrame([(100_000 + i, at, page) for i, (at, page, _) in enumerate(LINKED)], "page_id long, url string, html string")
+    linked.unionByName(odd).coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.execute(queries.ORACLE["op2_url_filter"]).fetchall(), key=repr)
+    got = queries.QUERIES["op2_url_filter"](spark, str(tmp_path))
+    assert rows(got) == want and got.filter("rule IS NULL AND verdict = 'block'").count() > 10
+
+
 def test_joined_rules_equal_inline_rules(spark, pages):
     rules = queries.RULES + [("block", "net", "/"), ("allow", "n.net", "/q"), ("block", "k.net", "")]
     urls = pages.select("page_id", "url", url_filter.host(F.col("url")).alias("host"), url_filter.path(F.col("url")).alias("path"))
