@@ -53,18 +53,28 @@ def write_table(df: DataFrame, name: str, mode: str = "append", fmt: str = "parq
     return "replaced"
 
 
-def insert_if_absent(target: DataFrame, batch: DataFrame, keys, order) -> DataFrame:
+def without_keys(rows: DataFrame, other: DataFrame, keys, null_safe: bool = False) -> DataFrame:
+    """``rows`` whose key is not in ``other``. With ``null_safe`` a NULL in a key equals a NULL, else nothing."""
+    keys = as_list(keys)
+    # distinct keys: a key repeated many times is collapsed in each task before the shuffle, and the join reuses
+    # the distinct's partitioning
+    seen = other.select(*keys).distinct()
+    if not null_safe:
+        return rows.join(seen, on=keys, how="left_anti")
+    seen = seen.select(*[F.col(k).alias(f"__seen_{k}") for k in keys])
+    return rows.join(seen, all_of([F.col(k).eqNullSafe(F.col(f"__seen_{k}")) for k in keys]), "left_anti")
+
+
+def insert_if_absent(target: DataFrame, batch: DataFrame, keys, order, null_safe: bool = False) -> DataFrame:
     """B2: add batch rows whose key is not in ``target``; never change an existing row.
 
     Inside the batch the first row per key by ``order`` wins. Applying the same batch twice gives
-    the same table as applying it once.
+    the same table as applying it once if no key holds a NULL, which by default equals nothing (as in SQL, such
+    rows are added each time), or with ``null_safe``, which makes a NULL a value like any other.
     """
     keys = as_list(keys)
     first = pick_one(batch, keys, order, last=False).select(*target.columns)
-    # distinct keys: a key repeated many times in the target is collapsed in each task before the
-    # shuffle, and the join reuses the distinct's partitioning
-    new = first.join(target.select(*keys).distinct(), on=keys, how="left_anti")
-    return target.unionByName(new)
+    return target.unionByName(without_keys(first, target, keys, null_safe))
 
 
 def insert_batch_once(target: DataFrame, batch: DataFrame, sentinel: dict) -> DataFrame:
@@ -136,8 +146,8 @@ def sync_diff(src: DataFrame, dst: DataFrame, keys, compare_cols) -> DataFrame:
                     *[F.col(f"src_{c}") for c in compare_cols], *[F.col(f"dst_{c}") for c in compare_cols])
 
 
-def sync_apply(src: DataFrame, dst: DataFrame, keys) -> DataFrame:
-    """The target after a sync: source rows win, target-only rows stay. Idempotent."""
+def sync_apply(src: DataFrame, dst: DataFrame, keys, null_safe: bool = False) -> DataFrame:
+    """The target after a sync: source rows win, target-only rows stay. Idempotent if no key holds a NULL (it
+    equals nothing, so such rows of both sides stay), or with ``null_safe``, which makes a NULL a value like any other."""
     keys = as_list(keys)
-    kept = dst.select(*src.columns).join(src.select(*keys).distinct(), on=keys, how="left_anti")
-    return src.unionByName(kept)
+    return src.unionByName(without_keys(dst.select(*src.columns), src, keys, null_safe))

@@ -269,6 +269,10 @@ def q_topic_stream(spark, sf_dir):
 APPS = 16  # a bounded number of applications
 
 
+#: Files an application's log is written in by each write (configuration: about one per few hundred MB).
+APP_FILES = 8
+
+
 def event_log(spark, sf_dir) -> str:
     """Listener event lines of 16 applications under the shared folder: a job per order (failed for status F), a
     task per line item (failed if returned), start and end events, and a broken line per order of status P."""
@@ -298,7 +302,8 @@ def event_log(spark, sf_dir) -> str:
         app("o_orderkey").alias("app"), F.concat(F.lit('{"Event":"SparkListenerJobEnd","Job ID":'), "o_orderkey").alias("value"))
     path = scratch_path(spark, "eventlog")
     lines = jobs.unionByName(tasks).unionByName(start).unionByName(end).unionByName(broken)
-    lines.repartition("app").write.partitionBy("app").option("compression", "gzip").text(path)
+    salt = F.pmod(F.xxhash64("value"), F.lit(APP_FILES))  # an application's log is many files, none one task's work
+    lines.repartition("app", salt).write.partitionBy("app").option("compression", "zstd").text(path)
     return path
 
 

@@ -17,12 +17,12 @@ EVENT_SCHEMA = (
 
 
 # fixed values: compressions Spark can write event logs in but its text source cannot read
-UNREADABLE_SUFFIXES = ("zstd", "zst", "lz4", "lzf", "snappy")
+UNREADABLE_SUFFIXES = ("lz4", "lzf", "snappy")
 UNREADABLE = "Unreadable"
 
 
 def event_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(value, file)``: every line of every event log under ``path`` (plain, gzip or bzip2).
+    """``(value, file)``: every line of every event log under ``path`` (plain, zstd as Spark writes by default, gzip or bzip2).
 
     A log in a compression the text source cannot read raises before any work; only file names are listed
     for that, chosen by a glob.
@@ -50,7 +50,7 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     raw = event_lines(spark, path).where(F.trim("value") != "")
     rolled = F.regexp_extract(F.col("file"), "/eventlog_v2_([^/]+)/[^/]+$", 1)
     partition = F.regexp_extract(F.col("file"), "/app=([^/]+)/[^/]+$", 1)
-    single = F.regexp_extract(F.col("file"), "/([^/]+?)(?:\\.(?:inprogress|gz|bz2))*$", 1)
+    single = F.regexp_extract(F.col("file"), "/([^/]+?)(?:\\.(?:inprogress|gz|bz2|zstd|zst))*$", 1)
     app = F.when(rolled != "", rolled).when(partition != "", partition).otherwise(single)
     e = F.from_json(F.col("value"), EVENT_SCHEMA).alias("e")
     p = raw.select(app.alias("app"), e)

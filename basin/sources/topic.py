@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
 from basin.operators._common import as_list
 
@@ -26,17 +27,31 @@ def encode_records(df: DataFrame, key, value_cols=None) -> DataFrame:
     return df.select(k.alias("key"), F.to_json(F.struct(*vals), JSON_OPTIONS).alias("value"))
 
 
-def decode_records(df: DataFrame, schema, keep=("key",)) -> DataFrame:
-    """A7 decode step: parse ``value`` (string or bytes) with ``schema`` into columns; ``keep`` columns stay."""
+def decode_records(df: DataFrame, schema, keep=("key",), malformed: str | None = None) -> DataFrame:
+    """A7 decode step: parse ``value`` (string or bytes) with ``schema`` into columns; ``keep`` columns stay.
+
+    A null value (a deletion mark) gives a row of NULLs. A value that is no record of the schema does too, with its
+    text in a column named by ``malformed``; without that name it is an error, so no record is lost unseen.
+    """
     kept = [c for c in keep if c in df.columns]
     cols = [F.col(c).cast("string").alias(c) if c == "key" else F.col(c) for c in kept]
-    parsed = F.from_json(F.col("value").cast("string"), schema, JSON_OPTIONS).alias("__v")
-    return df.select(*cols, parsed).select(*kept, "__v.*")
+    text, own = F.col("value").cast("string"), "__malformed"
+    schema = _parse_datatype_string(schema) if isinstance(schema, str) else schema
+    fields = [f.name for f in schema.fields]
+    with_raw = StructType([*schema.fields, StructField(own, StringType())])
+    parsed = F.from_json(text, with_raw, JSON_OPTIONS | {"columnNameOfCorruptRecord": own}).alias("__v")
+    rows = df.select(*cols, parsed).select(*kept, *[F.col(f"__v.`{c}`") for c in fields], F.col(f"__v.{own}"))
+    if malformed:
+        return rows.withColumnRenamed(own, malformed)
+    bad = F.concat(F.lit("not a record of the topic's schema: "), F.substring(own, 1, 200))
+    return rows.filter(F.when(F.col(own).isNotNull(), F.raise_error(bad).cast("boolean")).otherwise(True)).drop(own)
 
 
 def read_topic(spark: SparkSession, servers: str, topic: str, schema, source: str = "kafka",
-               stream: bool = True, options: dict | None = None, source_schema=None) -> DataFrame:
-    """Subscribe to ``topic`` and decode values by ``schema``; ``key`` is kept.
+               stream: bool = True, options: dict | None = None, source_schema=None,
+               malformed: str | None = None) -> DataFrame:
+    """Subscribe to ``topic`` and decode values by ``schema``; ``key`` is kept. Values that cannot be parsed are an
+    error, or go to the column ``malformed`` (see ``decode_records``).
 
     ``source_schema`` is for sources that need one (a file source standing in for a topic reads
     ``key string, value string`` records from ``options['path']``).
@@ -46,7 +61,7 @@ def read_topic(spark: SparkSession, servers: str, topic: str, schema, source: st
     if source_schema is not None:
         r = r.schema(source_schema)
     df = r.options(**(options or {})).load()
-    return decode_records(df, schema)
+    return decode_records(df, schema, malformed=malformed)
 
 
 def write_topic(df: DataFrame, key, servers: str, topic: str, sink: str = "kafka",

@@ -297,6 +297,30 @@ def test_service_health_lists_given_hosts(spark):
     assert out == {(1, "kafka"): "running", (1, "zk"): "absent", (2, "kafka"): "absent", (2, "zk"): "absent"}
 
 
+def test_event_log_written_by_spark_itself(tmp):
+    """A log with Spark's default settings (rolled, zstd), written by another application."""
+    import subprocess
+    import sys
+    code = f"""
+from pyspark.sql import SparkSession
+s = (SparkSession.builder.master("local[1]").appName("logged").config("spark.ui.enabled", "false")
+     .config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", "file:{tmp}/log").getOrCreate())
+s.range(100).repartition(3).count()
+s.stop()"""
+    os.makedirs(f"{tmp}/log")
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, capture_output=True)
+    assert any(f.endswith(".zstd") for _, _, files in os.walk(f"{tmp}/log") for f in files)
+
+
+def test_event_log_of_default_settings_is_read(spark, tmp):
+    from basin.sources.eventlog import read_event_log, run_summary
+    test_event_log_written_by_spark_itself(tmp)
+    events = read_event_log(spark, f"{tmp}/log")
+    got = run_summary(events).collect()
+    assert len(got) == 1 and got[0].app.startswith("local-") and got[0].n_unreadable == 0
+    assert got[0].n_jobs >= 1 and got[0].n_tasks >= 4 and got[0].n_failed_tasks == 0 and got[0].wall_ms > 0
+
+
 def test_event_log_counts_unreadable_lines_and_refuses_unknown_compression(spark, tmp):
     import gzip
 
@@ -311,7 +335,7 @@ def test_event_log_counts_unreadable_lines_and_refuses_unknown_compression(spark
     open(f"{tmp}/log/eventlog_v2_local-2/appstatus_local-2", "w").close()
     got = {r.app: r for r in run_summary(read_event_log(spark, f"{tmp}/log")).collect()}
     assert set(got) == {"local-1", "local-2"} and got["local-1"].n_unreadable == 1 and got["local-1"].n_failed_jobs == 1
-    with open(f"{tmp}/log/local-3.zstd", "w") as f:
+    with open(f"{tmp}/log/local-3.lz4", "w") as f:
         f.write("packed")
     with pytest.raises(ValueError, match="unsupported compression"):
         read_event_log(spark, f"{tmp}/log")

@@ -102,3 +102,26 @@ def test_grep_and_inverted_grep_partition_the_lines(spark, sf_dir):
     every = d.select("doc_id", F.inline(C.numbered_lines("text")))
     assert hit.join(miss, ["doc_id", "line_no"], "inner").count() == 0
     assert same_rows(hit.unionByName(miss), every)
+
+
+def test_null_safe_keys_are_values(spark):
+    table = spark.createDataFrame([(1, "a"), (None, "b")], "k int, v string")
+    batch = spark.createDataFrame([(None, "new"), (2, "c")], "k int, v string")
+    once = B.insert_if_absent(table, batch, "k", "v", null_safe=True)
+    assert sorted(map(tuple, once.collect()), key=repr) == sorted([(1, "a"), (None, "b"), (2, "c")], key=repr)
+    assert sorted(map(tuple, B.insert_if_absent(once, batch, "k", "v", null_safe=True).collect()), key=repr) == sorted(map(tuple, once.collect()), key=repr)
+    synced = B.sync_apply(batch, table, "k", null_safe=True)
+    assert sorted(map(tuple, synced.collect()), key=repr) == sorted([(None, "new"), (2, "c"), (1, "a")], key=repr)
+    assert sorted(map(tuple, B.sync_apply(batch, synced, "k", null_safe=True).collect()), key=repr) == sorted(map(tuple, synced.collect()), key=repr)
+
+
+def test_malformed_records_are_kept_apart_or_raise(spark):
+    import pytest
+
+    from basin.sources.topic import decode_records
+    raw = spark.createDataFrame([("1", '{"a": 1}'), ("2", "{broken"), ("3", None), ("4", '{"a": "x"}')], "key string, value string")
+    got = {r.key: (r.a, r.bad) for r in decode_records(raw, "a int", malformed="bad").collect()}
+    assert got == {"1": (1, None), "2": (None, "{broken"), "3": (None, None), "4": (None, '{"a": "x"}')}
+    with pytest.raises(Exception, match="not a record"):
+        decode_records(raw, "a int").collect()
+    assert decode_records(raw.filter("key IN ('1', '3')"), "a int").count() == 2
