@@ -6,7 +6,11 @@ from pyspark.sql import functions as F
 
 from basin.operators.timejoins import asof_join, interval_join
 from basin.plans import fixtures as X
+from basin.plans import io_queries as IO
 from basin.plans.queries import query
+from basin.session import scratch_path
+from basin.streaming.health import health_transitions
+from basin.streaming.joins import match_streams
 
 
 @query("asof_join", """
@@ -61,3 +65,97 @@ def q_range_join(spark, sf_dir):
     s = X.table(spark, sf_dir, "supplier").select(
         "s_suppkey", (F.col("s_acctbal") - 2).alias("lo"), (F.col("s_acctbal") + F.col("s_suppkey") % 5).alias("hi"))
     return interval_join(c, s, ("c_acctbal", "c_acctbal"), ("lo", "hi"), prefix="").select("c_custkey", "c_acctbal", "s_suppkey")
+
+
+def _files_in_ranges(df, path, key="event_id", n=4):
+    IO._stage_files(df, path, n, key)
+
+
+def _closing(spark, schema):
+    """One row long after all others: it moves the watermark past them."""
+    values = {"event_id": -1, "user_id": -1, "event_type": "__close__", "value": 0.0, "props": "{}"}
+    return spark.range(1).select([F.lit("2100-01-01 00:00:00").cast(f.dataType).alias(f.name) if f.name == "ts"
+                                  else F.lit(values[f.name]).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def _run(stream, base, name):
+    IO._run_available(stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/{name}-ckpt")
+                      .trigger(availableNow=True).start(f"{base}/{name}"))
+
+
+MATCH_SQL = """
+WITH l AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'signup'),
+r AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'signup')
+SELECT l.event_id, l.user_id, l.ts, r.event_id AS other_id, r.ts AS other_ts
+FROM l LEFT JOIN r ON l.user_id = r.user_id AND r.ts BETWEEN l.ts - INTERVAL 30 MINUTE AND l.ts + INTERVAL 6 HOUR"""
+
+
+def _matched(l, r, **lateness):
+    out = match_streams(l.where("event_type = 'signup'").select("event_id", "user_id", "ts"),
+                        r.where("event_type <> 'signup'").select("event_id", "user_id", "ts"), "user_id", "ts", "ts",
+                        "-30 MINUTES", "6 HOURS", how="left", prefix="other_", **lateness)
+    return out.select("event_id", "user_id", "ts", F.col("other_event_id").alias("other_id"), "other_ts")
+
+
+@query("match_streams_batch", MATCH_SQL)
+def q_match_streams_batch(spark, sf_dir):
+    e = X.table(spark, sf_dir, "events")
+    return _matched(e, e)
+
+
+@query("match_streams", MATCH_SQL)
+def q_match_streams(spark, sf_dir):
+    """Socket events with the process events around them, as two streams. Files come in ranges, so rows of both are up to
+    a range late (inside the bound); after a closing row the first day comes again on both sides, and is dropped."""
+    e = X.table(spark, sf_dir, "events")
+    base = scratch_path(spark, "match")
+    _files_in_ranges(e, f"{base}/in")
+    own = IO._stream_session(spark)
+
+    def available():
+        l, r = (own.readStream.schema(e.schema).option("maxFilesPerTrigger", IO.FILES_PER_BATCH).parquet(f"{base}/in") for _ in range(2))
+        l, r = (s.withColumn("event_type", F.when(F.col("event_type") == "__close__", kind).otherwise(F.col("event_type")))
+                for s, kind in ((l, "signup"), (r, "click")))  # the closing row counts on both sides
+        _run(_matched(l, r, left_lateness="12 days", right_lateness="12 days"), base, "out")
+
+    available()
+    _closing(spark, e.schema).write.mode("append").parquet(f"{base}/in")
+    available()
+    first_day = e.select(F.min("ts").alias("m")).scalar() + F.expr("INTERVAL 1 DAY")
+    e.where(F.col("ts") < first_day).write.mode("append").parquet(f"{base}/in")
+    available()
+    return spark.read.parquet(f"{base}/out").where("event_id >= 0")
+
+
+@query("health_transitions", """
+WITH o AS (SELECT user_id AS host, ts, bool_or(event_type = 'signup') AS listens FROM events GROUP BY ALL),
+s AS (SELECT *, max(CASE WHEN listens THEN ts END) OVER w AS heard, lag(ts) OVER h AS prev, lead(ts) OVER h AS next FROM o
+  WINDOW h AS (PARTITION BY host ORDER BY ts), w AS (PARTITION BY host ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT *, lag(heard) OVER (PARTITION BY host ORDER BY ts) AS prev_heard,
+    CASE WHEN ts <= heard + INTERVAL 6 HOUR THEN 'running' ELSE 'no_listener' END AS state FROM s),
+b AS (SELECT *, CASE WHEN prev IS NULL THEN 'absent' WHEN ts <= prev_heard + INTERVAL 6 HOUR THEN 'running'
+    WHEN ts <= prev + INTERVAL 2 DAY THEN 'no_listener' ELSE 'absent' END AS before FROM t)
+SELECT host, ts AS at, state FROM b WHERE state <> before
+UNION ALL SELECT host, heard + INTERVAL 6 HOUR, 'no_listener' FROM b
+  WHERE state = 'running' AND (next IS NULL OR heard + INTERVAL 6 HOUR < next)
+UNION ALL SELECT host, ts + INTERVAL 2 DAY, 'absent' FROM b WHERE next IS NULL OR ts + INTERVAL 2 DAY < next""")
+def q_health_transitions(spark, sf_dir):
+    """Every change of every host's health. Events are observations of a process, sign-ups of a listening socket; files come
+    in ranges (late inside the bound), the query is stopped and started again, and the first day comes late a second time."""
+    e = X.table(spark, sf_dir, "events")
+    base = scratch_path(spark, "health")
+    _files_in_ranges(e, f"{base}/in")
+    own = IO._stream_session(spark)
+
+    def available():
+        s = own.readStream.schema(e.schema).option("maxFilesPerTrigger", IO.FILES_PER_BATCH).parquet(f"{base}/in")
+        s = s.withColumn("listens", F.col("event_type") == "signup")
+        _run(health_transitions(s, "user_id", "ts", "listens", "6 HOURS", "2 DAYS", "12 days"), base, "out")
+
+    available()
+    _closing(spark, e.schema).write.mode("append").parquet(f"{base}/in")
+    available()
+    first_day = e.select(F.min("ts").alias("m")).scalar() + F.expr("INTERVAL 1 DAY")
+    e.where(F.col("ts") < first_day).write.mode("append").parquet(f"{base}/in")
+    available()
+    return spark.read.parquet(f"{base}/out").where("user_id >= 0").withColumnRenamed("user_id", "host")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from basin.plans import io_queries, time_queries  # noqa: F401
+from basin.plans import io_queries, order_queries, time_queries  # noqa: F401
 from basin.plans.queries import ORACLE, QUERIES
 from tests.oracle_check import compare, duck
 

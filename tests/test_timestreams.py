@@ -1,0 +1,104 @@
+"""Stream joins and health transitions: small streams with restarts, late and repeated rows, nulls, against loops."""
+
+import datetime as dt
+import random
+
+import pytest
+
+from basin.plans.io_queries import _run_available, _stream_session
+from basin.streaming.health import health_transitions
+from basin.streaming.joins import match_streams
+
+T0 = dt.datetime(2024, 1, 1)
+
+
+def at(minute):
+    return None if minute is None else T0 + dt.timedelta(minutes=minute)
+
+
+def drain(make, source, base, n_files=1):
+    """Run a stream over the files there are, to their end."""
+    out = make(source.option("maxFilesPerTrigger", n_files))
+    _run_available(out.writeStream.format("parquet").option("checkpointLocation", f"{base}/ckpt")
+                   .trigger(availableNow=True).start(f"{base}/out"))
+
+
+def transitions(obs, quiet, gone):
+    """Minute by minute: the states a host is in, as a list of changes."""
+    out = []
+    for host in {h for h, _, _ in obs if h is not None}:
+        mine = {}
+        for h, t, listens in obs:
+            if h == host and t is not None:
+                mine[t] = mine.get(t, False) or bool(listens)
+        state = "absent"
+        for now in [x / 2 for x in range(0, 2 * (max(mine) + gone + 3))]:  # half minutes tell an end from what follows it
+            heard = max((t for t, l in mine.items() if l and t <= now), default=None)
+            seen = max((t for t in mine if t <= now), default=None)
+            new = ("running" if heard is not None and now <= heard + quiet else
+                   "no_listener" if seen is not None and now <= seen + gone else "absent")
+            if new != state:
+                out.append((host, at(int(now)), new))
+                state = new
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_transitions_equal_a_loop_over_restarts(spark, tmp, seed):
+    rng = random.Random(seed)
+    obs = [(rng.choice([1, 1, 1, 2, 3]), t, rng.random() < 0.3) for t in sorted(rng.choices(range(300), k=60))]
+    obs += [(1, obs[0][1], True), (None, 5, True), (2, None, True)]
+    schema = "host long, ts timestamp, listens boolean"
+    own = _stream_session(spark)
+    make = lambda r: health_transitions(r.schema(schema).parquet(f"{tmp}/in"), "host", "ts", "listens", "7 MINUTES", "20 MINUTES", "6 HOURS")
+    # four files, each shuffled and up to a file late; a closing row; the first rows once more, too late
+    parts = [obs[i::4] for i in range(4)] + [[(9, 100_000, None)], obs[:10]]
+    for part in parts:
+        spark.createDataFrame([(h, at(t), l) for h, t, l in part], schema).coalesce(1).write.mode("append").parquet(f"{tmp}/in")
+        drain(make, own.readStream, tmp)  # a start for each file: state comes from the checkpoint
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp}/out").where("host <> 9").collect()))
+    assert got == transitions(obs, 7, 20)
+
+
+def test_health_needs_a_stream_and_sensible_times(spark):
+    df = spark.createDataFrame([(1, T0, True)], "host long, ts timestamp, listens boolean")
+    with pytest.raises(ValueError):
+        health_transitions(df, "host", "ts", "listens", "1 HOUR", "2 HOURS", "1 HOUR")
+
+
+def test_matches_equal_a_loop_batch_and_stream(spark, tmp):
+    rng = random.Random(4)
+    side = lambda n: [(rng.choice(["a", "b", None]), rng.choice([None, *range(100)]), i) for i in range(n)]
+    l, r = side(60), side(60)
+    schema = "k string, t timestamp, v long"
+    frame = lambda rows: spark.createDataFrame([(k, at(t), v) for k, t, v in rows], schema)
+    want = []
+    for k, t, v in l:
+        hits = [y for y in r if None not in (k, t, y[1]) and y[0] == k and t - 2 <= y[1] <= t + 10]
+        want += [(k, at(t), v, y[0], at(y[1]), y[2]) for y in hits] or [(k, at(t), v, None, None, None)]
+    run = lambda a, b, how, **late: match_streams(a, b, "k", "t", "t", "-2 MINUTES", "10 MINUTES", how=how, **late)
+    key = lambda rows: sorted(map(tuple, rows), key=repr)
+    assert key(run(frame(l), frame(r), "left").collect()) == key(want)
+    assert key(run(frame(l), frame(r), "inner").collect()) == key([x for x in want if x[3]])
+
+    own = _stream_session(spark)
+    late = {"left_lateness": "3 HOURS", "right_lateness": "3 HOURS"}
+    make = lambda _: run(own.readStream.schema(schema).parquet(f"{tmp}/l"), own.readStream.schema(schema).parquet(f"{tmp}/r"), "left", **late)
+    for i in range(3):  # both sides in any order
+        frame(l[i::3]).coalesce(1).write.mode("append").parquet(f"{tmp}/l")
+        frame(r[i::3]).coalesce(1).write.mode("append").parquet(f"{tmp}/r")
+        drain(make, own.readStream, tmp)
+    for name in "lr":
+        frame([("end", 100_000, -1)]).coalesce(1).write.mode("append").parquet(f"{tmp}/{name}")
+    drain(make, own.readStream, tmp)
+    frame(l[:20]).coalesce(1).write.mode("append").parquet(f"{tmp}/l")  # too late now
+    drain(make, own.readStream, tmp)
+    got = spark.read.parquet(f"{tmp}/out").where("v >= 0").collect()
+    assert key(got) == key([x for x in want if x[1] is not None])  # a row without a time cannot enter a stream's state
+
+
+def test_stream_joins_need_lateness_on_both_sides(spark):
+    s = spark.readStream.format("rate").load().selectExpr("value AS k", "timestamp AS t")
+    for a, b, late in ((s, s, {"left_lateness": "1 HOUR"}), (s, spark.range(1).selectExpr("id AS k", "current_timestamp() AS t"), {})):
+        with pytest.raises(ValueError):
+            match_streams(a, b, "k", "t", "t", "0 HOURS", "1 HOUR", **late)
