@@ -172,27 +172,11 @@ class PrefixCounter:
         return np.concatenate(parts)
 
     def count(self, text: str, budget: int) -> tuple[int, int]:
-        """The text's token count, and the length of its longest prefix of at most ``budget`` tokens.
-
-        Counts of whole pieces tell how far the prefix can reach; the table of every prefix is laid
-        out up to there only.
-        """
-        n, reach, chars = 0, None, 0
-        for ordinary, special in self._segments(text):
-            if ordinary:
-                _, lens, totals = self._rows(self.pieces(ordinary))
-                if reach is None and n + int(totals.sum()) > budget:
-                    ends = np.cumsum(lens)
-                    k = int(np.searchsorted(np.cumsum(totals), budget - n, "right"))
-                    reach = chars + int(ends[min(k + 4, len(ends) - 1)])
-                n += int(totals.sum())
-            chars += len(ordinary) + len(special)
-            n += bool(special)
-            if reach is None and n > budget:
-                reach = chars
-        if reach is None:
-            return n, len(text)
-        return n, int(np.flatnonzero(self.prefix_counts(text[:reach]) <= budget)[-1])
+        """The text's token count, and the length of its longest prefix of at most ``budget`` tokens, both read off the
+        table of every prefix."""
+        counts = self.prefix_counts(text)
+        within = len(counts) - 1 if counts.max() <= budget else int(np.flatnonzero(counts <= budget)[-1])
+        return int(counts[-1]), within
 
 
 class _Tables(dict):
