@@ -96,7 +96,8 @@ def usable(vector: str) -> Column:
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector: str = "embedding",
                     label: str = "label", block: int = BLOCK) -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
-    rows = vectors.select(F.col(id_col).alias("_id"), F.col(vector).cast("array<double>").alias("_v"),
+    single = vectors.schema[vector].dataType.simpleString() == "array<float>"  # exact in double, half the bytes on the way
+    rows = vectors.select(F.col(id_col).alias("_id"), F.col(vector).cast("array<float>" if single else "array<double>").alias("_v"),
                           F.col(label).alias("_label"))
     rows = rows.withColumn("_ok", usable("_v") & F.col("_label").isNotNull() & F.col("_id").isNotNull())
     classes = stored(rows.filter("_ok").groupBy("_label", "_v").agg(
@@ -106,7 +107,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
                            F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
     dims = [r.d for r in classes.select(F.size("_v").alias("d")).distinct().collect()]  # lengths, not vectors
     tables = max(tables_needed(d, threshold) for d in dims)
-    found = stored(_links(classes, threshold, tables, block), "vector-links")
+    found = stored(_links(classes, dims, threshold, tables, block), "vector-links")
     degree = found.groupBy("c").agg(F.sum("links").alias("links"))
     reach = components(found.select(F.col("c").alias("a"), F.col("root").alias("b")))
     least = classes.select("_class", "_copies", "_label", "_v").join(degree, F.col("_class") == F.col("c"), "left").join(
@@ -120,35 +121,40 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _links(classes, threshold, tables, block):
+def _links(classes, dims, threshold, tables, block):
     """(c, links, root): verified links of each class, counted, and the smallest class it meets."""
     probes = 1 + ROTATIONS
     kind = classes.schema["_class"].dataType.simpleString()
+    vector_kind = classes.schema["_v"].dataType.simpleString()
+    axes = 2 << max(0, (max(dims) - 1).bit_length())
+    small = axes ** ROTATIONS < 2 ** 31  # codes go along with every vector that is sent
+    code_kind, code_type = (pa.int32(), "int") if small else (pa.int64(), "bigint")
 
     def hashed(batches):
         for b in batches:
             x = _matrix(b.column("_v"))
             for rows in _by_length(x):
                 m = np.stack([x[i] for i in rows])
-                codes = pa.array(_buckets(m, tables).reshape(len(rows), -1).tolist(), pa.list_(pa.int64()))
+                codes = pa.array(_buckets(m.astype(float), tables).reshape(len(rows), -1).tolist(), pa.list_(code_kind))
                 at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in ("_class", "_copies", "_label", "_v")),
                                                   codes], ["_class", "_copies", "_label", "_v", "codes"])
 
     label_kind = classes.schema["_label"].dataType.simpleString()
     rows = stored(classes.select("_class", "_copies", "_label", "_v").mapInArrow(
-        hashed, f"_class {kind}, _copies bigint, _label {label_kind}, _v array<double>, codes array<bigint>"), "vector-codes")
+        hashed, f"_class {kind}, _copies bigint, _label {label_kind}, _v {vector_kind}, codes array<{code_type}>"), "vector-codes")
     keys = ["_label", "dim", "table", "bucket"]
-    spread = rows.withColumn("dim", F.size("_v")).select(
-        "_class", "_copies", "_label", "dim", "_v", "codes", F.posexplode("codes").alias("at", "bucket")).withColumn(
+    spread = rows.select("_class", "_label", F.size("_v").alias("dim"), F.posexplode("codes").alias("at", "bucket")).withColumn(
         "table", F.floor(F.col("at") / probes).cast("int")).drop("at")
     sizes = spread.groupBy(*keys).agg(F.count("*").alias("size")).filter("size > 1")
     sizes = sizes.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     own = F.pmod(F.xxhash64("_class"), F.col("blocks")).cast("int")
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    grouped = spread.join(sizes, keys).withColumn("own", own).withColumn("other", F.explode(other)).select(
-        "_class", "_copies", "_v", "codes", *keys, "own",
-        F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    # ids meet first; a vector is sent only to the buckets that hold another one
+    met = spread.join(sizes, keys).withColumn("own", own).withColumn("other", F.explode(other)).select(
+        F.col("_class").alias("_id"), *keys, "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    grouped = met.join(rows.select("_class", "_copies", "_v", "codes"), F.col("_id") == F.col("_class")).select(
+        "_class", "_copies", "_v", "codes", *keys, "own", "lo", "hi")
 
     def verify(batches):
         for key, part in _groups(batches, [*keys, "lo", "hi"]):
@@ -202,7 +208,7 @@ def _verified(part, table, probes, threshold, lo, hi):
     if part.num_rows < 2:
         return None
     ids, copies = part["_class"].to_numpy(), part["_copies"].to_numpy()
-    x = np.stack([v.values.to_numpy(zero_copy_only=False) for v in part["_v"]])
+    x = np.stack([v.values.to_numpy(zero_copy_only=False) for v in part["_v"]]).astype(float)
     codes = np.stack([v.values.to_numpy(zero_copy_only=False) for v in part["codes"]]).reshape(len(ids), -1, probes)
     bucket, own = part["bucket"][0].as_py(), part["own"].to_numpy()
     ids, first = np.unique(ids, return_index=True)  # a class may reach a bucket by two probes
@@ -228,7 +234,7 @@ def _verified(part, table, probes, threshold, lo, hi):
             for p in range(probes):
                 keep &= ~(u[:, p, None] == v).any(1)
         u, v = codes[i, table], codes[j, table]
-        common = np.where((u[:, :, None] == v[:, None, :]).any(2), u, np.iinfo(np.int64).max)
+        common = np.where((u[:, :, None] == v[:, None, :]).any(2), u, np.iinfo(u.dtype).max)
         keep &= common.min(1) == bucket
     a, b = a[mine], b[mine]
     if not len(a):

@@ -10,8 +10,8 @@ total of each domain, sum_d n_d r_d p_dk, matches its target T_k:
 By projected gradient with lazy projection: the gradient of a rate is n_d sum_k p_dk (total_k - T_k) / M_k, a
 combination of the document's posteriors, so the steps of all documents add up in one vector v with a number for each
 domain, and the rates are the projection of the moved ones to zero and more: r_d = max(0, 1 + sum_k p_dk v_k). A step is taken in the
-metric of the K x K Gram matrix of the documents with a rate above zero (a plain gradient step needs thousands where
-domains overlap, and so does one that projects each step by itself: measured, README), as far as the line search along v allows. It is one
+metric of the K x K Gram matrix of the documents with a rate above zero, as far as the line search along v allows (a form
+that projects each step by itself had not ended after 80 steps of two sums where this one takes 16 sums). It is one
 map-side combined sum of the domains' totals and the Gram matrix, the only things that reach the driver. Of the rates that
 reach the targets these are the nearest to one (token-weighted squares). A rate depends on its document's
 posteriors only, so documents are first added up by equal posteriors; posteriors are rounded to four decimals.
