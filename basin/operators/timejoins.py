@@ -10,21 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basin.operators._common import all_of, as_list
-from basin.session import scratch_path
+from basin.operators._common import all_of, as_list, stored
 
 #: Rows of one side in a grid cell from which on the cell is split, and the most cells that can be split.
 HOT_ROWS = 50_000
 HOT_CELLS = 10_000
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written under the shared scratch folder: evaluated once, whoever reads it how often."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, by=None, right_by=None, strict: bool = False,
               tolerance: Column | None = None, prefix: str = "right_", slices: int | None = None) -> DataFrame:
     """Every left row with the latest right row of its key that is not later.
@@ -56,7 +48,7 @@ def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, by
     both = ls.unionByName(rs).withColumn("__salt", F.when(F.col("__side") == 1, F.xxhash64("__l")))
     order = [*keys, "__t", "__side", "__r", "__salt"]
     ranged = both.repartitionByRange(*order) if slices is None else both.repartitionByRange(slices, *order)
-    sliced = _stored(ranged.withColumn("__slice", F.spark_partition_id()), "asof")
+    sliced = stored(ranged.withColumn("__slice", F.spark_partition_id()), "asof")
     place = F.struct(*[F.col(c) for c in [*keys, "__t", "__r"]])
     carried = Window.partitionBy("__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     within = sliced.withColumn("__own", F.last(F.when(F.col("__r").isNotNull(), place), ignorenulls=True).over(carried))

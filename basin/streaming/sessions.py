@@ -1,11 +1,10 @@
 """Session windows on batch data without sending a whole key to one task.
 
 Spark's batch ``session_window`` shuffles every event of a key to one task before merging. Here
-the events are range-sorted by (keys, ts), so a key with a third of all events spans many
-partitions; each task builds the sessions of its own sorted slice (over Arrow batches,
-carrying the open session from batch to batch); only the first and last session of every
-partition can continue in a neighbouring partition, and those (at most two per partition) are
-merged with a window over the keys. Semantics equal ``session_window``: an event more than
+the events are range-sorted by keys and time into slices, so a key with a third of all events spans many.
+A window over the slice tells where sessions start; whether a slice's first event continues a session of an earlier
+slice follows from that one's last event, one row for each slice. Events are then added up per session, in each task
+first. Semantics equal ``session_window``: an event more than
 ``gap`` after the previous one starts a new session; the session ends ``gap`` after its last event.
 """
 
@@ -15,10 +14,8 @@ import re
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from basin.operators._common import as_list
-from basin.session import checkpoint_dir
+from basin.operators._common import all_of, as_list, stored
 
 # fixed values: interval units accepted in gap strings, in microseconds
 _UNITS_US = {"microsecond": 1, "millisecond": 1000, "second": 1_000_000, "minute": 60_000_000,
@@ -42,114 +39,42 @@ def interval_micros(text: str) -> int:
     return total
 
 
-def _partial_sessions(keys, gap_us):
-    """The per-partition step, on Arrow columns, so keys of any type keep their exact values. Everything it
-    uses is defined or imported inside, so the function is shipped to Python workers by value and needs no
-    basin installation there."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        carry = None  # the open session: (one-row table of keys, start, last, n, total, whether a value is known)
-        emitted = 0
-
-        def same(a, b):
-            """Equal, both NULL or both NaN, element by element."""
-            eq = pc.fill_null(pc.equal(a, b), False)
-            eq = pc.or_(eq, pc.and_(pc.is_null(a), pc.is_null(b)))
-            if pa.types.is_floating(a.type):
-                eq = pc.or_(eq, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
-            return eq.to_numpy(zero_copy_only=False)
-
-        def finish(heads, start, last, n, total, some, ts_type, tail):
-            nonlocal emitted
-            head = np.zeros(len(n), bool)
-            if emitted == 0 and len(n):
-                head[0] = True
-            emitted += len(n)
-            cols = [*heads.columns, pa.array(start).cast(ts_type), pa.array(last).cast(ts_type),
-                    pa.array(n, pa.int64()), pa.array(total, pa.float64(), mask=~some),
-                    pa.array(np.full(len(n), pid), pa.int32()), pa.array(head), pa.array(np.full(len(n), tail))]
-            names = [*keys, "start", "last", "n", "total", "pid", "head", "tail"]
-            yield from pa.Table.from_arrays(cols, names=names).to_batches()
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch]).combine_chunks()
-            rows, ts_type = t.num_rows, t["__ts"].type
-            ts = t["__ts"].chunk(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
-            new = np.ones(rows, bool)
-            new[1:] = np.diff(ts) > gap_us
-            for k in keys:
-                c = t[k].chunk(0)
-                new[1:] |= ~same(c.slice(0, rows - 1), c.slice(1))
-            at = np.flatnonzero(new)
-            ends = np.append(at[1:], rows)
-            start, last, n = ts[at], ts[ends - 1], ends - at
-            heads = t.select(keys).take(pa.array(at))
-            if "__v" in t.column_names:
-                v = t["__v"].chunk(0)
-                known = v.is_valid().to_numpy(zero_copy_only=False)
-                total = np.add.reduceat(np.where(known, v.fill_null(0.0).to_numpy(zero_copy_only=False), 0.0), at)
-                some = np.add.reduceat(known.astype(np.int64), at) > 0
-            else:
-                total, some = np.zeros(len(at)), np.zeros(len(at), bool)
-            if carry is not None:
-                goes_on = start[0] - carry[2][0] <= gap_us and all(
-                    same(carry[0][k].combine_chunks(), heads[k].combine_chunks().slice(0, 1))[0]
-                    for k in keys)
-                if goes_on:
-                    start[0], n[0] = carry[1][0], n[0] + carry[3][0]
-                    total[0], some[0] = total[0] + carry[4][0], some[0] | carry[5][0]
-                else:
-                    yield from finish(*carry, ts_type, False)
-            if len(at) > 1:
-                yield from finish(heads.slice(0, len(at) - 1), start[:-1], last[:-1], n[:-1], total[:-1], some[:-1],
-                                  ts_type, False)
-            carry = (heads.slice(len(at) - 1), start[-1:].copy(), last[-1:], n[-1:].copy(), total[-1:].copy(),
-                     some[-1:].copy())
-        if carry is not None:
-            yield from finish(*carry, ts_type, True)
-
-    return run
-
-
 def session_windows(df: DataFrame, ts: str, keys, gap: str, value: str | None = None) -> DataFrame:
-    """Batch session windows per ``keys``: keys, ``window_start``, ``window_end``, ``n`` [, ``total``]."""
+    """Batch session windows per ``keys``: keys, ``window_start``, ``window_end``, ``n`` [, ``total``].
+
+    NULL is a key of its own; events without a time are in no session. Slices and the sessions within them are
+    written under the shared scratch folder: two evaluations of a range shuffle may draw different bounds.
+    """
     keys = as_list(keys)
-    gap_us = interval_micros(gap)
-    ts_type = df.schema[ts].dataType
-    cols = [F.col(k) for k in keys] + [F.col(ts).alias("__ts")]
-    if value is not None:
-        cols.append(F.col(value).cast("double").alias("__v"))
-    events = df.select(*cols).where(F.col("__ts").isNotNull())
-    ordered = events.orderBy(*[F.col(k) for k in keys], F.col("__ts"))
-    fields = [df.schema[k] for k in keys] + [
-        T.StructField("start", ts_type), T.StructField("last", ts_type), T.StructField("n", T.LongType()),
-        T.StructField("total", T.DoubleType()), T.StructField("pid", T.IntegerType()),
-        T.StructField("head", T.BooleanType()), T.StructField("tail", T.BooleanType())]
-    partial = ordered.mapInArrow(_partial_sessions(keys, gap_us), T.StructType(fields))
-    # the interior and edge sessions below must come from one evaluation (two evaluations of a range
-    # shuffle may draw different bounds): store the partial sessions once in the checkpoint folder
-    checkpoint_dir(df.sparkSession)
-    partial = partial.checkpoint(eager=True)
-    gap_expr = F.expr(f"INTERVAL '{gap_us}' MICROSECOND")
-    edge = partial.where(F.col("head") | F.col("tail"))
-    inner = partial.where(~F.col("head") & ~F.col("tail"))
-    w = Window.partitionBy(*keys).orderBy("start", "pid")
-    prev_last = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    starts = F.when(prev_last.isNull() | (F.col("start") > prev_last + gap_expr), 1).otherwise(0)
-    edge = edge.withColumn("__new", starts).withColumn(
-        "__sid", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = edge.groupBy(*keys, "__sid").agg(F.min("start").alias("start"), F.max("last").alias("last"),
-                                              F.sum("n").alias("n"), F.sum("total").alias("total"))
-    cols_out = [F.col(k) for k in keys] + [F.col("start").alias("window_start"),
-                                           (F.col("last") + gap_expr).alias("window_end"), F.col("n")]
-    if value is not None:
-        cols_out.append(F.col("total"))
-    return inner.select(*cols_out).unionByName(merged.select(*cols_out))
+    names = [f"__k{i}" for i in range(len(keys))]
+    gap_expr = F.expr(f"INTERVAL '{interval_micros(gap)}' MICROSECOND")
+    total = F.col(value).cast("double") if value is not None else F.lit(None).cast("double")
+    events = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(ts).alias("__ts"), total.alias("__v"),
+                       F.monotonically_increasing_id().alias("__salt")).where(F.col("__ts").isNotNull())
+    order = [*names, "__ts", "__salt"]  # the last spreads events that are equal in all else
+    sliced = stored(events.repartitionByRange(*order).withColumn("__slice", F.spark_partition_id()), "sessions")
+    place = F.struct(*names, "__ts")
+    earlier = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(per_slice):
+        """Of each slice the last ``x`` of the slices before it: as many rows as partitions."""
+        return F.broadcast(per_slice.select(F.col("__slice").alias("__at"), F.last("x", ignorenulls=True).over(earlier).alias("__before")))
+
+    within = Window.partitionBy("__slice").orderBy(*order)
+    last_events = carried(sliced.groupBy("__slice").agg(F.max(place).alias("x")))
+    placed = sliced.withColumn("__own", F.lag(place).over(within)).join(last_events, F.col("__slice") == F.col("__at")).withColumn(
+        "__prev", F.coalesce("__own", "__before"))
+    goes_on = all_of([F.col(n).eqNullSafe(F.col(f"__prev.{n}")) for n in names]) & (F.col("__ts") <= F.col("__prev.__ts") + gap_expr)
+    started = F.last(F.when(F.col("__prev").isNull() | ~goes_on, F.col("__ts")), ignorenulls=True).over(
+        within.rowsBetween(Window.unboundedPreceding, 0))
+    parts = stored(placed.withColumn("__start", started).groupBy("__slice", *names, "__start").agg(
+        F.max("__ts").alias("__last"), F.count("*").alias("__n"), F.sum("__v").alias("__total")), "sessions-parts")
+    # events before a slice's first start belong to the session that started last before the slice
+    last_starts = carried(parts.groupBy("__slice").agg(F.max(F.when(F.col("__start").isNotNull(), F.struct(*names, "__start"))).alias("x")))
+    whole = parts.join(last_starts, F.col("__slice") == F.col("__at")).withColumn(
+        "__start", F.coalesce("__start", "__before.__start"))
+    sessions = whole.groupBy(*names, "__start").agg(F.max("__last").alias("__last"), F.sum("__n").alias("__n"),
+                                                    F.sum("__total").alias("__total"))
+    out = [F.col(n).alias(k) for n, k in zip(names, keys)] + [
+        F.col("__start").alias("window_start"), (F.col("__last") + gap_expr).alias("window_end"), F.col("__n").alias("n")]
+    return sessions.select(*out, *([F.col("__total").alias("total")] if value is not None else []))

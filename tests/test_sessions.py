@@ -59,3 +59,17 @@ def test_session_totals_of_null_and_nan_values(spark):
     df = spark.createDataFrame(rows, "u string, s long, v double").select("u", F.timestamp_seconds("s").alias("ts"), "v")
     got = {r.u: r.total for r in session_windows(df, "ts", "u", "10 minutes", "v").collect()}
     assert got["a"] is None and got["b"] != got["b"] and got["c"] == 2.0
+
+
+def test_sessions_over_many_slices_equal_one(spark):
+    """Slices cut sessions at every place: more slices than keys, one session over all of them, equal times."""
+    df = spark.range(400).selectExpr("CAST(id % 2 AS STRING) AS u", "timestamp_seconds(id DIV 4 * IF(id % 2 = 0, 60, 700)) AS ts", "1.0D AS v")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small data would be one slice
+    try:
+        got = rows(session_windows(df, "ts", "u", "10 minutes", "v"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert got == rows(spark_sessions(df, "10 minutes")) and len(got) == 101
+    plan = session_windows(df, "ts", "u", "10 minutes")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "MapInArrow" not in plan
