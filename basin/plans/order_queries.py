@@ -15,6 +15,7 @@ from basin.plans.line_functions import register_line_functions
 from basin.plans.queries import query
 from basin.session import scratch_path
 from basin.sources.catalog import publish_table
+from basin.sources.settings import register_settings
 
 
 @query("install_order", """
@@ -111,3 +112,17 @@ def q_line_functions(spark, sf_dir):
                min_by(word_field(g.line, 2), g.line_no) AS second_word
         FROM documents d, LATERAL grep_lines(d.text, :digits) g
         WHERE count_matching_lines(g.line, '^#') = 0 GROUP BY d.lang, d.doc_id""", args={"digits": "[0-9]"})
+
+
+@query("settings_source", """
+SELECT o_orderkey % 8 AS shard, o_custkey || '.' || o_orderkey AS key, o_orderstatus AS value FROM orders""")
+def q_settings_source(spark, sf_dir):
+    """Settings files read through the data source: a line for each order, comments between them."""
+    o = X.table(spark, sf_dir, "orders")
+    path = scratch_path(spark, "settings")
+    line = F.concat("o_custkey", F.lit("."), "o_orderkey", F.lit(' = "'), "o_orderstatus", F.lit('"'))
+    lines = F.explode(F.array(F.concat(F.lit("# "), "o_orderpriority", F.lit("=x")), line)).alias("value")
+    o.select(lines, (F.col("o_orderkey") % 8).alias("shard")).write.partitionBy("shard").text(path)
+    register_settings(spark)
+    shard = F.regexp_extract("file", "shard=([0-9]+)", 1).cast("long")
+    return spark.read.format("settings").load(path).select(shard.alias("shard"), "key", "value")
