@@ -303,7 +303,7 @@ def event_log(spark, sf_dir) -> str:
     path = scratch_path(spark, "eventlog")
     lines = jobs.unionByName(tasks).unionByName(start).unionByName(end).unionByName(broken)
     salt = F.pmod(F.xxhash64("value"), F.lit(APP_FILES))  # an application's log is many files, none one task's work
-    lines.repartition("app", salt).write.partitionBy("app").option("compression", "gzip").text(path)
+    lines.repartition("app", salt).write.partitionBy("app").text(path)
     return path
 
 
