@@ -37,7 +37,8 @@ def ci_join(a: DataFrame, b: DataFrame, on: str, kind: str = "lcase", how: str =
     return a.join(b, on=cond, how=how)
 
 
-def collated_sort(df: DataFrame, col: str, kind: str = "binary", rank: str | None = None) -> DataFrame:
+def collated_sort(df: DataFrame, col: str, kind: str = "binary", rank: str | None = None,
+                  slices: int | None = None) -> DataFrame:
     """Order rows by ``col`` under ``kind``, ties broken by the binary value, so the order is total.
 
     Returns the sorted DataFrame, or with ``rank`` a 1-based position column (computed without a
@@ -46,7 +47,7 @@ def collated_sort(df: DataFrame, col: str, kind: str = "binary", rank: str | Non
     keys = [collated(col, kind), binary(col)]
     if rank is None:
         return df.orderBy(*keys)
-    return dense_index(df, order=keys, base=1, name=rank)
+    return dense_index(df, order=keys, base=1, name=rank, slices=slices)
 
 
 def length_guard(df: DataFrame, limits: dict, truncate: bool = False) -> DataFrame:

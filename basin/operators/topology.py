@@ -41,9 +41,9 @@ def assign_roles(items: DataFrame, roles, ordinal: str = "ordinal", role: str =
     return items.join(r, on=ordinal, how="left")
 
 
-def assign_ids(df: DataFrame, group, order, base: int = 1, name: str = "id") -> DataFrame:
+def assign_ids(df: DataFrame, group, order, base: int = 1, name: str = "id", slices: int | None = None) -> DataFrame:
     """D3: consecutive ids per group in ``order``, starting at ``base`` (1 for broker ids, 0 for suffixes)."""
-    return dense_index(df, order=order, group=group, base=base, name=name)
+    return dense_index(df, order=order, group=group, base=base, name=name, slices=slices)
 
 
 def join_list(df: DataFrame, group, order, item, sep: str = ",", suffix: str = "", name: str = "list") -> DataFrame:

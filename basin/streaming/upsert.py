@@ -1,28 +1,20 @@
-"""Keyed upserts from a stream into a versioned, bucketed table -- without MERGE.
-
-Layout under ``target``:
-  ``_table/``                         one row: the bucket count the table was made with
-  ``data/basin_version=<v>/basin_bucket=<b>/``  rows of bucket ``b`` as written by version ``v``
-  ``_commits/``                       one row ``(stream_id, batch_id, basin_version, basin_bucket)`` per bucket rewritten
-
-A row's bucket is ``pmod(xxhash64(keys), buckets)``. Each micro-batch is collapsed to the last row
-per key, stored once, and only the buckets it touches are rewritten, with source-wins semantics, as a
-new version. The commit rows are appended only after the data is written, so a crash leaves the previous
-version current. The current table is every bucket at its newest committed version: a semi join
-with the commit table (at most ``buckets`` rows, so it is broadcast safely) lets dynamic partition
-pruning skip older versions.
-
-A batch is skipped only if the same stream (one checkpoint) committed the same batch id before, so a query
-started with a new checkpoint, or a second stream, writes the same table. Only one stream may write at a
-time. NULL keys are keys like any other (matched null-safely). The bucket count is fixed when the table
-is made; another one is refused. Versions that no bucket needs any more are removed one batch
-later, so a reader that planned before a commit still finds its files.
+"""Keyed upserts from a stream into a partitioned table -- without MERGE.
+
+The table is plain Parquet partitioned by ``basin_bucket_of_<n>`` = ``pmod(xxhash64(keys), n)``. Each micro-batch is
+collapsed to the last row per key; the buckets it touches are rewritten, with source-wins semantics, by Spark's
+dynamic partition overwrite. Applying a batch twice gives the same table, so a replayed batch is harmless.
+
+An overwrite moves bucket after bucket, so the new buckets are first written whole to ``_pending`` beside them (a
+folder Spark's reader passes over). If a crash ends the move half-way, the next batch, whichever stream brings it,
+moves them again before it reads the table.
+
+Only one stream may write at a time, and a reader that planned before a batch may find its files gone and has to read
+again. NULL keys are keys like any other (matched null-safely). The bucket count is part of the partition column's
+name and fixed with the first batch; another one is refused. Empty batches change nothing.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,107 +22,63 @@ from basin.operators._common import all_of, as_list
 from basin.operators.dispositions import last_wins
 
 DEFAULT_BUCKETS = 64
-VERSION, BUCKET = "basin_version", "basin_bucket"
+BUCKET = "basin_bucket_of_"
 #: Tasks that write one bucket of a batch, so a hot bucket is not one task's work.
 SALTS = 4
-COMMITS = f"stream_id STRING, batch_id BIGINT, {VERSION} BIGINT, {BUCKET} INT"
 
 
-def _root(target: str) -> str:
-    return target.rstrip("/")
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    """The parquet files at ``path``, or None before the first write."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return None
-    return spark.read.schema(schema).parquet(path)
+def _exists(spark: SparkSession, pattern: str) -> bool:
+    fs, p = _path(spark, pattern)
+    return bool(fs.globStatus(p))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def bucket_of(keys, buckets: int):
-    return F.pmod(F.xxhash64(*[F.col(k) for k in as_list(keys)]), F.lit(buckets)).cast("int")
-
-
-def table_buckets(spark: SparkSession, target: str) -> int | None:
-    """The bucket count of the table, None before it is made."""
-    meta = _read(spark, f"{_root(target)}/_table", "buckets INT")
-    row = meta.first() if meta is not None else None
-    return row.buckets if row else None
-
-
-def current_versions(spark: SparkSession, target: str) -> DataFrame | None:
-    """``(basin_bucket, basin_version)``: the newest committed version of every bucket (at most ``buckets`` rows)."""
-    c = _read(spark, f"{_root(target)}/_commits", COMMITS)
-    return None if c is None else c.groupBy(BUCKET).agg(F.max(VERSION).alias(VERSION))
-
-
-def latest_version(spark: SparkSession, target: str) -> int | None:
-    """The newest committed version, or None (one aggregate over the small commit table)."""
-    c = _read(spark, f"{_root(target)}/_commits", COMMITS)
-    return None if c is None else c.agg(F.max(VERSION).alias("m")).first()["m"]
-
-
-def read_upserted(spark: SparkSession, target: str, buckets: DataFrame | None = None) -> DataFrame | None:
-    """The table as of the newest committed versions (optionally only some ``buckets``)."""
-    cur = current_versions(spark, target)
-    if cur is None:
-        return None
-    if buckets is not None:
-        cur = cur.join(buckets, BUCKET, "left_semi")
-    data = spark.read.parquet(f"{_root(target)}/data")
-    # the version list has at most one row per bucket: a proven bound, so broadcasting it is safe
-    return data.join(F.broadcast(cur), [VERSION, BUCKET], "left_semi").drop(VERSION, BUCKET)
-
-
-def remove_old_versions(spark: SparkSession, target: str, before: int) -> None:
-    """Delete the versions that no bucket was at any more as of version ``before``."""
-    c = _read(spark, f"{_root(target)}/_commits", COMMITS).where(F.col(VERSION) <= before)
-    kept = c.groupBy(BUCKET).agg(F.max(VERSION).alias(VERSION))
-    old = c.select(VERSION).distinct().join(kept, VERSION, "left_anti").collect()  # version numbers
-    for r in old:
-        _delete(spark, f"{_root(target)}/data/{VERSION}={r[VERSION]}")
-
-
-def apply_batch(batch: DataFrame, batch_id: int, keys, order, target: str, buckets: int = DEFAULT_BUCKETS,
-                stream_id: str = "batch") -> bool:
-    """Apply one micro-batch; returns False when this stream committed this batch id before."""
-    spark, root, keys = batch.sparkSession, _root(target), as_list(keys)
-    made = table_buckets(spark, target)
-    if made is None:
-        spark.createDataFrame([(buckets,)], "buckets INT").coalesce(1).write.mode("overwrite").parquet(f"{root}/_table")
-    elif made != buckets:
-        raise ValueError(f"the table at {root} has {made} buckets, not {buckets}; rewrite it to change the count")
-    commits = _read(spark, f"{root}/_commits", COMMITS)
-    if commits is not None and not commits.where(
-            (F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id)).isEmpty():
-        return False
-    newest = latest_version(spark, target)
-    version = 0 if newest is None else newest + 1
-    staged = f"{root}/_staged/{uuid.uuid4().hex}"  # the collapsed batch, evaluated once
-    last_wins(batch, keys, as_list(order)).withColumn(BUCKET, bucket_of(keys, buckets)).write.parquet(staged)
-    latest = spark.read.parquet(staged)
-    touched = latest.select(BUCKET).distinct()
-    new, prev = latest, read_upserted(spark, target, buckets=touched)
-    if prev is not None:
+def _table(spark: SparkSession, target: str) -> DataFrame | None:
+    return spark.read.parquet(target) if _exists(spark, f"{target}/{BUCKET}*") else None
+
+
+def _move_in(spark: SparkSession, target: str) -> None:
+    """Overwrite the buckets of a ``_pending`` that was written to its end, then drop it."""
+    pending = f"{target}/_pending"
+    if _exists(spark, f"{pending}/_SUCCESS"):
+        new = spark.read.parquet(pending)
+        (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(new.columns[-1]).parquet(target))
+    fs, p = _path(spark, pending)
+    fs.delete(p, True)
+
+
+def read_upserted(spark: SparkSession, target: str) -> DataFrame | None:
+    """The table's rows, None before the first batch."""
+    table = _table(spark, target.rstrip("/"))
+    return None if table is None else table.drop(table.columns[-1])
+
+
+def apply_batch(batch: DataFrame, keys, order, target: str, buckets: int = DEFAULT_BUCKETS) -> None:
+    """Apply one micro-batch: its last row per key replaces the table's row of that key."""
+    spark, target, keys, bucket = batch.sparkSession, target.rstrip("/"), as_list(keys), f"{BUCKET}{buckets}"
+    _move_in(spark, target)
+    if batch.isEmpty():
+        return
+    table = _table(spark, target)
+    if table is not None and table.columns[-1] != bucket:
+        raise ValueError(f"the table at {target} has {table.columns[-1][len(BUCKET):]} buckets, not {buckets}; "
+                         "rewrite it to change the count")
+    number = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
+    new = latest = last_wins(batch, keys, as_list(order)).withColumn(bucket, number)
+    if table is not None:
+        touched = latest.select(bucket).distinct()  # at most ``buckets`` rows: a proven bound for the broadcast
         changed = latest.select(*[F.col(k).alias(f"__{k}") for k in keys])
-        kept = prev.join(changed, all_of([F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left_anti")
-        new = latest.unionByName(kept.withColumn(BUCKET, bucket_of(keys, buckets)))
+        kept = table.join(F.broadcast(touched), bucket, "left_semi").select(latest.columns).join(
+            changed, all_of([F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left_anti")
+        new = latest.unionByName(kept)
     salt = F.pmod(F.xxhash64(*keys, F.lit(1)), F.lit(SALTS))
-    (new.repartition(F.col(BUCKET), salt).sortWithinPartitions(BUCKET).write.mode("overwrite").partitionBy(BUCKET)
-     .parquet(f"{root}/data/{VERSION}={version}"))
-    (touched.select(F.lit(stream_id).alias("stream_id"), F.lit(batch_id).cast("long").alias("batch_id"),
-                    F.lit(version).cast("long").alias(VERSION), BUCKET)
-     .coalesce(1).write.mode("append").parquet(f"{root}/_commits"))
-    _delete(spark, staged)
-    if newest is not None:
-        remove_old_versions(spark, target, newest)
-    return True
+    new.repartition(F.col(bucket), salt).write.mode("overwrite").partitionBy(bucket).parquet(f"{target}/_pending")
+    _move_in(spark, target)
 
 
 def upsert_stream(df: DataFrame, keys, order, target: str, checkpoint: str, trigger: dict | None = None,
@@ -140,12 +88,8 @@ def upsert_stream(df: DataFrame, keys, order, target: str, checkpoint: str, trig
     ``buckets`` is fixed with the first batch; choose it for the size the table will have (about one bucket
     per few GB). Returns the StreamingQuery; ``read_upserted(spark, target)`` reads it.
     """
-    def write(batch, batch_id):
-        # the id kept in the checkpoint: a new checkpoint is a new stream and counts batches anew
-        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        apply_batch(batch, batch_id, keys, order, target, buckets, stream_id=stream or checkpoint)
-
-    w = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = df.writeStream.foreachBatch(lambda batch, _: apply_batch(batch, keys, order, target, buckets))
+    w = w.option("checkpointLocation", checkpoint)
     if trigger:
         w = w.trigger(**trigger)
     return w.start()

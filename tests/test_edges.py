@@ -211,6 +211,20 @@ def test_assign_ids_dense_under_a_hot_group(spark):
     assert out.where("g > 0").agg(F.max("id")).first()[0] == 1
 
 
+def test_ties_of_a_hot_name_spread_over_slices(spark):
+    from basin.operators.ordering import _sliced
+    rows = [("hot", i, {"m": i}) for i in range(3000)] + [(f"n{i}", i, None) for i in range(200)] + [("hot", 1, None)] * 3
+    df = spark.createDataFrame(rows, "name string, `a.b` long, m map<string, int>").repartition(8)
+    for slices in (1, 64):
+        got = [(r["name"], r["pos"]) for r in G.collated_sort(df, "name", rank="pos", slices=slices).orderBy("pos").collect()]
+        assert [p for _, p in got] == list(range(1, 3204)) and [n for n, _ in got] == sorted(r[0] for r in rows)
+    ids = D.assign_ids(df, "name", F.lit(0), slices=64).where("name = 'hot'")
+    assert sorted(r["id"] for r in ids.collect()) == list(range(1, 3004))
+    # the rows of the hot name lie in many slices, none of which holds a tenth of them
+    tagged = _sliced(df, [], ["name"], 64)[0].where("name = 'hot'").groupBy("__slice").count()
+    assert tagged.count() > 30 and tagged.agg(F.max("count")).first()[0] < 300
+
+
 def test_assign_roles_list_and_table(spark):
     items = D.explode_list(spark.createDataFrame([("c", "h1,h2,h3,")], "owner string, list string"), "list")
     assert [r["item"] for r in items.orderBy("ordinal").collect()] == ["h1", "h2", "h3"]

@@ -64,12 +64,12 @@ def test_upsert_stream_is_replay_safe(spark, tmp):
     q.awaitTermination()
     first = read_upserted(spark, f"{tmp}/t")
     assert first.count() == o.count()
-    # the same batch id again (a replay after a crash) is skipped
-    stream = spark.read.parquet(f"{tmp}/t/_commits").first()["stream_id"]
-    assert apply_batch(o.withColumn("v", F.lit(0.0)), 0, "k", "ver", f"{tmp}/t", stream_id=stream) is False
-    assert read_upserted(spark, f"{tmp}/t").where("v = 0").count() == 0
+    # the same batch again (a replay after a crash) changes nothing
+    apply_batch(o, "k", "ver", f"{tmp}/t")
+    assert read_upserted(spark, f"{tmp}/t").exceptAll(o).count() == 0
+    assert read_upserted(spark, f"{tmp}/t").count() == o.count()
     # a new batch applies: source rows win, others stay
-    assert apply_batch(o.where("k < 10").withColumn("v", F.lit(0.0)), 1, "k", "ver", f"{tmp}/t") is True
+    apply_batch(o.where("k < 10").withColumn("v", F.lit(0.0)), "k", "ver", f"{tmp}/t")
     assert read_upserted(spark, f"{tmp}/t").where("v = 0").count() == 10
     assert read_upserted(spark, f"{tmp}/t").count() == o.count()
 
@@ -127,27 +127,60 @@ def _batch(spark, lo, hi, v):
 
 
 def test_upsert_after_a_restart_with_a_new_checkpoint(spark, tmp):
-    for i, (lo, stream) in enumerate(((0, "one"), (100, "one"), (200, "two"))):
-        assert apply_batch(_batch(spark, lo, lo + 100, 1.0), i if stream == "one" else 0, "k", "ver", f"{tmp}/t", 8, stream)
-    assert read_upserted(spark, f"{tmp}/t").count() == 300
+    _batch(spark, 0, 100, 1.0).write.parquet(f"{tmp}/in")
+    s = spark.readStream.schema("k long, v double, ver int").parquet(f"{tmp}/in")
+    for i in range(3):  # every checkpoint delivers all files again
+        _batch(spark, 100 * i, 100 * i + 150, 2.0 + i).write.mode("append").parquet(f"{tmp}/in")
+        upsert_stream(s, "k", "ver", f"{tmp}/t", f"{tmp}/ck{i}", {"availableNow": True}, 8).awaitTermination()
+        got = read_upserted(spark, f"{tmp}/t")
+        assert got.count() == got.select("k").distinct().count() == 100 * i + 150
 
 
 def test_upsert_refuses_another_bucket_count(spark, tmp):
     import pytest
-    apply_batch(_batch(spark, 0, 1000, 1.0), 0, "k", "ver", f"{tmp}/t", 8)
+    apply_batch(_batch(spark, 0, 1000, 1.0), "k", "ver", f"{tmp}/t", 8)
     with pytest.raises(ValueError, match="8 buckets"):
-        apply_batch(_batch(spark, 0, 10, 2.0), 1, "k", "ver", f"{tmp}/t", 16)
-    assert apply_batch(_batch(spark, 0, 10, 2.0), 1, "k", "ver", f"{tmp}/t", 8)
+        apply_batch(_batch(spark, 0, 10, 2.0), "k", "ver", f"{tmp}/t", 16)
+    apply_batch(_batch(spark, 0, 10, 2.0), "k", "ver", f"{tmp}/t", 8)
     assert read_upserted(spark, f"{tmp}/t").select("k").distinct().count() == 1000 == read_upserted(spark, f"{tmp}/t").count()
 
 
-def test_upsert_matches_null_keys_and_removes_old_versions(spark, tmp):
-    import os
+def test_upsert_matches_null_keys_and_takes_empty_batches(spark, tmp):
     batch = spark.createDataFrame([(None, 1.0, 1), (5, 2.0, 1)], "k long, v double, ver int")
+    apply_batch(batch.where("false"), "k", "ver", f"{tmp}/t", 8)
+    assert read_upserted(spark, f"{tmp}/t") is None
     for i in range(4):
-        assert apply_batch(batch, i, "k", "ver", f"{tmp}/t", 8)
-    assert read_upserted(spark, f"{tmp}/t").count() == 2
-    assert len([d for d in os.listdir(f"{tmp}/t/data") if d.startswith("basin_version")]) == 2
+        apply_batch(batch.withColumn("v", F.col("v") + i), "k", "ver", f"{tmp}/t", 8)
+        apply_batch(batch.where("false"), "k", "ver", f"{tmp}/t", 8)
+    assert sorted(r.v for r in read_upserted(spark, f"{tmp}/t").collect()) == [4.0, 5.0]
+    assert not os.path.exists(f"{tmp}/t/_pending")
+
+
+def test_upsert_ends_a_move_that_a_crash_cut_short(spark, tmp, monkeypatch):
+    """After the crash some buckets are gone and the rest is old; the next batch first moves the pending ones in."""
+    import pytest
+    import shutil
+    from basin.streaming import upsert
+    apply_batch(_batch(spark, 0, 1000, 1.0), "k", "ver", f"{tmp}/t", 8)
+    move = upsert._move_in
+
+    def crash(session, target):
+        if os.path.exists(f"{target}/_pending"):
+            shutil.rmtree(f"{target}/basin_bucket_of_8=3")
+            raise RuntimeError("lost")
+        move(session, target)
+
+    monkeypatch.setattr(upsert, "_move_in", crash)
+    with pytest.raises(RuntimeError, match="lost"):
+        apply_batch(_batch(spark, 500, 1500, 2.0), "k", "ver", f"{tmp}/t", 8)
+    monkeypatch.setattr(upsert, "_move_in", move)
+    apply_batch(_batch(spark, 1400, 1600, 3.0), "k", "ver", f"{tmp}/t", 8)
+    got = {r.k: r.v for r in read_upserted(spark, f"{tmp}/t").collect()}
+    assert got == {k: 1.0 if k < 500 else 2.0 if k < 1400 else 3.0 for k in range(1600)}
+    # a pending folder that was not written to its end is dropped
+    os.makedirs(f"{tmp}/t/_pending/basin_bucket_of_8=1")
+    apply_batch(_batch(spark, 0, 1, 9.0), "k", "ver", f"{tmp}/t", 8)
+    assert read_upserted(spark, f"{tmp}/t").count() == 1600
 
 
 def test_a_stream_without_lateness_is_refused(spark, tmp):
