@@ -84,9 +84,9 @@ def _bytes(ids) -> bytes:
 class _Words(dict):
     """Word -> its ids as bytes. Words outside the shared table are encoded when first met."""
 
-    def __init__(self, shared, tokenizer):
+    def __init__(self, shared, tokenizer, plain):
         super().__init__(shared)
-        self.shared, self.tokenizer, self.limit = shared, tokenizer, len(shared) + 100_000
+        self.shared, self.tokenizer, self.plain, self.limit = shared, tokenizer, plain, len(shared) + 100_000
         self[""] = b""
 
     def __missing__(self, word):
@@ -94,11 +94,11 @@ class _Words(dict):
             self.clear()
             self.update(self.shared)
             self[""] = b""
-        got = self[word] = self._known(word) or _bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        got = self[word] = self.plain and self._known(word) or _bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
         return got
 
     def _known(self, word):
-        """Stops and commas after a Latin letter are a piece of their own; case does not matter."""
+        """Ids from those of the word without case, stops and commas, where ``parts_are_plain`` holds."""
         base = word.rstrip(".,")
         tail = word[len(base):]
         if not base.isascii() or not base[-1:].isalpha() or "<|" in base:
@@ -109,6 +109,18 @@ class _Words(dict):
         return head + self[tail] if tail else head
 
 
+def parts_are_plain(tokenizer_json: str) -> bool:
+    """True if the tokenizer is known to lower-case its text and to cut stops and commas off a letter before them, so
+    that a word's ids follow from those of its parts. Read from the normalizer and the first pre-tokenizer."""
+    conf = json.loads(tokenizer_json)
+    normalizer, splitter = conf["normalizer"] or {}, conf["pre_tokenizer"] or {}
+    normal = [n["type"] for n in normalizer.get("normalizers", [normalizer]) if n]
+    first = (splitter.get("pretokenizers") or [splitter])[0]
+    classes = first.get("pattern", {}).get("Regex", "").split("|") if first.get("type") == "Split" else []
+    return ("Lowercase" in normal and {"[\\p{L}]+", "[^\\s\\p{L}\\p{N}]+"} <= set(classes)
+            and all(t["content"].startswith("<|") for t in conf["added_tokens"]))
+
+
 def _encoder(docs, tokenizer_json, id_col, text_col, table_words):
     """The task's step from (id, text) batches to (id, ids) batches, with the word table at hand."""
     sc = docs.sparkSession.sparkContext
@@ -116,12 +128,13 @@ def _encoder(docs, tokenizer_json, id_col, text_col, table_words):
     table = word_table(frequent(counts, table_words), tokenizer_json)
     shared = sc.broadcast({r.word: bytes(r.ids) for r in table.collect()})  # at most table_words rows
     spec = sc.broadcast(tokenizer_json)
+    plain = parts_are_plain(tokenizer_json)
 
     def run(batches):
         words = None
         for batch in batches:
             keys, texts, at = batch.column(0), batch.column(1), 0
-            words = words or _Words(shared.value, _tokenizer(spec))
+            words = words or _Words(shared.value, _tokenizer(spec), plain)
             while at < batch.num_rows:
                 rows, size, start = [], 0, at
                 while at < batch.num_rows and size < CHARS_PER_SLICE:

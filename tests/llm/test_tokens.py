@@ -1,6 +1,7 @@
 """BPE and token counts against the public tokenizers, prefix by prefix."""
 
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -57,6 +58,25 @@ def test_bpe_equals_the_library_whatever_the_table(spark, table_words):
     assert rows(decoded) == sorted(want, key=repr)
 
 
+def other_tokenizers():
+    """A vocabulary that keeps case, and one that leaves stops and commas at their words."""
+    cased, joined = (json.loads(queries.vocabulary("word_bpe_49k.json")) for _ in range(2))
+    cased["normalizer"]["normalizers"] = [n for n in cased["normalizer"]["normalizers"] if n["type"] != "Lowercase"]
+    joined["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[^\s]+"
+    return json.dumps(cased), json.dumps(joined)
+
+
+@pytest.mark.parametrize("table_words", [100_000, 3])
+@pytest.mark.parametrize("spec", other_tokenizers(), ids=["cased", "joined"])
+def test_bpe_of_other_tokenizers_whatever_the_table(spark, spec, table_words):
+    assert bpe.parts_are_plain(queries.vocabulary("word_bpe_49k.json")) and not bpe.parts_are_plain(spec)
+    texts = TEXTS[:60] + ["the The THE. The, the the, the. The.,", "The the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    word = Tokenizer.from_str(spec)
+    got = {r.doc_id: r.ids for r in bpe.encode(docs, spec, table_words=table_words).collect()}
+    assert got == {i: word.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
 def test_bpe_empty_table_and_digests(spark):
     spec = queries.vocabulary("word_bpe_49k.json")
     docs = odd_documents(spark)
