@@ -197,6 +197,25 @@ def test_nearest_recall_and_exact_scores(spark, sf_dir):
     assert np.mean(recalls) >= 0.9
 
 
+@pytest.mark.parametrize("n, most", [(500, 0.9), (2000, 0.65), (8000, 0.5)])
+def test_nearest_recall_and_share_scored_without_direction(n, most):
+    """Uniform directions, the worst case: recall holds while the share of the rows scored falls with their number."""
+    x = np.random.default_rng(3).normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = ann._candidates(x, x[:60], ann.WANTED * n ** -ann.FALL, ann.TREES, ann.TREES * 21)
+    scores = x[:60] @ x.T
+    scores[np.arange(60), np.arange(60)] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, :20]
+    assert np.take_along_axis(found, best, 1).mean() >= 0.9 and found.mean() <= most
+
+
+def test_nearest_fills_k_on_small_tables(spark):
+    x = np.random.default_rng(4).normal(size=(25, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 5 == 0, k=20).groupBy("query_id").count().collect()
+    assert {(r["query_id"], r["count"]) for r in got} == {(i, 20) for i in range(0, 25, 5)}
+
+
 def test_nearest_odd_rows(spark):
     df = with_extra_columns(odd_vectors(spark))
     got = ann.nearest(df, F.col("vec_id") % 20 == 0, k=3, reach=100.0)
