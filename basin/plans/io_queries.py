@@ -15,7 +15,7 @@ from basin.operators import dispositions as B
 from basin.plans import fixtures as X
 from basin.plans.jobs import sql_job
 from basin.plans.queries import ORACLE, query
-from basin.session import scratch_path
+from basin.session import DEFAULT_CONF, scratch_path
 from basin.sources import catalog as A
 from basin.sources.config import read_property_xml, write_property_xml
 from basin.sources.eventlog import read_event_log, run_summary
@@ -145,15 +145,16 @@ def _stage_files(df, path, n_writes: int, key: str) -> None:
 STATE_PARTITIONS, FILES_PER_BATCH = 8, 4
 
 
-def _stream_session(spark):
+def _stream_session(spark, rocksdb: bool = False):
     """A session of its own for a stream: its state partition count is fixed at the first start, and the
-    caller's settings stay as they are."""
+    caller's settings stay as they are. ``rocksdb``: state in RocksDB whatever the caller's setting is, for
+    streams that need it."""
     own = spark.newSession()
     own.conf.set("spark.sql.shuffle.partitions", str(STATE_PARTITIONS))
     own.conf.set("spark.sql.session.timeZone", "UTC")
     for key in ("spark.sql.streaming.stateStore.providerClass",
                 "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"):
-        value = spark.conf.get(key, None)
+        value = DEFAULT_CONF[key] if rocksdb else spark.conf.get(key, None)
         if value is not None:
             own.conf.set(key, value)
     return own

@@ -145,7 +145,7 @@ def q_health_transitions(spark, sf_dir):
     e = X.table(spark, sf_dir, "events")
     base = scratch_path(spark, "health")
     _files_in_ranges(e, f"{base}/in")
-    own = IO._stream_session(spark)
+    own = IO._stream_session(spark, rocksdb=True)  # transformWithState needs it
 
     def available():
         s = own.readStream.schema(e.schema).option("maxFilesPerTrigger", IO.FILES_PER_BATCH).parquet(f"{base}/in")

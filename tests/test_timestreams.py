@@ -66,6 +66,20 @@ def test_health_needs_a_stream_and_sensible_times(spark):
         health_transitions(df, "host", "ts", "listens", "1 HOUR", "2 HOURS", "1 HOUR")
 
 
+def test_health_query_brings_its_state_store(spark, tmp):
+    from basin.plans.time_queries import q_health_transitions
+    rows = [(i, T0 + dt.timedelta(hours=h), u, kind, 1.0, "{}") for i, (h, u, kind) in enumerate(
+        [(0, 1, "signup"), (1, 2, "click"), (5, 1, "click"), (8, 1, "view"), (100, 2, "signup")])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string") \
+        .coalesce(1).write.parquet(f"{tmp}/events.parquet")
+    plain = spark.newSession()  # as a session that says nothing of state stores
+    plain.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    got = sorted((r.host, (r.at - T0) / dt.timedelta(hours=1), r.state) for r in q_health_transitions(plain, tmp).collect())
+    assert got == [(1, 0, "running"), (1, 6, "no_listener"), (1, 56, "absent"), (2, 1, "no_listener"), (2, 49, "absent"),
+                   (2, 100, "running"), (2, 106, "no_listener"), (2, 148, "absent")]
+
+
 def test_matches_equal_a_loop_batch_and_stream(spark, tmp):
     rng = random.Random(4)
     side = lambda n: [(rng.choice(["a", "b", None]), rng.choice([None, *range(100)]), i) for i in range(n)]
