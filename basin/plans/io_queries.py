@@ -270,14 +270,16 @@ def q_topic_stream(spark, sf_dir):
 APPS = 16  # a bounded number of applications
 
 
-#: Files an application's log is written in by each write (configuration: about one per few hundred MB).
-APP_FILES = 8
-
-
 def event_log(spark, sf_dir) -> str:
     """Listener event lines of 16 applications under the shared folder: a job per order (failed for status F), a
-    task per line item (failed if returned), start and end events, and a broken line per order of status P."""
-    o, l = X.table(spark, sf_dir, "orders"), X.table(spark, sf_dir, "lineitem")
+    task per line item (failed if returned), start and end events, and a broken line per order of status P.
+
+    Each task of the write keeps a gzip file open for every application, so lines are neither shuffled nor sorted
+    and an application's log is as many files as the tables have splits."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.maxConcurrentOutputFileWriters", str(2 * APPS))
+    o, l = X.table(own, sf_dir, "orders"), X.table(own, sf_dir, "lineitem")
     ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
     app = lambda k: F.concat(F.lit("app-"), F.pmod(F.col(k), F.lit(APPS)).cast("string"))
     line = lambda name, **cols: F.to_json(F.struct(F.lit(name).alias("Event"), *[
@@ -303,8 +305,7 @@ def event_log(spark, sf_dir) -> str:
         app("o_orderkey").alias("app"), F.concat(F.lit('{"Event":"SparkListenerJobEnd","Job ID":'), "o_orderkey").alias("value"))
     path = scratch_path(spark, "eventlog")
     lines = jobs.unionByName(tasks).unionByName(start).unionByName(end).unionByName(broken)
-    salt = F.pmod(F.xxhash64("value"), F.lit(APP_FILES))  # an application's log is many files, none one task's work
-    lines.repartition("app", salt).write.partitionBy("app").text(path)
+    lines.write.partitionBy("app").option("zlib.compress.level", "BEST_SPEED").text(path, compression="gzip")
     return path
 
 

@@ -355,6 +355,22 @@ def test_event_log_counts_unreadable_lines_and_refuses_unknown_compression(spark
         read_event_log(spark, f"{tmp}/log")
 
 
+def test_event_log_fixture_is_packed_and_not_shuffled(spark, tmp):
+    from datetime import datetime
+
+    from basin.plans.io_queries import event_log
+    d = datetime(1995, 1, 2)
+    spark.createDataFrame([(1, d, "F"), (17, d, "P"), (2, d, "O")], "o_orderkey long, o_orderdate timestamp_ntz, o_orderstatus string") \
+        .coalesce(1).write.parquet(f"{tmp}/orders.parquet")
+    spark.createDataFrame([(1, n, 3, 4, 5.0, 6.5, "R", d) for n in range(3)], (
+        "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, "
+        "l_returnflag string, l_shipdate timestamp_ntz")).coalesce(1).write.parquet(f"{tmp}/lineitem.parquet")
+    path = event_log(spark, tmp).removeprefix("file:")
+    parts = [(os.path.basename(at), f) for at, _, files in os.walk(path) for f in files if f.startswith("part-")]
+    assert {at for at, _ in parts} == {"app=app-1", "app=app-2"} and all(f.endswith(".gz") for _, f in parts)
+    assert len({f for at, f in parts if at == "app=app-1"}) >= 4  # jobs, tasks, ends and broken lines: each where it was read
+
+
 def test_landing_round_trips_without_options(spark, tmp):
     from datetime import datetime
     rows = [(1, "a\nb\n", datetime(2020, 1, 2, 3, 4, 5, 678901)), (2, 'q"u,o\\te', None), (3, "", None), (4, None, None), (5, " x ", None)]
