@@ -35,7 +35,7 @@ def event_lines(spark: SparkSession, path: str) -> DataFrame:
                          "spark.eventLog.compress=false for the application")
     file = F.col("_metadata.file_path")
     return (spark.read.option("recursiveFileLookup", "true").text(path)
-            .where(~F.regexp_extract(file, "([^/]*)$", 1).startswith("appstatus"))
+            .where(~F.substring_index(file, "/", -1).startswith("appstatus"))
             .select(F.col("value"), file.alias("file")))
 
 
@@ -48,10 +48,11 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     lines are skipped.
     """
     raw = event_lines(spark, path).where(F.trim("value") != "")
-    rolled = F.regexp_extract(F.col("file"), "/eventlog_v2_([^/]+)/[^/]+$", 1)
-    partition = F.regexp_extract(F.col("file"), "/app=([^/]+)/[^/]+$", 1)
-    single = F.regexp_extract(F.col("file"), "/([^/]+?)(?:\\.(?:inprogress|gz|bz2|zstd|zst))*$", 1)
-    app = F.when(rolled != "", rolled).when(partition != "", partition).otherwise(single)
+    # cut by separators, as this is done for every line: a pattern over the path costs more than parsing the line
+    name, folder = (F.substring_index(F.substring_index("file", "/", -n), "/", 1) for n in (1, 2))
+    after = lambda prefix: F.when(folder.startswith(prefix), F.nullif(F.substring(folder, len(prefix) + 1, 1 << 30), F.lit("")))
+    single = F.regexp_extract(name, "^([^/]+?)(?:\\.(?:inprogress|gz|bz2|zstd|zst))*$", 1)
+    app = F.coalesce(after("eventlog_v2_"), after("app="), single)
     e = F.from_json(F.col("value"), EVENT_SCHEMA).alias("e")
     p = raw.select(app.alias("app"), e)
     return p.select(

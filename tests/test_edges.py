@@ -371,6 +371,21 @@ def test_event_log_fixture_is_packed_and_not_shuffled(spark, tmp):
     assert len({f for at, f in parts if at == "app=app-1"}) >= 4  # jobs, tasks, ends and broken lines: each where it was read
 
 
+def test_event_log_paths_are_read_without_patterns_on_every_line(spark, tmp):
+    from basin.sources.eventlog import read_event_log
+    job = '{"Event":"SparkListenerJobEnd","Job ID":1}\n'
+    places = {"local-1": "local-1", "local-2.inprogress": "local-2", "app=x/y": "x", "app=/z": "z", "eventlog_v2_r/events_1_r": "r",
+              "eventlog_v2_/s.inprogress": "s", "eventlog_v2_q/app=p/o": "p"}
+    for place in places:
+        os.makedirs(os.path.dirname(f"{tmp}/log/{place}"), exist_ok=True)
+        with open(f"{tmp}/log/{place}", "w") as f:
+            f.write(job)
+    events = read_event_log(spark, f"{tmp}/log")
+    assert sorted(r.app for r in events.collect()) == sorted(places.values())
+    plan = events._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 1  # the suffixes of a single file's name
+
+
 def test_landing_round_trips_without_options(spark, tmp):
     from datetime import datetime
     rows = [(1, "a\nb\n", datetime(2020, 1, 2, 3, 4, 5, 678901)), (2, 'q"u,o\\te', None), (3, "", None), (4, None, None), (5, " x ", None)]
