@@ -4,8 +4,9 @@ Texts are cut into pre-tokens by the tokenizer's split pattern; no merge crosses
 the distinct pre-tokens of a block of its texts and writes down each text's numbers in order, that
 is, its pre-tokens by position. The blocks' distinct words are exploded and shuffled by word, so
 equal words of all blocks lie next to each other and each is encoded once; its ids go back to every
-(block, number) that asked, and a block's texts are put together by position. Decoding joins ids to
-the table of token bytes.
+(block, number) that asked, and a block's texts are put together by position. Decoding looks each id
+up in the array of token bytes in Spark's own expressions, so no second Python worker stands beside
+the one that puts texts together.
 
 Blocks are written in buckets of their number, so only words and their ids are shuffled, never
 positions or texts. A word comes once from each block, however frequent it is, so no word is hot;
@@ -33,7 +34,7 @@ from basin.llm._common import pack, stored_by, unpack, worker_cache
 #: A block is closed after this many characters or distinct words (about 100 bytes each in the task).
 BLOCK_CHARS = 32_000_000
 BLOCK_WORDS = 600_000
-#: Encoded words of a task that are sorted by block at once, and words put together or decoded at once.
+#: Encoded words of a task that are sorted by block at once, and positions packed or put together at once.
 PACK_ROWS = 200_000
 WORDS_PER_SLICE = 500_000
 
@@ -69,50 +70,55 @@ def explicit(pattern: str) -> str:
 def word_blocks(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col: str = "text",
                 block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(block, ids, sizes, codes, words), a row for each block of texts: the texts' ids and numbers of
-    pre-tokens, the number of each pre-token in order (packed), and the distinct words by number."""
+    pre-tokens, the number of each pre-token in order (packed in slices), and the distinct words by number."""
     split = explicit(pattern)
 
     def run(batches):
         from pyspark import TaskContext
         find, task = re.compile(split).findall, TaskContext.get().partitionId()
-        open_block = lambda: (defaultdict(), [], [], [])
-        number, keys, sizes, codes = open_block()
+        open_block = lambda: (defaultdict(), [], [], [], [])
+        number, keys, sizes, codes, waiting = open_block()
         number.default_factory = number.__len__
-        chars, n = 0, 0
+        chars, pending, n = 0, 0, 0
         for batch in batches:
             start = 0
             for at in range(batch.num_rows):
                 text = batch.column(1)[at].as_py() or ""
                 words = find(text)
-                codes.append(np.fromiter(map(number.__getitem__, words), "<u4", len(words)))
+                waiting.append(np.fromiter(map(number.__getitem__, words), "<u4", len(words)))
                 sizes.append(len(words))
-                chars += len(text) + 1
+                chars, pending = chars + len(text) + 1, pending + len(words)
+                if pending >= WORDS_PER_SLICE:
+                    codes.append(np.concatenate(waiting))
+                    waiting, pending = [], 0
                 full = chars >= block_chars or len(number) >= BLOCK_WORDS
                 if full or at + 1 == batch.num_rows:  # a copy: a slice would hold the batch's texts
                     keys.append(batch.column(0).take(pa.array(np.arange(start, at + 1))))
                     start = at + 1
                 if full:
-                    yield _block(task << 32 | n, number, keys, sizes, codes)
-                    number, keys, sizes, codes = open_block()
+                    yield _block(task << 32 | n, number, keys, sizes, codes, waiting)
+                    number, keys, sizes, codes, waiting = open_block()
                     number.default_factory = number.__len__
-                    chars, n = 0, n + 1
+                    chars, pending, n = 0, 0, n + 1
         if keys:
-            yield _block(task << 32 | n, number, keys, sizes, codes)
+            yield _block(task << 32 | n, number, keys, sizes, codes, waiting)
 
-    def _block(block, number, keys, sizes, codes):
-        codes = np.concatenate(codes)
-        by_count = np.argsort(-np.bincount(codes, minlength=len(number)), kind="stable")  # small numbers for common words
+    def _block(block, number, keys, sizes, codes, waiting):
+        codes.append(np.concatenate([np.zeros(0, "<u4"), *waiting]))
+        counts = sum(np.bincount(part, minlength=len(number)) for part in codes)
+        by_count = np.argsort(-counts, kind="stable")  # small numbers for common words
         rank = np.empty(len(number), np.uint32)
         rank[by_count] = np.arange(len(number), dtype=np.uint32)
         words = pa.array(list(number), pa.string()).take(pa.array(by_count))
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         return pa.RecordBatch.from_arrays(
             [pa.array([block], pa.int64()), one(pa.concat_arrays(keys)), one(pa.array(sizes, pa.int32())),
-             pa.array([pack(rank[codes])], pa.binary()), one(words)], ["block", "ids", "sizes", "codes", "words"])
+             one(pa.array([pack(rank[part]) for part in codes], pa.binary())), one(words)],
+            ["block", "ids", "sizes", "codes", "words"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(
-        run, f"block bigint, ids array<{kind}>, sizes array<int>, codes binary, words array<string>")
+        run, f"block bigint, ids array<{kind}>, sizes array<int>, codes array<binary>, words array<string>")
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -172,6 +178,29 @@ def _gather(values, starts, sizes):
     return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
 
 
+def _binaries(packed):
+    """The elements of a list of binaries, one at a time."""
+    return (v.as_py() for v in packed.values)
+
+
+def _text_slices(codes, sizes):
+    """(first text, end, its codes): ``codes`` comes in any slices; texts come whole, as many as a slice holds."""
+    ends, held, first, at = np.cumsum(sizes, dtype=np.int64), np.zeros(0, "<u4"), 0, 0
+    waiting, n = [], 0
+    for part in codes:
+        waiting.append(part)
+        n += len(part)
+        if n < WORDS_PER_SLICE:
+            continue
+        last = int(np.searchsorted(ends, at + n, "right"))
+        if last > first:
+            held, used = np.concatenate(waiting), int(ends[last - 1]) - at
+            yield first, last, held[:used]
+            waiting, n, first, at = [held[used:].copy()], n - used, last, at + used
+    if first < len(sizes):
+        yield first, len(sizes), np.concatenate([held[:0], *waiting])
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text",
            block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(id, ids array<int>) of every whole text, without special tokens."""
@@ -181,24 +210,25 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     coded = encode_words(words, ranks)
 
     def put_together(texts: pa.Table, parts: pa.Table) -> pa.Table:
-        out_keys, out_ids = [], []
         unpacked = [[unpack(v.as_py()) for v in parts[c]] for c in ("numbers", "sizes", "ids")]
-        numbers, sizes, ids = (np.concatenate([np.zeros(0, "<u4"), *u]).astype(np.int64) for u in unpacked)
+        numbers, sizes, ids = (np.concatenate([np.zeros(0, "<u4"), *u]) for u in unpacked)
         size = np.zeros(len(numbers), np.int64)
         start = np.zeros(len(numbers), np.int64)
-        size[numbers], start[numbers] = sizes, np.cumsum(sizes) - sizes
+        size[numbers], start[numbers] = sizes, np.cumsum(sizes, dtype=np.int64) - sizes
         ids = ids.astype(np.int32)
+        del unpacked, numbers, sizes
+        out = []
         for row in range(texts.num_rows):
-            codes, per_text = unpack(texts["codes"][row].as_py()), texts["sizes"][row].values.to_numpy()
-            flat, so_far = [np.zeros(0, np.int32)], np.zeros(len(codes) + 1, np.int64)
-            for a in range(0, len(codes), WORDS_PER_SLICE):
-                part = codes[a:a + WORDS_PER_SLICE]
-                flat.append(_gather(ids, start[part], size[part]))
-                so_far[a + 1:a + 1 + len(part)] = so_far[a] + np.cumsum(size[part])
-            ends = so_far[np.concatenate([[0], np.cumsum(per_text)])]
-            out_keys.append(texts["ids"][row].values)
-            out_ids.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(flat))))
-        return pa.table([pa.concat_arrays(out_keys), pa.concat_arrays(out_ids)], [id_col, "ids"])
+            keys, per_text = texts["ids"][row].values, texts["sizes"][row].values.to_numpy()
+            for a, b, codes in _text_slices(map(unpack, _binaries(texts["codes"][row])), per_text):
+                found = size[codes]
+                so_far = np.concatenate([[0], np.cumsum(found)])
+                ends = so_far[np.concatenate([[0], np.cumsum(per_text[a:b], dtype=np.int64)])]
+                flat = [_gather(ids, start[codes[i:i + WORDS_PER_SLICE]], found[i:i + WORDS_PER_SLICE])
+                        for i in range(0, len(codes), WORDS_PER_SLICE)]
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *flat])))
+                out.append(pa.RecordBatch.from_arrays([keys.slice(a, b - a), lists], [id_col, "ids"]))
+        return pa.Table.from_batches(out)
 
     sides = coded.groupBy("block"), blocks.select("block", "ids", "sizes", "codes").groupBy("block")
     return sides[1].cogroup(sides[0]).applyInArrow(put_together, f"`{id_col}` {field.dataType.simpleString()}, ids array<int>")
@@ -206,27 +236,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, ids, decoded binary): the bytes of each id, joined. The vocabulary has a fixed size, so its table goes
-    to every task and the join needs no shuffle."""
-    table = encoded.sparkSession.sparkContext.broadcast({i: token for token, i in ranks.items()})
-    kind = encoded.schema[id_col].dataType.simpleString()
-
-    def run(batches):
-        lookup = table.value
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:  # bounded output, however long the rows
-                start, size, out = at, 0, []
-                while at < batch.num_rows and size < WORDS_PER_SLICE:
-                    row = batch.column(1)[at].values
-                    numbers = row.to_numpy(zero_copy_only=False).tolist() if row is not None else []
-                    try:
-                        out.append(b"".join(map(lookup.__getitem__, numbers)))
-                    except KeyError:
-                        out.append(b"".join(lookup[i] for i in numbers if i in lookup))
-                    size += len(numbers) + 1
-                    at += 1
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(start, at - start) for c in batch.columns), pa.array(out, pa.binary())],
-                    [id_col, ids_col, "decoded"])
-
-    return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, `{ids_col}` array<int>, decoded binary")
+    to every task as one constant array by id and the lookup needs no shuffle and no Python."""
+    by_id = [""] * (max(ranks.values(), default=-1) + 1)
+    for token, i in ranks.items():
+        by_id[i] = token.hex()
+    table = F.split(F.lit(",".join(by_id)), ",")  # a constant: Spark splits it once
+    found = F.array_join(F.transform(F.col(f"`{ids_col}`"), lambda i: F.get(table, i)), "")
+    return encoded.select(f"`{id_col}`", f"`{ids_col}`", F.unhex(F.coalesce(found, F.lit(""))).alias("decoded"))

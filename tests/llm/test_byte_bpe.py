@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -53,6 +54,36 @@ def test_only_words_and_their_ids_are_shuffled(spark):
     assert plan.count("Exchange hashpartitioning") == 2 and "Bucketed: true" in plan
 
 
+def test_decoding_starts_no_python_worker(spark):
+    """Another worker beside the one that puts texts together took an executor over its memory."""
+    encoded = spark.createDataFrame([(1, [267, 0, 50255]), (2, []), (3, [-1])], "`my id` long, `the ids` array<int>")
+    decoded = byte_bpe.decode(encoded, RANKS, "my id", "the ids")
+    assert not re.search("Python|Arrow|Pandas", decoded._jdf.queryExecution().executedPlan().toString())
+    assert [bytes(r.decoded) for r in decoded.sort("my id").collect()] == [LIBRARY.decode_bytes([267, 0, 50255]), b"", b""]
+    odd = byte_bpe.decode(spark.createDataFrame([([0, 1, 2, 3], 1)], "ids array<int>, doc_id long"), {b"\xff,": 1, b"\x00": 3})
+    assert bytes(odd.first().decoded) == b"\xff,\x00" and byte_bpe.decode(encoded.toDF("doc_id", "ids"), {}).count() == 3
+
+
+@pytest.mark.parametrize("sizes", [[0, 3, 0, 25, 1, 1, 0], [10], [0, 0], [4, 4, 4, 0, 4], []])
+@pytest.mark.parametrize("slice_size", [1, 7, 10, 100])
+def test_texts_are_put_together_in_slices(monkeypatch, sizes, slice_size):
+    monkeypatch.setattr(byte_bpe, "WORDS_PER_SLICE", 10)
+    codes = np.arange(sum(sizes), dtype="<u4")
+    found = list(byte_bpe._text_slices((codes[i:i + slice_size] for i in range(0, len(codes) + 1, slice_size)), np.array(sizes, np.int32)))
+    assert [t for a, b, _ in found for t in range(a, b)] == list(range(len(sizes)))
+    assert [len(c) for *_, c in found] == [sum(sizes[a:b]) for a, b, _ in found]
+    assert np.concatenate([codes[:0], *(c for *_, c in found)]).tolist() == codes.tolist()
+
+
+def test_positions_are_packed_in_slices(spark):
+    n = byte_bpe.WORDS_PER_SLICE
+    docs = spark.createDataFrame([(1, "a " * n), (2, "b"), (3, " c" * (n // 2)), (4, "a a")], "doc_id long, text string").coalesce(1)
+    block = byte_bpe.word_blocks(docs, public_tokenizers.PATTERN).first()
+    assert len(block.codes) == 2 and len(unpack(bytes(block.codes[0]))) >= n
+    got = {r.doc_id: r.ids for r in byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN).collect()}
+    assert got == {r.doc_id: LIBRARY.encode_ordinary(r.text) for r in docs.collect()}
+
+
 def test_empty_table_other_ids_and_packing(spark):
     docs = odd_documents(spark)
     assert rows(byte_bpe.encode(empty(docs), RANKS, public_tokenizers.PATTERN)) == []
