@@ -71,6 +71,27 @@ def _files_in_ranges(df, path, key="event_id", n=4):
     IO._stage_files(df, path, n, key)
 
 
+#: Days a range of a stream's files covers at most: fewer than the lateness the stream allows.
+RANGE_DAYS = 10
+#: Rows of a state partition, and groups of hosts in one.
+STATE_ROWS, STATE_GROUPS = 2_000_000, 32
+
+
+def _files_by_time(df, path, n=4) -> int:
+    """Hand ``df`` to the file source in consecutive ranges of ``ts``, ``n`` or more, each its own append, so rows are late by a
+    range at most in whatever order they are stored. Rows without a time go with the first. The number of files."""
+    staged, spark = f"{path}-staged", df.sparkSession
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = (x or 0 for x in df.select(F.min(at), F.max(at)).first())
+    width = min(-(-(high - low + 1) // n), RANGE_DAYS * 86_400_000_000)
+    part = F.coalesce(F.floor((at - F.lit(low)) / F.lit(width)), F.lit(0))
+    df.withColumn("__range", part).write.partitionBy("__range").parquet(staged)
+    read = lambda p: spark.read.schema(df.schema).parquet(p)
+    for r in sorted(r[0] for r in spark.read.parquet(staged).select("__range").distinct().collect()):
+        read(f"{staged}/__range={r}").write.mode("append").parquet(path)
+    return len(read(path).inputFiles())
+
+
 def _closing(spark, schema):
     """One row long after all others: it moves the watermark past them."""
     values = {"event_id": -1, "user_id": -1, "event_type": "__close__", "value": 0.0, "props": "{}"}
@@ -144,13 +165,16 @@ def q_health_transitions(spark, sf_dir):
     in ranges (late inside the bound), the query is stopped and started again, and the first day comes late a second time."""
     e = X.table(spark, sf_dir, "events")
     base = scratch_path(spark, "health")
-    _files_in_ranges(e, f"{base}/in")
+    files = _files_by_time(e, f"{base}/in")
+    files = max(IO.FILES_PER_BATCH, -(-files // 4))  # larger micro-batches for more rows, not more of them
     own = IO._stream_session(spark, rocksdb=True)  # transformWithState needs it
+    parts = max(IO.STATE_PARTITIONS, e.count() // STATE_ROWS)
+    own.conf.set("spark.sql.shuffle.partitions", str(parts))
 
     def available():
-        s = own.readStream.schema(e.schema).option("maxFilesPerTrigger", IO.FILES_PER_BATCH).parquet(f"{base}/in")
+        s = own.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
         s = s.withColumn("listens", F.col("event_type") == "signup")
-        _run(health_transitions(s, "user_id", "ts", "listens", "6 HOURS", "2 DAYS", "12 days"), base, "out")
+        _run(health_transitions(s, "user_id", "ts", "listens", "6 HOURS", "2 DAYS", "12 days", groups=STATE_GROUPS * parts), base, "out")
 
     available()
     _closing(spark, e.schema).write.mode("append").parquet(f"{base}/in")

@@ -10,22 +10,30 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from basin.streaming.windows import event_time
 
 ABSENT, NO_LISTENER, RUNNING = "absent", "no_listener", "running"
 
+#: Rows of a group that may wait, besides as many as its state has, before they are merged into it.
+MERGE_ROWS = 50_000
+
 
 class HostHealth(StatefulProcessor):
-    """Per host: observations not yet passed by the watermark, and the times of the last ones that were.
+    """Per group of hosts: the spans of time in which each was seen, and heard, as far as the watermark has not passed them.
 
-    Observations are applied in the order of their times once the watermark has passed them, whatever order
-    they arrived in. A timer wakes the host when the watermark passes its newest pending observation or its
-    next change of state; a host that became absent keeps no state, so state is bounded by the hosts seen
-    within lateness and ``gone``.
+    A span goes from an observation to the last one that follows without a gap of more than ``gone`` (seen) or
+    ``quiet`` (heard), so it does not matter in which order they arrive; every change of state is the start or the
+    end of a span. A timer wakes the group when the watermark passes the first change that has not come out; spans whose
+    end has passed go, so state is bounded by the hosts seen within lateness and ``gone``. A call to the state takes
+    about a millisecond: a group makes a few for all its hosts, where a group of one host would make them for each.
     """
 
     def __init__(self, quiet_us: int, gone_us: int):
@@ -33,68 +41,95 @@ class HostHealth(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", "at bigint, listens boolean")
-        self.known = handle.getValueState("known", "state string, seen bigint, listened bigint, emitted bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = [(r.at, r.listens) for r in rows]
-        self.pending.appendList(new)
-        self._wake(max(at for at, _ in new))
+        # spans: an Arrow table; told: changes up to this time have come out; wake: the group's only timer
+        self.known = handle.getValueState("known", "spans binary, told bigint, wake bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        spans, told, wake = self._load()
+        first, new, waiting = None, [], 0
+        for df in rows:
+            at = df["at"].to_numpy()
+            first = int(at.min()) if first is None else min(first, int(at.min()))
+            seen = pd.DataFrame({"host": df["host"], "heard": False, "first": at, "last": at})
+            new += [seen, seen[df["listens"].to_numpy(bool)].assign(heard=True)]
+            waiting += len(df)
+            if waiting > MERGE_ROWS + len(spans):
+                spans, new, waiting = self._merged([spans, *new]), [], 0
+        spans = self._merged([spans, *new])
+        self.known.update((_packed(spans), told, self._wake(first, wake)))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto = timerValues.getCurrentWatermarkInMs() * 1000
-        pending = list(self.pending.get())
-        due = {}
-        for at, listens in pending:
-            if at <= upto:
-                due[at] = due.get(at, False) or listens
-        later = [tuple(p) for p in pending if p[0] > upto]
-        state, seen, listened = tuple(self.known.get())[:3] if self.known.exists() else (ABSENT, None, None)
-        changes = []
-
-        def move(at, new):
-            nonlocal state
-            if new != state:
-                state = new
-                changes.append((at, new))
-
-        def pass_time(end, whole):
-            """Changes of state before ``end`` (``whole``: up to it) without an observation."""
-            ended = lambda at: at < end or (whole and at == end)
-            if state == RUNNING and ended(listened + self.quiet):
-                if listened + self.quiet < seen + self.gone:
-                    move(listened + self.quiet, NO_LISTENER)
-            if state != ABSENT and ended(seen + self.gone):
-                move(seen + self.gone, ABSENT)
-
-        for at in sorted(due):
-            pass_time(at, False)
-            seen, listened = at, at if due[at] else listened
-            move(at, RUNNING if listened is not None and at <= listened + self.quiet else NO_LISTENER)
-        pass_time(upto, True)
-        if due and later:
-            self.pending.put(later)
-        elif due:
-            self.pending.clear()
-        if state == ABSENT:
-            self.known.clear()
+        spans, told, wake = self._load()
+        heard, first, last = (spans[c].to_numpy() for c in ("heard", "first", "last"))
+        end = last + np.where(heard, self.quiet, self.gone)
+        # spans are in the order of host, first, heard: a span heard lies in the last span seen before it
+        within = np.maximum.accumulate(np.where(heard, 0, np.arange(len(spans))))
+        starts_heard = np.zeros(len(spans), bool)
+        starts_heard[within[heard & (first == first[within])]] = True
+        changes = pd.concat([
+            pd.DataFrame({"host": spans["host"], "at": first, "state": np.where(heard, RUNNING, NO_LISTENER)})[heard | ~starts_heard],
+            pd.DataFrame({"host": spans["host"], "at": end, "state": np.where(heard, NO_LISTENER, ABSENT)})[~heard | (end < end[within])],
+        ])
+        at = changes["at"].to_numpy()
+        later = at[at > upto]
+        if wake is not None and wake == expiredTimerInfo.getExpiryTimeInMs():
+            wake = None  # Spark takes the timer away after this call
+        if len(later):
+            self.known.update((_packed(spans[end > upto]), upto, self._wake(int(later.min()), wake)))
         else:
-            self.known.update((state, seen, listened, upto))
-            self._wake(min(listened + self.quiet, seen + self.gone) if state == RUNNING else seen + self.gone)
-        for at, new in changes:
-            yield Row(host=key[0], at=at, state=new)
-
-    def _wake(self, at_us: int) -> None:
-        """Ask for a call once the watermark has passed ``at_us`` (timers count milliseconds)."""
-        self.handle.registerTimer(-(-at_us // 1000))
+            self.known.clear()
+        due = changes[(at <= upto) & (at > told if told is not None else True)]
+        if len(due):
+            yield due
 
     def close(self) -> None:
         pass
 
+    def _load(self):
+        known = self.known.get()
+        if known is None:
+            return pd.DataFrame({"host": [], "heard": np.array([], bool), "first": np.array([], "int64"), "last": np.array([], "int64")}), None, None
+        spans, told, wake = known
+        return pa.ipc.open_stream(bytes(spans)).read_pandas(), told, wake
+
+    def _wake(self, at_us: int, wake: int | None) -> int:
+        """Ask for a call once the watermark has passed ``at_us`` (timers count milliseconds), or ``wake`` if that is earlier."""
+        at = -(-at_us // 1000)
+        if wake is not None and wake <= at:
+            return wake
+        if wake is not None:
+            self.handle.deleteTimer(wake)
+        self.handle.registerTimer(at)
+        return at
+
+    def _merged(self, parts: list[pd.DataFrame]) -> pd.DataFrame:
+        """Spans of a host that meet, or lie no further apart than ``gone`` (seen) or ``quiet`` (heard), as one."""
+        spans = pd.concat([p for p in parts if len(p)], ignore_index=True)
+        heard, first = spans["heard"].to_numpy(), spans["first"].to_numpy()
+        key = 2 * pd.factorize(spans["host"], use_na_sentinel=False)[0] + heard
+        order = np.lexsort((first, key))
+        key, first, last = key[order], first[order], spans["last"].to_numpy()[order]
+        reach = pd.Series(last).groupby(key).cummax().to_numpy()
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (first[1:] > reach[:-1] + np.where(key[1:] % 2 == 1, self.quiet, self.gone))
+        at = np.flatnonzero(new)
+        out = pd.DataFrame({"host": spans["host"].to_numpy()[order[at]], "heard": key[at] % 2 == 1, "first": first[at],
+                            "last": np.maximum.reduceat(last, at)})
+        return out.iloc[np.lexsort((out["heard"], out["first"], key[at] // 2))]
+
+
+def _packed(spans: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(spans, preserve_index=False).replace_schema_metadata(None)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
 
 def health_transitions(observations: DataFrame, host: str, ts: str, listens: str, quiet: str, gone: str,
-                       lateness: str) -> DataFrame:
+                       lateness: str, groups: int = 256) -> DataFrame:
     """(host, at, state): every change of state of every host, from a stream of observations.
 
     ``listens`` is a boolean column: the observation is of the listening socket. ``quiet`` and ``gone`` are
@@ -102,6 +137,9 @@ def health_transitions(observations: DataFrame, host: str, ts: str, listens: str
     or time are ignored, a NULL ``listens`` is false. Rows later than ``lateness`` behind the newest are dropped. A change comes out when the
     watermark has passed its time, so the order of arrival does not matter within the lateness. Start the result in
     append mode; the state store must be RocksDB.
+
+    Hosts share state in ``groups`` groups by a hash, fixed with the checkpoint: some thousand hosts a group, and many groups a
+    state partition. A micro-batch reads and writes the state of the groups it has rows of.
     """
     if not observations.isStreaming:
         raise ValueError("health_transitions reads a stream")
@@ -109,12 +147,19 @@ def health_transitions(observations: DataFrame, host: str, ts: str, listens: str
     quiet_us, gone_us = us(quiet), us(gone)
     if not 0 < quiet_us <= gone_us:
         raise ValueError("quiet must be positive and no longer than gone")
-    plain = event_time(observations, ts).select(
-        F.col(host).alias("host"), F.col(ts).alias("__ts"), F.coalesce(F.col(listens), F.lit(False)).alias("listens"))
-    kind = plain.schema["host"].dataType.simpleString()
-    marked = plain.where("host IS NOT NULL AND __ts IS NOT NULL").withColumn("at", F.unix_micros("__ts")).withWatermark("__ts", lateness)
-    out = marked.groupBy("host").transformWithState(
-        HostHealth(quiet_us, gone_us), f"host {kind}, at bigint, state string", "append", "eventTime")
+    kind = observations.schema[host].dataType
+    # as pandas holds them whole; others go through text
+    plain = isinstance(kind, (T.IntegralType, T.StringType, T.BinaryType, T.BooleanType))
+    seen = event_time(observations, ts).select(
+        (F.col(host) if plain else F.col(host).cast("string")).alias("host"), F.col(ts).alias("__ts"),
+        F.coalesce(F.col(listens), F.lit(False)).alias("listens")).where("host IS NOT NULL AND __ts IS NOT NULL")
+    marked = seen.select(
+        F.pmod(F.xxhash64("host"), F.lit(groups)).alias("group"), "host", F.unix_micros("__ts").alias("at"), "listens",
+        F.least("__ts", F.timestamp_seconds(F.lit(9_200_000_000))).alias("__ts"))  # pandas holds times up to 2262
+    text = kind.simpleString() if plain else "string"
+    out = marked.withWatermark("__ts", lateness).groupBy("group").transformWithStateInPandas(
+        HostHealth(quiet_us, gone_us), f"host {text}, at bigint, state string", "append", "eventTime")
     at = F.timestamp_micros("at")
     ntz = observations.schema[ts].dataType.simpleString() == "timestamp_ntz"
-    return out.select(F.col("host").alias(host), (at.cast("timestamp_ntz") if ntz else at).alias("at"), "state")
+    return out.select((F.col("host") if plain else F.col("host").cast(kind)).alias(host),
+                      (at.cast("timestamp_ntz") if ntz else at).alias("at"), "state")

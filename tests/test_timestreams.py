@@ -66,6 +66,52 @@ def test_health_needs_a_stream_and_sensible_times(spark):
         health_transitions(df, "host", "ts", "listens", "1 HOUR", "2 HOURS", "1 HOUR")
 
 
+@pytest.mark.parametrize("hosts, groups, quiet, gone", [(["a", "b", "c'", ""], 2, 7, 20), ([dt.date(2024, 1, d) for d in (1, 2, 3)], 1, 20, 20)])
+def test_transitions_of_hosts_that_share_state(spark, tmp, hosts, groups, quiet, gone):
+    rng = random.Random(groups)
+    obs = [(rng.choice(hosts), t, rng.random() < 0.4) for t in sorted(rng.choices(range(400), k=120))]
+    schema = f"host {'date' if groups == 1 else 'string'}, ts timestamp_ntz, listens boolean"
+    own = _stream_session(spark, rocksdb=True)
+    make = lambda r: health_transitions(r.schema(schema).parquet(f"{tmp}/in"), "host", "ts", "listens", f"{quiet} MINUTES",
+                                        f"{gone} MINUTES", "2 HOURS", groups=groups)
+    last = [(hosts[0], 290 * 365 * 1440, None)]  # a year pandas cannot hold: still closes all
+    for parts in [[obs[i:i + 30] for i in range(0, 120, 30)], [last], [obs[:10]]]:
+        for part in parts:
+            rng.shuffle(part)
+            spark.createDataFrame([(h, at(t), l) for h, t, l in part], schema).coalesce(1).write.mode("append").parquet(f"{tmp}/in")
+        drain(make, own.readStream, tmp)
+    got = spark.read.parquet(f"{tmp}/out")
+    assert [t for _, t in got.dtypes] == [schema.split()[1].strip(","), "timestamp_ntz", "string"]
+    assert sorted(map(tuple, got.collect())) == transitions(obs, quiet, gone)
+
+
+def test_health_state_does_not_take_a_row_for_each_host(spark, tmp):
+    n = 2_000
+    spark.range(n).selectExpr("id AS host", "timestamp'2024-01-01' AS ts", "true AS listens").coalesce(1).write.parquet(f"{tmp}/in")
+    own = _stream_session(spark, rocksdb=True)
+    out = health_transitions(own.readStream.schema("host long, ts timestamp, listens boolean").parquet(f"{tmp}/in"),
+                             "host", "ts", "listens", "1 HOUR", "2 HOURS", "1 HOUR")
+    q = out.writeStream.format("parquet").option("checkpointLocation", f"{tmp}/ckpt").trigger(availableNow=True).start(f"{tmp}/out")
+    _run_available(q)
+    assert max(p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators) < n // 2
+
+
+def test_health_query_takes_events_in_any_order_and_many_files(spark, tmp):
+    duckdb = pytest.importorskip("duckdb")
+    from basin.plans.queries import ORACLE
+    from basin.plans.time_queries import q_health_transitions
+    rng = random.Random(3)
+    rows = [(i, T0 + dt.timedelta(minutes=rng.randrange(60 * 24 * 60)), rng.randrange(12), rng.choice(["signup", "click", "view"]), 1.0, "{}")
+            for i in range(600)]  # event_id does not tell the time; two months, more than the lateness
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string") \
+        .repartition(6).write.parquet(f"{tmp}/events.parquet")
+    got = q_health_transitions(spark, tmp).select("host", "at", "state").collect()
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp}/events.parquet/*.parquet'")
+        want = c.execute(ORACLE["health_transitions"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 500
+
+
 def test_health_query_brings_its_state_store(spark, tmp):
     from basin.plans.time_queries import q_health_transitions
     rows = [(i, T0 + dt.timedelta(hours=h), u, kind, 1.0, "{}") for i, (h, u, kind) in enumerate(
